@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from strataplane.plans import pixels  # noqa: F401
+from strataplane.plans.base import ORACLE, QUERIES
+
 FLAGSHIP = "yuv420_to_rgb_bt601"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
