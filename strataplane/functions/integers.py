@@ -66,7 +66,7 @@ def leb128(groups: Column) -> Column:
     """Value of an array of byte values, seven bits each, lowest first; stops at the first byte under 128."""
     stop = F.array_position(F.transform(groups, lambda b: (b < 128)), True)
     used = F.when(stop > 0, F.slice(groups, 1, stop.cast("int"))).otherwise(groups)
-    return F.aggregate(F.transform(used, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lit64(0), lambda acc, x: acc + F.shiftleft((x["b"] % 128).cast("bigint"), 7 * x["i"]))
+    return F.aggregate(F.transform(used, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lit64(0), lambda acc, x: acc + F.call_function("shiftleft", (x["b"] % 128).cast("bigint"), 7 * x["i"]))
 
 
 def total(columns: list[Column]) -> Column:
