@@ -85,10 +85,10 @@ def upscale_row(row: Column, width: int, out_width: int, taps: Column, depth: in
     """
     step = ((width << 14) + out_width // 2) // out_width
     error = out_width * step - (width << 14)
-    start = (-((out_width - width) << 13) + out_width // 2) // out_width + 128 - error // 2
+    start = int((-((out_width - width) << 13) + out_width // 2) / out_width) + 128 - int(error / 2)
 
     def one(i: Column) -> Column:
-        at = F.lit(start & 0x3FFF if start >= 0 else start).cast("bigint") + i.cast("bigint") * step
+        at = F.lit(start).cast("bigint") + i.cast("bigint") * step
         whole, phase = F.shiftright(at, 14), F.shiftright(at.bitwiseAND(0x3FFF), 8)
         parts = []
         for k in range(8):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataplane.plans import kernels, pixels, relations  # noqa: F401
+from strataplane.plans import kernels, more, pixels, relations  # noqa: F401
 from strataplane.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "yuv420_to_rgb_bt601"
