@@ -29,6 +29,8 @@ BANDS, ROWS = 32, 6
 CENTRES = 4
 #: Sets in a block of the exact comparison that follows the stars.
 BLOCK = 256
+#: Blocks of outside members that one task compares.
+SPREAD = 8
 MAX_PROBES = 64
 
 
@@ -118,63 +120,70 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare_blocks(percent: int):
-    """Rows hold a block of sets xs and a block ys: the smallest partner of each x, by one inverted index a block."""
+    """Rows hold a block of sets xs and a block ys: for each x one partner of every other component, by one inverted index a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for row in range(batch.num_rows):
-                (xi, xs), (yi, ys) = (_unpack(batch.column(c)[row]) for c in (0, 1))
+                (xi, xc, xs), (yi, yc, ys) = (_unpack(batch.column(c)[row]) for c in (0, 1))
                 sizes = np.array([len(s) for s in ys])
                 owner = np.repeat(np.arange(len(ys)), sizes)
                 flat = np.concatenate(ys)
                 order = np.argsort(flat, kind="stable")
                 flat, owner = flat[order], owner[order]
-                for i, s in zip(xi, xs, strict=True):
+                for i, c, s in zip(xi, xc, xs, strict=True):
                     lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                     n = hi - lo
                     at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     shared = np.bincount(owner[at], minlength=len(ys))
-                    near = np.flatnonzero((100 * shared >= percent * (sizes + len(s) - shared)) & (yi != i))
+                    near = np.flatnonzero((100 * shared >= percent * (sizes + len(s) - shared)) & (yc != c))
                     if len(near):
-                        u.append(i)
-                        v.append(yi[near].min())
+                        _, first = np.unique(yc[near], return_index=True)
+                        u += [i] * len(first)
+                        v += yi[near[first]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def _unpack(cell: pa.ListScalar) -> tuple[np.ndarray, list[np.ndarray]]:
+def _unpack(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     items = cell.values
-    ids, lists = items.field("id").to_numpy(zero_copy_only=False), items.field("set")
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    return ids, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    ids, comps = (items.field(n).to_numpy(zero_copy_only=False) for n in ("id", "comp"))
+    ends, flat = items.field("set").offsets.to_numpy(), items.field("set").values.to_numpy(zero_copy_only=False)
+    return ids, comps, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def apart(held: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (u, v) that the stars left out, from bucket members (key, id, comp).
 
-    Members outside their bucket's largest component are compared with the
-    whole of each other component that shares a bucket with them: blocks of
-    them against blocks of its sets, so no row is made for a pair.
+    In each bucket that holds several components, the members outside the
+    largest one (the lead) have to be compared with all the others.  Buckets of
+    one lead are taken together, and blocks of their outside members are
+    compared with blocks of all their members, so no row is made for a pair.
     """
     parts = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     lead = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("lead"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    mixed = parts.join(lead, "key").select("key", F.col("comp").alias("other"))
-    outside = held.join(lead, "key").where("comp <> lead").select("key", "id", "comp").join(mixed, "key").where("comp <> other")
-    asked = scratch.save(outside.select("id", F.col("other").alias("comp")).distinct())
-    wide = asked.groupBy("comp").agg(F.count(F.lit(1)).alias("asking"))
-    member = held.select("id", "comp").distinct().join(wide, "comp")
-    size = member.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-
-    def blocks(rows: DataFrame, n, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK))
-        return rows.join(sets, "id").withColumn("block", block).groupBy("comp", "block").agg(F.collect_list(F.struct("id", "set")).alias(name)).drop("block")
-
-    xs = blocks(asked.join(wide, "comp"), F.col("asking"), "xs")
-    ys = blocks(member.select("id", "comp").join(size, "comp"), F.col("size"), "ys")
-    return xs.join(ys, "comp").select("xs", "ys").mapInArrow(_compare_blocks(percent), "u long, v long")
+    member = scratch.save(held.join(lead, "key").groupBy("lead", "id").agg(F.first("comp").alias("comp")))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        size = rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        return rows.join(size, "lead").join(sets, "id").withColumn("block", block).groupBy("lead", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "comp", "set")).alias(name))
+
+    # a large group's outside blocks are dealt to several tasks, SPREAD to each
+    xs = blocks(member.where("comp <> lead"), "xs").withColumn("share", F.floor(F.col("block") / SPREAD))
+    shares = member.where("comp <> lead").groupBy("lead").agg(F.ceil(F.ceil(F.count(F.lit(1)) / BLOCK) / SPREAD).alias("shares"))
+    ys = blocks(member, "ys").join(shares, "lead").withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
+    pairs = xs.select("lead", "share", "xs").join(ys.select("lead", "share", "ys"), ["lead", "share"]).select("xs", "ys")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = held.sparkSession
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")  # a row holds two blocks of sets
+    try:
+        return scratch.save(pairs.mapInArrow(_compare_blocks(percent), "u long, v long"))
+    finally:
+        spark.conf.set(name, before)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
