@@ -74,7 +74,9 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     steps = F.zip_with(F.slice("at", 1, F.greatest(m - 1, F.lit(0))), F.slice("at", 2, F.greatest(m - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.when(m > 0, F.aggregate(steps, F.lit(3), lambda acc, x: acc + x)).otherwise(F.lit(0))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_bangs"]
-    return twice.select("k.*", *names, covered.cast("long").alias("n_repeat_words"))
+    # a generator of one struct: filters on the counts stay above it and don't repeat what computes them
+    once = twice.select("k", F.explode(F.array(F.struct(*names, covered.cast("long").alias("n_repeat_words")))).alias("c"))
+    return once.select("k.*", "c.*")
 
 
 def with_features(stats: DataFrame) -> DataFrame:
