@@ -55,7 +55,8 @@ def is_word(c):
 
 def words(text):
     """Array of the maximal runs outside ``\\x20\\x09-\\x0D``; null text counts as empty."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE_CLASS}]+"))
 
 
 def let(value, body):

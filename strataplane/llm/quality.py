@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataplane.llm.common import SPACE_CLASS, is_word, let, words
+from strataplane.llm.common import is_word, let, words
 from strataplane.llm.decision_list import Rule, learn, verdict
 
 #: Labelled documents that the rules are fitted on: those of the smallest hashed doc_id.
@@ -57,19 +57,29 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     counted = lined.select(
         "k",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _taken(F.col("t"), "#*$%&|<>").alias("n_symbols"),
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         _taken(F.col("t"), "A-Z").alias("n_upper"),
-        _taken(F.col("t"), "!").alias("n_bangs"),
-        F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
+        F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))).alias("s"),
     )
-    n = F.greatest(F.size("h") - 2, F.lit(0))
-    two = F.zip_with(F.slice("h", 1, n), F.slice("h", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    windows = counted.withColumn("s", F.zip_with(two, F.slice("h", 3, n), lambda p, c: F.xxhash64(p["a"], p["b"], c))).drop("h")
-    # only texts in which a window occurs again are sorted
-    twice = windows.withColumn("at", F.when(F.size(F.array_distinct("s")) < F.size("s"), _repeated_places(F.col("s"))).otherwise(F.array().cast("array<int>"))).drop("s")
+    # windows' hashes, shifted up to make room for their places, are sorted as plain numbers
+    room = F.length(F.bin(F.size("s")))
+    ranked = counted.withColumn("b", room).withColumn("r", F.sort_array(F.transform("s", lambda h, i: F.call_function("shiftleft", h, F.col("b")).bitwiseOR(i.cast("long")))))
+
+    def top(x):
+        return F.call_function("shiftright", x, F.col("b"))
+
+    def place(x):
+        return (x - F.call_function("shiftleft", top(x), F.col("b"))).cast("int")
+
+    met = ranked.withColumn("f", F.filter("r", lambda x, i: (top(x) == top(F.get("r", i + 1))) | (top(x) == top(F.get("r", i - 1))))).drop("r")
+    # where the bits left of two different hashes agree, the whole hashes decide
+    mixed = F.size(F.filter("f", lambda x, i: (top(x) == top(F.get("f", i + 1))) & (F.get("s", place(x)) != F.get("s", place(F.get("f", i + 1)))))) > 0
+    none = F.array().cast("array<int>")
+    twice = met.withColumn("at", F.when(F.size("f") == 0, none).when(mixed, _repeated_places(F.col("s"))).otherwise(F.sort_array(F.transform("f", place)))).drop("s", "f", "b")
     m = F.size("at")
     steps = F.zip_with(F.slice("at", 1, F.greatest(m - 1, F.lit(0))), F.slice("at", 2, F.greatest(m - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.when(m > 0, F.aggregate(steps, F.lit(3), lambda acc, x: acc + x)).otherwise(F.lit(0))
