@@ -17,6 +17,10 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at once; a longer word is hashed whole.
+SEGMENT = 1 << 18
+#: Bytes of texts that are taken together; a longer text is taken alone.
+GROUP = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,11 +57,19 @@ def word_values(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.logical_not(_SPACE[raw], out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, dtype=U)
-        np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=total[1:])
-        value = (total[ends] - total[starts]) * _power(_INVERSE, len(raw))[starts]
-        return mix(value + (ends - starts).astype(U)), starts, ends
+    values = np.empty(len(starts), dtype=U)
+    i = 0
+    while i < len(starts):  # a word's value depends on its own bytes only, so runs of words are hashed apart
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
+        part = raw[starts[i] : ends[j - 1]]
+        begin, end = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(part) + 1, dtype=U)
+            np.cumsum(_BYTE[part] * _power(_BASE, len(part)), out=total[1:])
+            value = (total[end] - total[begin]) * _power(_INVERSE, len(part))[begin]
+            values[i:j] = mix(value + (end - begin).astype(U))
+        i = j
+    return values, starts, ends
 
 
 def shingle_sets(texts: list[str | None], width: int = 3) -> list[np.ndarray]:
@@ -95,10 +107,10 @@ def shingle_sets(texts: list[str | None], width: int = 3) -> list[np.ndarray]:
         group.clear()
 
     for b in blobs:
-        group.append(b)
-        held += len(b)
-        if held > 4_000_000:
+        if held + len(b) > GROUP:
             flush()
             held = 0
+        group.append(b)
+        held += len(b)
     flush()
     return out
