@@ -2,6 +2,7 @@
 
 Trust is a personalised PageRank from trusted seeds along links; distrust is
 one from blocked seeds against links, as who links to bad hosts is suspect.
+A host is a seed of either by the share of its pages that rules allow or block.
 Hosts are compared on both; only DataFrame operations run.
 """
 
@@ -18,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, MOST_ROUNDS, SETTLED = 0.85, 20, 1e-4
 #: A host is blocked by the graph if its distrust reaches this and is above its trust.
 BLOCK_AT = 0.05
-#: Names of hosts that start as distrusted.
+#: Names of hosts that start as distrusted as a whole, beside the rules.
 BLOCKED_NAMES = r"(?:^|[.-])(?:spam|pills?|casino|viagra|malware|phishing|warez|porn)(?:[.-]|$)"
 
 
@@ -70,14 +71,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, score): personalised PageRank from ``seeds`` (host), each seed with weight 1.
+    """(host, score): personalised PageRank from ``seeds`` (host, weight), each with weight 1 if there is no such column.
 
     Edges (src, dst, n) carry a host's score on in proportion to n.  Stops when
     no score changes by more than SETTLED, or after MOST_ROUNDS.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("out"))
     share = scratch.save(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")))
-    start = scratch.save(seeds.select("host").distinct().withColumn("score", F.lit(1.0 - DAMPING)))
+    weight = F.max("weight") if "weight" in seeds.columns else F.lit(1.0)
+    start = scratch.save(seeds.groupBy("host").agg((weight * (1.0 - DAMPING)).alias("score")))
     now = start
     for _ in range(MOST_ROUNDS):
         moved = now.join(share, now.host == share.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("w") * DAMPING).alias("score")).select(F.col("dst").alias("host"), "score")
@@ -89,23 +91,41 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame
     return now
 
 
+def seed_weights(read: DataFrame, edges: DataFrame, rules: tuple[Rule, ...], blocked_names: str) -> DataFrame:
+    """(host, good, bad): the shares of a host's pages that allow rules and block rules decide.
+
+    A host that is linked but has no page has 1 for the rule that covers it
+    whole.  A host of a known bad name has 0 and 1.
+    """
+    allowed = [r.text for r in rules if r.allow]
+    placed = read.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(1).alias("n"))
+    linked = edges.select(F.col("dst").alias("host"), F.lit("/").alias("path"), F.lit(0).alias("n"))
+    each = placed.unionByName(linked).where("host <> ''").withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
+    is_good = F.col("rule").isNotNull() & F.col("rule").isin(allowed)
+    is_bad = F.col("rule").isNotNull() & ~F.col("rule").isin(allowed)
+    sums = [F.sum("n").alias("pages"), F.sum(F.when(is_good, F.col("n")).otherwise(0)).alias("goods"), F.sum(F.when(is_bad, F.col("n")).otherwise(0)).alias("bads")]
+    whole = [F.max(is_good.cast("double")).alias("whole_good"), F.max(is_bad.cast("double")).alias("whole_bad")]
+    shares = each.groupBy("host").agg(*sums, *whole)
+    named = F.col("host").rlike(blocked_names)
+    good = F.when(named, 0.0).when(F.col("pages") > 0, F.col("goods") / F.col("pages")).otherwise(F.col("whole_good"))
+    bad = F.when(named, 1.0).when(F.col("pages") > 0, F.col("bads") / F.col("pages")).otherwise(F.col("whole_bad"))
+    return shares.select("host", good.alias("good"), bad.alias("bad"))
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_names: str = BLOCKED_NAMES) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), a row for each row of ``pages`` (page_id, url, html).
 
-    The longest rule that fits decides; else the host's scores do.  Trusted
-    seeds are hosts that an allow rule covers whole; blocked seeds are hosts
-    that a block rule covers whole, and hosts of known bad names.  Pages
-    without a host are allowed.  Other columns are ignored.
+    The longest rule that fits decides; else the host's scores do.  Hosts are
+    seeds with the weights of ``seed_weights``.  Pages without a host are
+    allowed.  Other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     read = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     edges = scratch.save(host_edges(read))
-    hosts = read.select(host_of(F.col("url")).alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).where("host <> ''").distinct()
-    rule = ruled(F.col("host"), F.lit("/"), rules)
     allowed = [r.text for r in rules if r.allow]
-    seeded = scratch.save(hosts.withColumn("rule", rule).select("host", (F.col("rule").isNotNull() & F.col("rule").isin(allowed)).alias("good"), ((F.col("rule").isNotNull() & ~F.col("rule").isin(allowed)) | F.col("host").rlike(blocked_names)).alias("bad")))
-    trust = propagate(edges, seeded.where("good and not bad"), scratch)
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeded.where("bad"), scratch)
+    seeded = scratch.save(seed_weights(read, edges, rules, blocked_names))
+    trust = propagate(edges, seeded.where("good > 0").select("host", F.col("good").alias("weight")), scratch)
+    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeded.where("bad > 0").select("host", F.col("bad").alias("weight")), scratch)
     scores = scratch.save(trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full"))
     placed = read.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     both = placed.withColumn("rule", ruled(F.col("host"), F.col("path"), rules)).join(scores, "host", "left")

@@ -395,6 +395,21 @@ def test_urls(spark):
     assert urls.judge(frame(spark, [], PAGES)).count() == 0
 
 
+def test_urls_rules_seed_the_graph(spark):
+    page = lambda host, path, to="": (f"http://{host}{path}", f"<a href='//{to}/'>x</a>" if to else "")
+    urls_of = [page("half.net", "/es/1"), page("half.net", "/fr/2"), page("half.net", "/en/3"), page("half.net", "/de/4")]
+    urls_of += [page("tenth.net", "/es/1")] + [page("tenth.net", f"/en/{i}") for i in range(9)]
+    urls_of += [page("fan.org", "/", "all.net"), page("all.net", "/es/1"), page("mild.org", "/", "tenth.net")]
+    urls_of += [page("mixed.example.com", "/en/1"), page("mixed.example.com", "/de/2"), page("mixed.example.com", "/de/3"), page("mixed.example.com", "")]
+    got = [(r.host, r.rule, r.verdict, r.trust, r.distrust) for r in urls.judge(frame(spark, [(i, *u) for i, u in enumerate(urls_of)], PAGES)).collect()]
+    assert len(got) == len(urls_of)
+    free = {h: v for h, rule, v, _, _ in got if rule is None}
+    assert free == {"half.net": "block", "tenth.net": "allow", "fan.org": "block", "mild.org": "allow", "mixed.example.com": "allow"}
+    scores = {h: (round(t, 6), round(d, 6)) for h, _, _, t, d in got}
+    assert scores["half.net"] == (0, 0.075) and scores["tenth.net"] == (0, 0.015) and scores["all.net"] == (0, 0.15) and scores["mild.org"] == (0, 0.01275)
+    assert scores["mixed.example.com"] == (0.075, 0.0375)
+
+
 def test_page_rank(spark, tmp_path):
     from strataplane.llm.common import Scratch
 
