@@ -22,6 +22,7 @@ from strataplane.llm.tree import Tree, grow, share
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.DOTALL)
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas"}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE) for name in RAW}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
@@ -57,7 +58,7 @@ def blocks(page: str) -> list[Block]:
     state = (False, False, False, False)
     part: list[str] = []
     linked: list[str] = []
-    tag, in_link, at, raw = "", 0, 0, None
+    in_link, at = 0, 0
 
     def flush() -> None:
         nonlocal part, linked
@@ -67,27 +68,21 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, text.count(" ") + 1, len(unescape("".join(linked)).split()), *state[:3], bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dd", "dt"}), state[3]))
         part, linked = [], []
 
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        if raw is None:
-            text = page[at : m.start()]
-            if text:
-                part.append(text)
-                if in_link:
-                    linked.append(text)
+    while m := MARKUP.search(page, at):
+        text = page[at : m.start()]
+        if text:
+            part.append(text)
+            if in_link:
+                linked.append(text)
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if raw is not None:
-            if closing and name == raw:
-                raw = None
-            continue
         if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                raw = name
+            if not closing and not attributes.endswith("/"):  # what it holds is no markup up to its own closing tag
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
             part.append(" ")
             continue
         if name == "br":
@@ -116,8 +111,7 @@ def blocks(page: str) -> list[Block]:
         cue = state[2] or bool(values and CUES.search(values)) or bool(attributes and HIDDEN.search(attributes))
         state = (article, inside, cue, state[3] or bool(attributes and SAID.search(attributes)))
         stack.append((name, *state))
-    if raw is None:
-        part.append(page[at:])
+    part.append(page[at:])
     flush()
     return out
 

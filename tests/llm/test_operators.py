@@ -370,6 +370,22 @@ def test_html(spark):
     assert html.extract(frame(spark, [], PAGES)).count() == 0
 
 
+def test_html_raw_elements():
+    tree, body = html.train(), "<p>" + "main text of words " * 15 + "</p>"
+    want = " ".join(("main text of words " * 15).split())
+    for raw in (
+        "<script>for(var i=0;i<n;i++){f(i);}</script>",
+        "<SCRIPT type=x>if (a<b && c>d) { s = '</scripts>' + \"</p>\"; }</Script >",
+        "<script>x = i<n ? 'it' : \"</script>",
+        "<style>a<b{}</style\n>",
+        "<script><!-- i<n --></script><textarea><p>not <!-- this</textarea>",
+        "<script src=x></script><script>i<n</script>",
+    ):
+        assert html.main_text(f"<article>{raw}{body}</article>", tree) == want, raw
+        assert html.main_text(f"<article>{body}{raw}{body}</article>", tree) == want + " " + want, raw
+    assert html.main_text(f"<article>{body}<script>i<n; {body}", tree) == want
+
+
 def test_html_whole_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     tree = html.train()
