@@ -91,7 +91,7 @@ def shingle_sets(texts: list[str | None], width: int = 3) -> list[np.ndarray]:
         cut = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
         with np.errstate(over="ignore"):
             rolled = np.zeros(len(values), dtype=U)
-            for i in range(width):
+            for i in range(min(width, len(values))):
                 rolled[: len(values) - i] += mix(values[i:] + U(i * 0x632BE59BD9B4E019 & _MASK))
             rolled = mix(rolled)
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):

@@ -144,6 +144,18 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, []), 3, 85).count() == 0
 
 
+def test_near_duplicates_few_words(spark):
+    for text in ("a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f"):
+        assert [len(s) for s in shingles.shingle_sets([text], 5)] == [max(1, len(text.split()) - 4)]
+        long = "w " * (shingles.GROUP // 2)
+        assert [len(s) for s in shingles.shingle_sets([long, text, long], 5)] == [1, max(1, len(text.split()) - 4), 1]
+    rows = [*ODD, (8, "one two three"), (9, "ONE two three"), (10, "a b c d e")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), DOCS)  # a row a partition
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 5, 80).collect()]
+    want = plain_components([r for r in rows if r[0] is not None], 5, 80)
+    assert len(got) == len(rows) and {i: (n, c) for i, n, c in got if i is not None} == want
+
+
 def test_sketch_agrees_with_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
