@@ -125,6 +125,15 @@ def load_vocabulary(path: str) -> dict[bytes, int]:
     return {t: i for t, i in ranks.items() if i < at}
 
 
+def load_added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the same file: literals that stand for one id wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that depend on what stands around them are not read")
+    return {t["content"]: t["id"] for t in added}
+
+
 def pieces_of(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` ids; only the first may be shorter than ``size``."""
     if n <= size:
@@ -133,16 +142,16 @@ def pieces_of(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, size) for s in range(head, n, size)]
 
 
-def _piece_maker(shared, pattern: str, size: int):
+def _piece_maker(shared, added: dict[str, int], pattern: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={}).encode_to_numpy
+        encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=shared.value, special_tokens=added).encode_to_numpy
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             doc, piece, start, length, crc = [], [], [], [], []
             for i, text in zip(ids, texts, strict=True):
-                got = encode(text.as_py() or "", disallowed_special=()).astype("<u4")
+                got = encode(text.as_py() or "", allowed_special="all").astype("<u4")
                 got = np.append(got, np.uint32(END_ID)).astype("<u4")
                 for k, (s, n) in enumerate(pieces_of(len(got), size)):
                     doc.append(i)
@@ -162,7 +171,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, size: int = SIZ
     """(doc_id, piece, start, length, ids_crc32) of each row of ``docs``; a null text counts as empty, one END_ID."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))  # the vocabulary: about 50,000 entries
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_piece_maker(shared, pattern, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_piece_maker(shared, load_added_tokens(vocabulary), pattern, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:

@@ -255,6 +255,19 @@ def test_packing(spark, texts):
     assert packing.pack(packing.token_pieces(frame(spark), json_path, public_tokenizers.PATTERN)).count() == len(ODD)
 
 
+def test_packing_added_tokens(spark):
+    json_path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, end = Tokenizer.from_file(json_path), "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f" {end} \n{end}x", f"{end[:-1]} {end[1:]}", "<|endofprompt|>", f"word {end} " * 3000]
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.token_pieces(frame(spark, list(enumerate(texts))), json_path, public_tokenizers.PATTERN).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        for k, (s, n) in enumerate(packing.pieces_of(len(ids))):
+            want[i, k] = (s, n, zlib.crc32(ids[s : s + n].tobytes()))
+    assert got == want and got[0, 0][1] == 4
+
+
 # ------------------------------------------------------------------------- lines
 
 
