@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from strataplane.llm.common import BROADCAST_BYTES, Scratch, is_word
 
-RATIO, LEAST_PAGES = 0.1, 3
+#: In the gap of the measured line shares (README), and the pages that a line needs at a small host.
+RATIO, LEAST_PAGES = 0.06, 3
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:

@@ -285,6 +285,14 @@ def test_lines_ignore_copies(spark):
     assert lines.drop_boilerplate(frame(spark, rows, "doc_id long, source string, text string")).agg(F.sum("_n_dropped")).first()[0] == 0
 
 
+def test_lines_ratio(spark):
+    """Of 100 pages eight share a head, four a short sentence; of a small host's 20 pages two share a foot."""
+    rows = [(i, "h", (f"head\nown {i}" if i < 8 else f"own {i}\nshort" if i < 12 else f"own {i}")) for i in range(100)]
+    rows += [(200 + i, "g", f"own {i}\nfoot" if i < 2 else f"own {i}") for i in range(20)]
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(frame(spark, rows, "doc_id long, source string, text string")).collect()}
+    assert got == {i: t.removeprefix("head\n") for i, _, t in rows}
+
+
 # ----------------------------------------------------------------------- quality
 
 
