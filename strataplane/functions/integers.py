@@ -69,5 +69,10 @@ def leb128(groups: Column) -> Column:
     return F.aggregate(F.transform(used, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lit64(0), lambda acc, x: acc + F.call_function("shiftleft", (x["b"] % 128).cast("bigint"), 7 * x["i"]))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)

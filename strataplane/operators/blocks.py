@@ -12,25 +12,13 @@ from math import cos, pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strataplane.functions.integers import clip, div, lit64, round_shift, total
+from strataplane.functions.integers import clip, div, let, lit64, round_shift, total
 
 
 def at(block: Column, i: int) -> Column:
     return F.element_at(block, i + 1)
 
 
-def rows_of(block: Column, n: int) -> list[list[Column]]:
-    return [[at(block, r * n + c) for c in range(n)] for r in range(n)]
-
-
-def pack(rows: list[list[Column]]) -> Column:
-    return F.array(*[v for row in rows for v in row])
-
-
-def transpose(rows: list[list[Column]]) -> list[list[Column]]:
-    return [list(c) for c in zip(*rows, strict=True)]
-
-
 # ---- one-dimensional transforms on lists of columns
 
 
@@ -96,21 +84,6 @@ def flip(f):
     return lambda v: f(v)[::-1]
 
 
-def separable(block: Column, n: int, rows, columns, row_shift: int, last_shift: int = 4, bits: int = 16) -> Column:
-    """Rows, a rounding shift and a clip, then columns and the last shift.
-
-    The row pass is an array of its own, so the column pass reads values, not
-    expressions of expressions.
-    """
-    low, high = -(1 << bits - 1), (1 << bits - 1) - 1
-    passed = pack([[clip(round_shift(x, row_shift), low, high) for x in rows(r)] for r in rows_of(block, n)])
-
-    def second(b: Column) -> Column:
-        return pack(transpose([[round_shift(x, last_shift) for x in columns(c)] for c in transpose(rows_of(b, n))]))
-
-    return F.element_at(F.transform(F.array(passed), second), 1)
-
-
 def dc_only(dc: Column, n: int, row_shift: int) -> Column:
     """The residual of a block whose only coefficient is the first."""
     once = round_shift(_turn(dc, cos12(32), lit64(0), 0), row_shift)
@@ -223,7 +196,7 @@ def chroma_from_luma(luma: Column, dc: Column, alpha: Column, n: int, depth: int
 
         return F.transform(s, one)
 
-    return F.element_at(F.transform(F.array(sums), scaled), 1)
+    return let(sums, scaled)
 
 
 def palette_lookup(palette: Column, index: Column) -> Column:

@@ -46,5 +46,5 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same tables in SQL.
-PX = "px AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5) AS BIGINT) AS v FROM embeddings, range(1, 65) t(i))"
-BLOCKS = "blk AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS s FROM embeddings)"
+PX = "px AS MATERIALIZED (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT) AS v FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(0, 64)) AS i FROM embeddings))"
+BLOCKS = "blk AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS s FROM embeddings)"

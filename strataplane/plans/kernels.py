@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataplane.functions.integers import lit64
+from strataplane.functions.integers import let, lit64
 from strataplane.operators import blocks as K
 from strataplane.operators import filters as S
+from strataplane.operators import transforms as T
 from strataplane.plans.base import BLOCKS, PX, blocks, px, query, table
 
 INT = "bigint"
@@ -97,23 +99,26 @@ def _two_pass(first: list[str], second: list[str], n: int, shift: int) -> str:
     return f"{_Q}, p AS (SELECT vec_id, y, {row} FROM q WHERE y < {n}), t AS (SELECT vec_id, x, {turned} FROM p, range(0, {n}) g(x) GROUP BY vec_id, x) {out}"
 
 
-def _corner(s, n: int):
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.element_at(s, F.floor(i / n).cast("int") * 8 + i % n + 1) - 128)
+def _residuals(spark, d, n: int, rows, columns, shift: int):
+    """Residuals of the top-left n x n samples of each block, taken as coefficients around 0."""
+    index = (np.arange(n)[:, None] * 8 + np.arange(n)).reshape(-1)
+    got = T.on_blocks(blocks(spark, d).withColumnRenamed("s", "r"), "r", 64, lambda x: T.separable(x[:, index] - 128, n, n, rows, columns, shift))
+    return _rows(got, n * n)
 
 
 @query("separable_dct4x4", _two_pass(_dct4_sql(), _dct4_sql(), 4, 0))
 def separable_dct4x4(spark, d):
-    return _each(spark, d, lambda s: K.separable(_corner(s, 4), 4, K.dct4, K.dct4, 0))
+    return _residuals(spark, d, 4, T.dct, T.dct, 0)
 
 
 @query("separable_adst_dct4x4", _two_pass(_adst4_sql(), _dct4_sql(), 4, 0))
 def separable_adst_dct4x4(spark, d):
-    return _each(spark, d, lambda s: K.separable(_corner(s, 4), 4, K.adst4, K.dct4, 0))
+    return _residuals(spark, d, 4, T.adst, T.dct, 0)
 
 
 @query("separable_dct8x8", _two_pass(_dct8_sql(), _dct8_sql(), 8, 1))
 def separable_dct8x8(spark, d):
-    return _each(spark, d, lambda s: K.separable(_corner(s, 8), 8, K.dct8, K.dct8, 1))
+    return _residuals(spark, d, 8, T.dct, T.dct, 1)
 
 
 @query("dc_only", f"WITH {PX} SELECT vec_id, CAST(i AS BIGINT) AS i, CAST({_rs(_rs(_rs(_rs('(v - 128) * 2896', 12), 1) + ' * 2896', 12), 4)} AS BIGINT) AS v FROM px, range(0, 64) t(i) WHERE y = 0 AND x = 0")
@@ -138,35 +143,38 @@ def dequant(spark, d):
 # ---- prediction: row 0 is the top edge, column 0 the left one, sample (0, 0) the corner
 
 
-def _edges(s):
-    return F.slice(s, 1, 8), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.element_at(s, y * 8 + 1)), F.element_at(s, 1)
+def _edged(spark, d, f):
+    """f(top, left, corner) of each block; the edges are computed once a row."""
+    left = lambda s: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.element_at(s, y * 8 + 1))
+    edges = lambda s: F.struct(F.slice(s, 1, 8).alias("top"), left(s).alias("left"), F.element_at(s, 1).alias("corner"))
+    return _each(spark, d, lambda s: let(edges(s), lambda e: f(e["top"], e["left"], e["corner"])))
 
 
 _E = f"WITH {PX}, e AS (SELECT p.vec_id, p.y * 8 + p.x AS i, p.y, p.x, t.v AS t, l.v AS l, c.v AS c, b.v AS b, r.v AS r FROM px p JOIN px t ON t.vec_id = p.vec_id AND t.y = 0 AND t.x = p.x JOIN px l ON l.vec_id = p.vec_id AND l.x = 0 AND l.y = p.y JOIN px c ON c.vec_id = p.vec_id AND c.y = 0 AND c.x = 0 JOIN px b ON b.vec_id = p.vec_id AND b.y = 7 AND b.x = 0 JOIN px r ON r.vec_id = p.vec_id AND r.y = 0 AND r.x = 7)"
 _SUMS = f"WITH {PX}, e AS (SELECT vec_id, sum(CASE WHEN y = 0 THEN v END) AS ts, sum(CASE WHEN x = 0 THEN v END) AS ls FROM px GROUP BY vec_id)"
 for _side, _dc in {"both": "(ts + ls + 8) // 16", "top": "(ts + 4) // 8", "left": "(ls + 4) // 8", "none": "128"}.items():
-    query(f"intra_dc_{_side}", f"{_SUMS} SELECT vec_id, CAST(i AS BIGINT) AS i, CAST({_dc} AS BIGINT) AS v FROM e, range(0, 64) t(i)")((lambda side: lambda spark, d: _each(spark, d, lambda s: K.predict_dc(*_edges(s)[:2], 8, side)))(_side))
+    query(f"intra_dc_{_side}", f"{_SUMS} SELECT vec_id, CAST(i AS BIGINT) AS i, CAST({_dc} AS BIGINT) AS v FROM e, range(0, 64) t(i)")((lambda side: lambda spark, d: _edged(spark, d, lambda top, left, corner: K.predict_dc(top, left, 8, side)))(_side))
 
 
 @query("intra_v", f"{_E} SELECT vec_id, i, t AS v FROM e")
 def intra_v(spark, d):
-    return _each(spark, d, lambda s: K.predict_v(_edges(s)[0], 8))
+    return _edged(spark, d, lambda top, left, corner: K.predict_v(top, 8))
 
 
 @query("intra_h", f"{_E} SELECT vec_id, i, l AS v FROM e")
 def intra_h(spark, d):
-    return _each(spark, d, lambda s: K.predict_h(_edges(s)[1], 8))
+    return _edged(spark, d, lambda top, left, corner: K.predict_h(left, 8))
 
 
 @query("intra_paeth", f"{_E} SELECT vec_id, i, CASE WHEN abs(t - c) <= abs(l - c) AND abs(t - c) <= abs(l + t - 2 * c) THEN l WHEN abs(l - c) <= abs(l + t - 2 * c) THEN t ELSE c END AS v FROM e")
 def intra_paeth(spark, d):
-    return _each(spark, d, lambda s: K.predict_paeth(*_edges(s), 8))
+    return _edged(spark, d, lambda top, left, corner: K.predict_paeth(top, left, corner, 8))
 
 
 _W = "[255, 197, 146, 105, 73, 50, 37, 32]"
 _DOWN, _ACROSS = f"({_W}[y + 1] * t + (256 - {_W}[y + 1]) * b)", f"({_W}[x + 1] * l + (256 - {_W}[x + 1]) * r)"
 for _kind, _sql in {"both": _rs(f"{_DOWN} + {_ACROSS}", 9), "v": _rs(_DOWN, 8), "h": _rs(_ACROSS, 8)}.items():
-    query(f"intra_smooth_{_kind}", f"{_E} SELECT vec_id, i, CAST({_sql} AS BIGINT) AS v FROM e")((lambda kind: lambda spark, d: _each(spark, d, lambda s: K.predict_smooth(*_edges(s)[:2], 8, kind)))(_kind))
+    query(f"intra_smooth_{_kind}", f"{_E} SELECT vec_id, i, CAST({_sql} AS BIGINT) AS v FROM e")((lambda kind: lambda spark, d: _edged(spark, d, lambda top, left, corner: K.predict_smooth(top, left, 8, kind)))(_kind))
 
 
 @query(
@@ -174,7 +182,7 @@ for _kind, _sql in {"both": _rs(f"{_DOWN} + {_ACROSS}", 9), "v": _rs(_DOWN, 8),
     f"WITH {PX}, e AS (SELECT vec_id, list(v ORDER BY y, x) AS g FROM px WHERE y < 2 GROUP BY vec_id), p AS (SELECT vec_id, i, g, ((i // 8 + 1) * 23 >> 6) + i % 8 AS b, (((i // 8 + 1) * 23) & 63) >> 1 AS f FROM e, range(0, 64) t(i)) SELECT vec_id, CAST(i AS BIGINT) AS i, CAST((g[least(b, 15) + 1] * (32 - f) + g[least(b + 1, 15) + 1] * f + 16) >> 5 AS BIGINT) AS v FROM p",
 )
 def intra_directional(spark, d):
-    return _each(spark, d, lambda s: K.predict_directional(F.slice(s, 1, 16), 8, 23))
+    return _each(spark, d, lambda s: let(F.slice(s, 1, 16), lambda edge: K.predict_directional(edge, 8, 23)))
 
 
 @query(
@@ -182,12 +190,12 @@ def intra_directional(spark, d):
     f"WITH {PX}, s AS (SELECT vec_id, y // 2 AS cy, x // 2 AS cx, 2 * sum(v) AS l FROM px GROUP BY ALL), m AS (SELECT vec_id, (sum(l) + 8) >> 4 AS m FROM s GROUP BY vec_id), c AS (SELECT vec_id, v AS dc, v % 17 - 8 AS a FROM px WHERE y = 0 AND x = 0) SELECT s.vec_id, CAST(cy * 4 + cx AS BIGINT) AS i, CAST(greatest(0, least(255, dc + (CASE WHEN a * (l - m) < 0 THEN -1 ELSE 1 END) * ((abs(a * (l - m)) + 32) >> 6))) AS BIGINT) AS v FROM s JOIN m USING (vec_id) JOIN c USING (vec_id)",
 )
 def cfl(spark, d):
-    return _each(spark, d, lambda s: K.chroma_from_luma(s, F.element_at(s, 1), F.element_at(s, 1) % 17 - 8, 8))
+    return _each(spark, d, lambda s: let(s, lambda b: K.chroma_from_luma(b, F.element_at(b, 1), F.element_at(b, 1) % 17 - 8, 8)))
 
 
 @query("palette_lookup", f"WITH {PX} SELECT a.vec_id, a.y * 8 + a.x AS i, p.v FROM px a JOIN px p ON p.vec_id = a.vec_id AND p.y = 0 AND p.x = a.v % 8")
 def palette_lookup(spark, d):
-    return _each(spark, d, lambda s: K.palette_lookup(F.slice(s, 1, 8), F.transform(s, lambda v: v % 8)))
+    return _each(spark, d, lambda s: let(F.slice(s, 1, 8), lambda p: K.palette_lookup(p, F.transform(s, lambda v: v % 8))))
 
 
 @query("palette_merge", f"WITH {PX}, u AS (SELECT DISTINCT vec_id, v FROM px WHERE y IN (0, 3)) SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY v) - 1 AS i, v FROM u")
@@ -229,12 +237,12 @@ def _mc_sql(dy: int, dx: int) -> str:
 
 @query("bilinear_mc", _mc_sql(11, -13))
 def bilinear_mc(spark, d):
-    return _each(spark, d, lambda s: K.motion_bilinear(s, 8, 11, -13))
+    return _each(spark, d, lambda s: let(s, lambda b: K.motion_bilinear(b, 8, 11, -13)))
 
 
 @query("intra_block_copy", _mc_sql(-16, 8))
 def intra_block_copy(spark, d):
-    return _each(spark, d, lambda s: K.motion_bilinear(s, 8, -16, 8))
+    return _each(spark, d, lambda s: let(s, lambda b: K.motion_bilinear(b, 8, -16, 8)))
 
 
 @query("warp_lsq_sums", f"WITH {PX} SELECT vec_id, CAST(sum(x * x // 4 + 2 * x + 8) AS BIGINT) AS a00, CAST(sum(x * y // 4 + x + y + 4) AS BIGINT) AS a01, CAST(sum(y * y // 4 + 2 * y + 8) AS BIGINT) AS a11, CAST(sum(x * v // 4 + x + v + 4) AS BIGINT) AS b0 FROM px WHERE abs(x * 8 - v) < 256 GROUP BY vec_id")
