@@ -190,7 +190,7 @@ def separable(blocks: np.ndarray, width: int, height: int, rows: Transform, colu
     top = 1 << max(depth + 6, 16) - 1
     passed = np.clip(rounded(passed, shift), -top, top - 1)
     out = np.stack(columns([passed[:, i, :] for i in range(height)]), axis=1)
-    return rounded(out, last).reshape(len(blocks), -1)
+    return rounded(out, last).reshape(len(blocks), width * height)
 
 
 def on_blocks(frame: DataFrame, column: str, size: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
