@@ -8,6 +8,7 @@ small labelled table of pages keeps or drops each block.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,15 +28,18 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
 PARTS = {"nav", "footer", "aside", "form", "head", "header", "menu", "button", "select", "dialog", "fieldset", "label", "figcaption"}
-CUES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|sidebar|side|widget|menu|nav\w*|breadcrumbs?|"
-    r"footer|header|masthead|copyright|comments?|reply|replies|disqus|discussion|social|share|sharing|related|recommended|more-stories|tags?|pagination|pager|hidden|skip)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role names that name boilerplate, words that may stand beside them, and those that say nothing inside an article.
+CUES = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent notice notices popup modal newsletter subscribe subscription signup "
+    "login sidebar side widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead copyright comment comments commentlist reply replies respond disqus discussion "
+    "social share sharing related recommended recommendations tags pagination pager hidden skip skiplink complementary contentinfo search dialog alertdialog".split()
 )
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SAID = re.compile(r"\bclass\s*=\s*[\"']?keep\b")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_part", "cue", "heading", "item")
+BESIDE = set("a and area bar block body bottom box button buttons card col column container content desktop entry form global group icon icons inner item items left line link links list listing main message mobile more module outer overlay page panel policy post posts primary right row section site slot sub thread title to top unit wrap wrapper".split()) 
+TITLES = {"header", "masthead", "side", "tags", "banner", "search", "notice"}
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_part", "cue", "heading", "item", "outside")
 
 
 @dataclass
@@ -49,11 +53,34 @@ class Block:
     heading: bool
     item: bool
     label: bool
+    outside: bool = False
+
+
+def _told(attributes: str, article: bool) -> tuple[bool, bool]:
+    """Whether attributes name or hide boilerplate, and whether they carry the label of the training table.
+
+    A class, id or role counts if one of its names consists of cue words and
+    words that may stand beside them, as ``site-footer`` or ``cookieNotice2``;
+    ``side-story`` and ``overflow-hidden`` do not.
+    """
+    cue = label = False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                label |= token == "keep"
+                words = [w for w in re.split(r"[-_:\d]+", HUMP.sub("-", token).lower()) if w]
+                known = [w for w in words if w in CUES and not (article and w in TITLES)]
+                cue |= bool(known) and all(w in CUES or w in BESIDE for w in words)
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
+            cue = True
+    return cue, label
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; blocks without text are left out."""
     out: list[Block] = []
+    opened: dict[str, int] = {}  # how often each name is on the stack, so a stray closing tag costs no search
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, in article, in part, cue, label
     state = (False, False, False, False)
     part: list[str] = []
@@ -68,6 +95,15 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, text.count(" ") + 1, len(unescape("".join(linked)).split()), *state[:3], bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dd", "dt"}), state[3]))
         part, linked = [], []
 
+    def close(name: str) -> None:
+        nonlocal state
+        while True:
+            top = stack.pop()[0]
+            opened[top] -= 1
+            if top == name:
+                break
+        state = stack[-1][1:] if stack else (False, False, False, False)
+
     while m := MARKUP.search(page, at):
         text = page[at : m.start()]
         if text:
@@ -97,22 +133,22 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-                state = stack[-1][1:] if stack else (False, False, False, False)
+            if opened.get(name):
+                close(name)
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            stack.pop()
-            state = stack[-1][1:] if stack else (False, False, False, False)
-        values = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
+            close(name)
         article = state[0] or name in ARTICLE
         inside = state[1] or (name in PARTS and not (name in ("header", "figcaption") and article))
-        cue = state[2] or bool(values and CUES.search(values)) or bool(attributes and HIDDEN.search(attributes))
-        state = (article, inside, cue, state[3] or bool(attributes and SAID.search(attributes)))
+        cue, label = _told(attributes, article) if attributes else (False, False)
+        state = (article, inside, state[2] or cue, state[3] or label)
         stack.append((name, *state))
+        opened[name] = opened.get(name, 0) + 1
     part.append(page[at:])
     flush()
+    if any(b.in_article and not (b.in_part or b.cue) for b in out):
+        for b in out:
+            b.outside = not b.in_article
     return out
 
 
@@ -120,42 +156,78 @@ def vectors(found: list[Block]) -> np.ndarray:
     """FEATURES of each block; beyond the ends there are 0 words and link density 0."""
     words = np.array([0, *[b.words for b in found], 0], dtype=float)
     links = np.array([0, *[min(1.0, b.linked / b.words) for b in found], 0], dtype=float)
-    own = np.array([(b.in_article, b.in_part, b.cue, b.heading, b.item) for b in found], dtype=float).reshape(-1, 5)
+    own = np.array([(b.in_article, b.in_part, b.cue, b.heading, b.item, b.outside) for b in found], dtype=float).reshape(-1, 6)
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own])
 
 
-def _page(main: str, wrap: str, lead: str, side: str, tail: str) -> str:
-    return f"<html><head><title>t</title></head><body>{lead}{wrap.format(main)}{side}{tail}</body></html>"
-
-
-def training_pages() -> list[str]:
-    """The labelled table: small pages whose main blocks carry class "keep"."""
-    long, mid, short = "word " * 60, "word " * 25, "word " * 4
-    link = "<a href='/x'>go there</a>"
-    mains = [
-        f"<h1 class=keep>{short}</h1><p class=keep>{long}</p><p class=keep>{mid}</p><p class=keep>{short}</p>",
-        f"<h2 class=keep>{short}</h2><p class=keep>{mid} {link}</p><p class=keep>one</p><p class=keep>{long}</p>",
-        f"<p class=keep>{long}</p><ul><li class=keep>{short}</li><li class=keep>{mid}</li></ul><blockquote class=keep>{mid}</blockquote>",
-        f"<h1 class=keep>one</h1><p class=keep>{short}</p>",
-    ]
-    wraps = ["<article>{}</article>", "<main><div>{}</div></main>", "<article>{}<section class='comments'><h3>word</h3><p>" + mid + "</p><p>" + long + "</p></section></article>", "<div>{}</div>", "<div id='content'>{}</div>"]
-    menu = "<ul>" + f"<li>{link}</li>" * 5 + "</ul>"
-    wraps += [f"<article><nav>{menu}</nav>{{}}<form><p>{short}</p><p>{mid}</p></form><footer><p>{short}</p><p>{mid}</p></footer></article>", f"<main><aside><p>{short}</p><p>{mid}</p></aside>{{}}{menu}<div>{link} {link}</div></main>"]
-    leads = [f"<nav>{menu}</nav><div class=ad>{short}{short}</div>", f"<header><p>{short}</p></header><div>{menu}</div>", f"<div class='cookie-notice'><p>{mid}</p></div><div>{link} | {link} | {link}</div>", ""]
-    sides = [f"<aside><p>{mid}</p></aside>", f"<div class=sidebar><h3>word</h3><p>{long}</p>{menu}</div>", f"<div>{link}</div><div>{link} {link}</div><form><p>{short}</p></form>", ""]
-    tails = [f"<footer>{short}{short}</footer>", f"<div id=footer><p>{mid}</p></div>", f"<div>{link} {link} word</div><footer><p>{long}</p></footer>", f"<div>{menu}</div><div>word word</div>", ""]
-    n = 0
+def labelled_pages(seed: int = 7, n: int = 240) -> list[str]:
+    """A small labelled table of pages, drawn from templates; blocks of the main text carry class "keep".
+
+    Half of the pages have an article element; in it every block is main text,
+    however short, late or full of links, but for parts and names that tell
+    otherwise.  The others are flat: main text in blocks of all lengths, between
+    link lists and short lines that stand at links.
+    """
+    rng = random.Random(seed)
+    words = lambda a, b: " ".join(["word"] * rng.randint(a, b))
+    link = lambda: f"<a href='/x'>{words(1, 3)}</a>"
+
+    def paragraph(most: int, linked: float) -> str:
+        parts = [words(1, most)] + [f"<a href='/y'>{words(1, 8)}</a> {words(0, 3)}" for _ in range(3) if rng.random() < linked]
+        rng.shuffle(parts)
+        return " ".join(parts)
+
+    def main(linked: float, closing: int) -> str:
+        out = [f"<h1 class=keep>{words(1, 10)}</h1>"] if rng.random() < 0.7 else []
+        for _ in range(rng.randint(1, 9)):
+            most = rng.choice((4, 15, 40, 90, 160))
+            kind = rng.random()
+            if linked >= 0.5 and kind < 0.15:
+                out.append(f"<p class=keep>{link()}</p><ul><li class=keep>{link()}</li></ul>")
+            elif kind < 0.7:
+                out.append(f"<p class=keep>{paragraph(most, linked)}</p>")
+            elif kind < 0.8:
+                out.append(f"<h2 class=keep>{words(1, 8)}</h2><p class=keep>{words(8, 60)}</p>")
+            elif kind < 0.9:
+                out.append("<ul>" + "".join(f"<li class=keep>{words(3, 25)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+            else:
+                out.append(f"<blockquote class=keep>{words(5, 50)}</blockquote>")
+        return "".join(out) + f"<p class=keep>{words(1, closing)}</p>"
+
+    def links() -> str:
+        if rng.random() < 0.6:
+            return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 8))) + "</ul>"
+        return f"<div>{' | '.join(link() for _ in range(rng.randint(2, 6)))}</div>"
+
+    def named() -> str:
+        inner = rng.choice((links, lambda: f"<p>{words(1, 12)}</p>", lambda: f"<p>{words(20, 90)}</p>"))()
+        tag = rng.choice(("nav", "aside", "footer", "form", "div class=ad", "div class='cookie-notice'", "div id=sidebar", "section class='comment-list'", "div class=related", "div hidden"))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    def beside_links() -> str:
+        return links() + (f"<div>{words(1, 5)}</div>" if rng.random() < 0.5 else "") + links()
+
     pages = []
-    for main in mains:
-        for wrap in wraps:
-            pages.append(_page(main, wrap, leads[n % len(leads)], sides[(n // 2) % len(sides)], tails[(n // 3) % len(tails)]))
-            n += 1
+    for k in range(n):
+        around = [rng.choice((named, named, links, beside_links))() if rng.random() < 0.8 else "" for _ in range(4)]
+        if k % 2:
+            wrap = rng.choice(("<article>{}</article>", "<main><div>{}</div></main>", "<main><article><header class=entry-header>{}</header></article></main>", "<article class='side-story'>{}</article>"))
+            inside = main(0.5, 8).split("</p>")
+            inside.insert(rng.randrange(len(inside)), named() if rng.random() < 0.6 else "<p>")
+            loose = rng.choice(("", f"<p>{words(1, 60)}</p>"))
+            body = around[0] + loose + wrap.format("</p>".join(inside)) + around[1] + loose + around[2]
+        else:
+            body = around[0] + around[1] + main(0.2, 8) + around[2] + around[3]
+        pages.append(f"<html><head><title>t</title></head><body>{body}</body></html>")
     return pages
 
 
-def train() -> Tree:
-    found = [blocks(p) for p in training_pages()]
-    return grow(np.concatenate([vectors(b) for b in found]), np.array([b.label for page in found for b in page], dtype=int), depth=8, least=1)
+def train(ablated: tuple[str, ...] = ()) -> Tree:
+    """The tree over the labelled table; features in ``ablated`` are set to 0."""
+    found = [blocks(p) for p in labelled_pages()]
+    x = np.concatenate([vectors(b) for b in found])
+    x[:, [FEATURES.index(f) for f in ablated]] = 0
+    return grow(x, np.array([b.label for page in found for b in page], dtype=int), depth=10, least=3)
 
 
 def main_text(page: str, tree: Tree) -> str:
