@@ -1,13 +1,18 @@
 """Licence scans: a sparse n-gram logistic regression over paragraphs, confirmed by templates.
 
-The model is fitted on a small labelled table of notices and ordinary
-sentences.  Paragraphs are scored as a join of their n-grams with the weights,
-each distinct paragraph once; a calibrated class stands for notices of no known
-family, and a predicted family must also resemble one of its templates.
+The model is fitted on a labelled table of notices and ordinary sentences with
+an L1 penalty, so few n-grams have a weight.  Paragraphs are scored as a join
+of their n-grams with the weights, each distinct paragraph once; a calibrated
+class stands for notices of no known family, and a predicted family must also
+hold much of one of its templates.
+
+Which paragraphs need scoring follows from the weights: one without any of the
+n-grams of ``Model.needed`` can't outscore class ``none`` (see ``needed_grams``).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,106 +20,147 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataplane.llm.common import BROADCAST_BYTES, Scratch
+from strataplane.llm.common import BROADCAST_BYTES, Scratch, let
 
 NONE, UNKNOWN = "none", "unknown"
 
-#: The labelled table.  Each line of a family is a notice, and is a template too.
-NOTICES = {
-    "MIT": """Released under the MIT License.
-Licensed under the MIT license
-This project is licensed under the terms of the MIT license.
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction
-The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability
-SPDX-License-Identifier: MIT""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0.
-Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
-You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
-Released under the Apache License 2.0
-SPDX-License-Identifier: Apache-2.0""",
-    "GPL": """This work is licensed under the GNU General Public License, version 3.
-This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation
-Distributed under the GNU GPL version 2 or later.
-Licensed under the GPLv3.
-You should have received a copy of the GNU General Public License along with this program.
-SPDX-License-Identifier: GPL-3.0-or-later""",
-    "LGPL": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
-Licensed under the GNU Lesser General Public License, version 3.
-Released under the LGPL 2.1
-SPDX-License-Identifier: LGPL-2.1-only""",
-    "AGPL": """Licensed under the GNU Affero General Public License, version 3.
-You should have received a copy of the GNU Affero General Public License along with this program.
-Released under the AGPLv3
-SPDX-License-Identifier: AGPL-3.0-only""",
-    "BSD": """Released under the BSD License.
-Licensed under the 3-Clause BSD License
-Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.
-Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
-SPDX-License-Identifier: BSD-3-Clause""",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
-Licensed under the Mozilla Public License 2.0
-SPDX-License-Identifier: MPL-2.0""",
-    "CC-BY-NC": """Licensed under CC BY-NC 4.0.
-This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.
-Text is available under the Creative Commons Attribution-NonCommercial-ShareAlike License
-Shared under CC BY-NC-SA 4.0""",
-    "CC-BY": """Licensed under CC BY 4.0.
-This work is licensed under a Creative Commons Attribution 4.0 International License.
-Text is available under the Creative Commons Attribution-ShareAlike License
-Shared under CC BY-SA 4.0""",
-    "CC0": """Released into the public domain under CC0 1.0.
-To the extent possible under law, the author has waived all copyright and related rights to this work
-This is free and unencumbered software released into the public domain.""",
-    "Proprietary": """All rights reserved.
-Copyright 2020 Example Inc. All rights reserved.
-This document is confidential and proprietary and may not be copied or distributed without written permission
-No part of this publication may be reproduced without the prior written permission of the publisher""",
-    UNKNOWN: """Licensed under the terms of the accompanying agreement.
-This work is licensed under the Foo Community License, version 7.
-Released under a license.
-See the license file for details
-Use is subject to license terms
-Licensed under the Example Research License""",
-    NONE: """The driver's license was issued in the spring of last year
-She reserved a table for the rights group and left
-His licensed practice opened under a new version of the rules
-The general public was free to visit the library and the source of the river
-The team released a new version of the program to the public
-A copy of the letter was found in the file under the desk
-He was granted permission to use the software for any purpose at work
-Artistic license lets a writer change the order of events
-The bar lost its liquor license after the inspection
-All seats are reserved and all guests have been told
-They work under pressure and without any warranty of success
-The attribution of the painting is not certain
-Apache helicopters flew over the public square
-Students at MIT released the results of their work""",
+#: The labelled table: ways to say that a licence holds, names of licences by family, and whole sentences by family.
+SAYINGS = (
+    "Licensed under {}", "Released under {}", "Distributed under {}", "This work is licensed under {}", "This project is licensed under the terms of {}", "This software is made available under {}",
+    "Text is available under {}", "Shared under {}", "You may use this file under {}", "See the LICENSE file, {}", "The code is under {} and the docs too", "License: {}",
+)
+NAMES = {
+    "MIT": ("the MIT License", "the MIT license", "the terms of the MIT/X11 License", "SPDX-License-Identifier: MIT"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "GPL": ("the GNU General Public License, version 3", "the GNU General Public License version 2 or later", "the GNU GPL", "the GPLv3", "the GPLv2", "the GPL", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "LGPL": ("the GNU Lesser General Public License, version 3", "the GNU LGPL", "the LGPL 2.1", "the LGPLv3", "SPDX-License-Identifier: LGPL-2.1-only"),
+    "AGPL": ("the GNU Affero General Public License, version 3", "the GNU AGPL", "the AGPLv3", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "BSD": ("the BSD License", "the 3-Clause BSD License", "the 2-clause BSD license", "a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause"),
+    "MPL-2.0": ("the Mozilla Public License, v. 2.0", "the Mozilla Public License 2.0", "the MPL 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial-ShareAlike License"),
+    "CC-BY": ("CC BY 4.0", "CC BY-SA 4.0", "CC-BY 3.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution-ShareAlike License"),
+    "CC0": ("CC0 1.0", "the CC0 public domain dedication", "the Unlicense"),
+    UNKNOWN: ("the Foo Community License, version 7", "the Example Research License", "the terms of the accompanying agreement", "the Acme Open License", "a license of its own", "the house license", "the Bar Public License", "a custom license", "the Qux Source License 1.0"),
+}
+SENTENCES = {
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "The software is provided as is, without warranty of any kind, express or implied, including the warranties of merchantability",
+    ),
+    "Apache-2.0": (
+        "you may not use this file except in compliance with the License",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind",
+    ),
+    "GPL": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "You should have received a copy of the GNU General Public License along with this program",
+    ),
+    "LGPL": ("This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License", "You should have received a copy of the GNU Lesser General Public License along with this library"),
+    "AGPL": ("You should have received a copy of the GNU Affero General Public License along with this program", "free software under the terms of the GNU Affero General Public License"),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org"),
+    "CC-BY-NC": ("You may share and adapt this work for noncommercial purposes with attribution under Creative Commons",),
+    "CC-BY": ("You are free to share and adapt this work under CC BY-SA 4.0", "You are free to share this work if you give attribution under Creative Commons Attribution"),
+    "CC0": (
+        "To the extent possible under law, the author has waived all copyright and related rights to this work",
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "This work is in the public domain",
+    ),
+    "Proprietary": (
+        "All rights reserved",
+        "Copyright 2020 Example Inc. All rights reserved",
+        "This document is confidential and proprietary and may not be copied or distributed without written permission",
+        "No part of this publication may be reproduced without the prior written permission of the publisher",
+        "Unauthorized copying of this file is strictly prohibited",
+    ),
+    UNKNOWN: ("See the license file for details", "Use is subject to license terms", "License terms apply", "Licensed to the company under one or more contributor agreements", "Released under a license"),
+    NONE: (
+        "The driver's license was issued in the spring of last year",
+        "She reserved a table for the rights group and left",
+        "His licensed practice opened under a new version of the rules",
+        "The general public was free to visit the library and the source of the river",
+        "The team released a new version of the program to the public",
+        "A copy of the letter was found in the file under the desk",
+        "He was granted permission to use the software for any purpose at work",
+        "Artistic license lets a writer change the order of events",
+        "The bar lost its liquor license after the inspection",
+        "All seats are reserved and all guests have been told",
+        "They work under pressure and without any warranty of success",
+        "The attribution of the painting is not certain",
+        "Apache helicopters flew over the public square",
+        "Students at MIT released the results of their work",
+        "You are free to go, and the work is done for the day",
+        "The software runs on any computer and the file is saved in the folder",
+        "This notice was included in all copies of the paper, and the conditions were met",
+        "The author of the book may not use the house, and nobody is permitted to sell it",
+        "The commons voted, the creative arts were funded, and the domain of the king grew",
+        "Version 2.0 of the form is subject to change and you can obtain one at the office",
+        "The following list of conditions was read to the person on the first of May",
+        "It was distributed to the members in source and in print along with the program",
+        "The licence plate of the car was public and the licensed driver was not at home",
+        "A fishing license costs ten dollars a year at the town hall",
+        "The license of the pilot was lost in the fire",
+        "Poetic license let her bend the rules of grammar",
+        "A dog license, a marriage license and a hunting license were on the desk",
+        "In no event was the holder of the cup liable for damages to the copyright office",
+    ),
 }
-FAMILIES = tuple(NOTICES)
-#: A paragraph without one of these can only be of class none.
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|public domain|\bgpl|\bagpl|\blgpl|redistribut|free of charge|warrant|creative commons|\bcc0|\bcc by|confidential|spdx|reproduced|unencumbered"
-#: Each match of ANCHOR, in lower case, holds one of these.
-ANCHOR_PARTS = ("licens", "licenc", "copyright", "rights reserved", "public domain", "gpl", "redistribut", "free of charge", "warrant", "creative commons", "cc0", "cc by", "confidential", "spdx", "reproduced", "unencumbered")
+#: The texts that predictions are compared with, by family: what a notice of the family says, whole.
+TEMPLATES = {
+    "MIT": ("MIT License", "MIT X11 License", "Identifier MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy", "The above copyright notice and this permission notice shall be included in all copies", "The software is provided as is, without warranty of any kind"),
+    "Apache-2.0": ("Apache License", "Apache 2.0", "You may not use this file except in compliance with the License", "obtain a copy of the License at http://www.apache.org/licenses", "distributed on an AS IS BASIS, without warranties or conditions"),
+    "GPL": ("GNU General Public License", "GNU GPL", "the GPLv3", "the GPLv2", "the GPL", "Identifier GPL"),
+    "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "LGPL 2.1", "the LGPLv3", "the LGPL", "Identifier LGPL"),
+    "AGPL": ("GNU Affero General Public License", "GNU AGPL", "the AGPLv3", "the AGPL", "Identifier AGPL"),
+    "BSD": ("BSD License", "BSD style", "Clause BSD", "BSD 3", "BSD 2", "Redistribution and use in source and binary forms, with or without modification", "Redistributions of source code must retain the above copyright notice", "Redistributions in binary form must reproduce the above copyright notice"),
+    "MPL-2.0": ("Mozilla Public License", "MPL 2.0", "copy of the MPL"),
+    "CC-BY-NC": ("BY-NC", "Attribution NonCommercial", "noncommercial purposes"),
+    "CC-BY": ("CC BY", "Commons Attribution"),
+    "CC0": ("CC0 1.0", "the CC0", "the Unlicense", "public domain", "waived all copyright and related rights", "free and unencumbered software", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    "Proprietary": ("All rights reserved", "confidential and proprietary", "No part of this publication may be reproduced", "without the prior written permission", "copying of this file is strictly prohibited"),
+}
+FAMILIES = (*TEMPLATES, UNKNOWN, NONE)
+#: Words that are no n-gram alone, nor in pairs with each other; nor is a single letter or digit.
+COMMON = frozenset("a all an and any are as at be been by can do for from he if in is it its may must no not of on one or out shall she so subject that the their them they this to under use used using was we were will with without you your".split())
+#: Rows without any known n-gram, of class none: they set how much evidence the other classes need.
+EMPTY_ROWS = 20
 #: Least probability of a family, and least share of a template's word pairs that the paragraph holds.
 CERTAIN, CONFIRM = 0.5, 0.5
+#: A line goes on in the next one unless it is blank or ends a sentence; the joining newline becomes a space, so places stay.
+JOINED = r"\n(?<![.!?:;\n][ \t]{0,2}\n)(?![ \t]*+(?:\n|\z))"
 
 
-def _tokens_py(text: str) -> list[str]:
-    import re
-
-    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+def labelled() -> list[tuple[str, str]]:
+    """(notice, class) of the labelled table."""
+    rows = [(say.format(name), f) for f, names in NAMES.items() for name in names for say in SAYINGS]
+    for f, lines in SENTENCES.items():
+        for line in lines:
+            w = line.split()
+            # halves stand for notices that are broken off
+            rows += [(" ".join(part), f) for part in ((w, w[: len(w) // 2], w[len(w) // 2 :]) if len(w) >= 10 else (w,))]
+    return rows
 
 
-def _grams_py(text: str) -> list[str]:
-    w = _tokens_py(text)
-    return sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))})
+def grams_of(text: str) -> list[str]:
+    """The distinct words and word pairs of a text, as the columns of ``classify`` have them."""
+    w = [x for x in re.split(r"[^a-z0-9]+", text.lower()) if x]
+    alone = (x for x in w if len(x) > 1 and x not in COMMON)
+    return sorted({*alone, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if not {a, b} <= COMMON)})
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: tuple[tuple[str, str, float], ...]  # n-gram, family, weight
+    weights: tuple[tuple[str, str, float], ...]  # n-gram, class, weight
     bias: dict[str, float]
     templates: tuple[tuple[str, tuple[str, ...]], ...]  # family, word pairs
+    needed: tuple[str, ...]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -122,41 +168,68 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 2e-3) -> np.ndarray:
-    """Multinomial logistic regression by gradient steps; the last row is the bias."""
+def _fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 500, l1: float = 2e-4) -> np.ndarray:
+    """Multinomial logistic regression with an L1 penalty, by proximal gradient steps with momentum; the last row is the bias."""
     x = np.column_stack([x, np.ones(len(x))])
     want = np.eye(len(FAMILIES))[y]
-    w = np.zeros((x.shape[1], len(FAMILIES)))
+    step = 4.0 / np.max((x * x).sum(axis=1))
+    w = ahead = np.zeros((x.shape[1], len(FAMILIES)))
+    t = 1.0
     for _ in range(rounds):
-        w -= 2.0 * (x.T @ (_softmax(x @ w) - want) / len(x) + ridge * w)
+        new = ahead - step * (x.T @ (share[:, None] * (_softmax(x @ ahead) - want)))
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * l1, 0)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead = new + (before - 1) / t * (new - w)
+        w = new
     return w
 
 
+def needed_grams(names: list[str], w: np.ndarray) -> list[str]:
+    """N-grams of which a paragraph needs at least one to be of another class than ``none``.
+
+    For class f, a paragraph's lead over none is bias_f - bias_none plus the
+    leads of its n-grams.  N-grams are left out while the positive leads of all
+    those left out together stay below bias_none - bias_f, for every f: a
+    paragraph that holds only left out ones has no class ahead of none.
+    """
+    none = FAMILIES.index(NONE)
+    lead = np.maximum(w[:-1] - w[:-1, [none]], 0)
+    gap = w[-1, none] - np.delete(w[-1], none)
+    if gap.min() <= 0:
+        raise ValueError("a paragraph without known n-grams would not be of class none")
+    spare = np.delete(lead, none, axis=1) / gap  # shares of each class's gap
+    used = np.zeros(spare.shape[1])
+    out = []
+    for i in np.argsort(spare.max(axis=1), kind="stable"):
+        if (used + spare[i]).max() < 0.999:
+            used += spare[i]
+        else:
+            out.append(names[i])
+    return sorted(out)
+
+
 @lru_cache(maxsize=1)
 def train() -> Model:
-    """Fits the model; its temperature is chosen on rows left out of three folds."""
-    rows = [(line, k) for k, f in enumerate(FAMILIES) for line in NOTICES[f].split("\n")]
-    names = sorted({g for line, _ in rows for g in _grams_py(line)})
+    """Fits the model; its temperature is chosen on rows left out of three folds, all sayings of a name in one fold."""
+    rows = labelled()
+    y = np.array([FAMILIES.index(f) for _, f in rows] + [FAMILIES.index(NONE)] * EMPTY_ROWS)
+    share = 1.0 / np.bincount(y, minlength=len(FAMILIES))[y]  # classes weigh the same
+    names = sorted({g for line, _ in rows for g in grams_of(line)})
     at = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
+    x = np.zeros((len(y), len(names)))
     for r, (line, _) in enumerate(rows):
-        grams = _grams_py(line)
-        for g in grams:
-            x[r, at[g]] = 1.0
-    y = np.array([k for _, k in rows])
-    held = np.zeros((len(rows), len(FAMILIES)))
-    fold = np.arange(len(rows)) % 3
+        x[r, [at[g] for g in grams_of(line)]] = 1.0
+    weight = share / share.sum()
+    held = np.zeros((len(y), len(FAMILIES)))
+    fold = np.arange(len(y)) // len(SAYINGS) % 3
     for f in range(3):
-        w = _fit(x[fold != f], y[fold != f])
+        w = _fit(x[fold != f], y[fold != f], weight[fold != f] / weight[fold != f].sum(), 150)
         held[fold == f] = np.column_stack([x[fold == f], np.ones((fold == f).sum())]) @ w
-    losses = {t: -np.log(_softmax(held * t)[np.arange(len(y)), y]).mean() for t in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
-    w = _fit(x, y) * min(losses, key=losses.get)
-    kept = tuple((names[i], FAMILIES[k], float(w[i, k])) for i in range(len(names)) for k in range(len(FAMILIES)) if abs(w[i, k]) >= 0.02)
-    pairs = []
-    for f in FAMILIES:
-        if f not in (NONE, UNKNOWN):
-            pairs += [(f, tuple(g for g in _grams_py(line) if " " in g)) for line in NOTICES[f].split("\n")]
-    return Model(kept, {f: float(w[-1, k]) for k, f in enumerate(FAMILIES)}, tuple(p for p in pairs if p[1]))
+    losses = {t: -(weight * np.log(_softmax(held * t)[np.arange(len(y)), y])).sum() for t in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
+    w = _fit(x, y, weight) * min(losses, key=losses.get)
+    kept = tuple((names[i], FAMILIES[k], float(w[i, k])) for i, k in np.argwhere(w[:-1] != 0).tolist())
+    pairs = [(f, tuple(g for g in grams_of(line) if " " in g)) for f, lines in TEMPLATES.items() for line in lines]
+    return Model(kept, {f: float(w[-1, k]) for k, f in enumerate(FAMILIES)}, tuple(pairs), tuple(needed_grams(names, w)))
 
 
 def _tokens(c):
@@ -187,20 +260,48 @@ def classify(spark: SparkSession, paragraphs: DataFrame, model: Model) -> DataFr
     return got.select("p", family.alias("family"), F.round("probability", 6).alias("probability"))
 
 
+def holds_needed(text, model: Model):
+    """Whether a text holds a needed n-gram: the pattern finds whole words in lower case with anything but letters and digits between."""
+    words = sorted({tuple(g.split(" ")) for g in model.needed})
+    alone = {w[0] for w in words if len(w) == 1}
+    words = [w for w in words if len(w) == 1 or not alone & set(w)]
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0][0], []).append("[^a-z0-9]++".join(w)[1:])
+    heads = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items())
+    return F.lower(text).rlike(rf"(?<![a-z0-9])(?:{heads})(?![a-z0-9])")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, family, probability): the licence paragraphs of each row of ``docs``.
 
-    A paragraph is a line; ``start`` is its number in the text, from 0.  Lines
-    of class none and null or empty texts give no rows; equal lines get equal
-    classes.  Repeated rows repeat.  Other columns are ignored.
+    A paragraph is a run of lines up to a blank line or one that ends a
+    sentence, joined by spaces, so a notice broken over lines is one;
+    ``start`` is the number of its first line in the text, from 0.  Paragraphs
+    of class none and null or empty texts give no rows; equal paragraphs get
+    equal classes.  Repeated rows repeat.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    model = train()
     scratch = Scratch(spark, "licenses")
-    # plain substring searches are far cheaper than the pattern, which then sees only lines of texts that hold one
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("low", F.lower("text"))
-    some = F.exists(F.array(*[F.contains("low", F.lit(a)) for a in ANCHOR_PARTS]), lambda x: x)
-    lines = texts.select("doc_id", F.posexplode(F.split(F.when(some, F.col("text")), "\n")).alias("start", "p"))
-    found = scratch.save(lines.where(F.col("p").rlike(ANCHOR)))
-    classes = scratch.save(classify(spark, found, train()).where(F.col("family") != NONE))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = texts.withColumn("flow", F.regexp_replace("text", JOINED, " "))
+    # a paragraph's place is where it starts in code points; only texts that hold a needed n-gram are cut
+    cut = joined.where(holds_needed(F.col("flow"), model)).select("doc_id", "text", F.split("flow", "\n").alias("ps"))
+    found = scratch.save(cut.select("doc_id", F.explode(_placed(F.col("ps"), F.col("text"), model)).alias("x")).select("doc_id", "x.p", "x.start"))
+    classes = scratch.save(classify(spark, found, model).where(F.col("family") != NONE))
     size = classes.agg(F.coalesce(F.sum(F.octet_length("p") + 64), F.lit(0))).first()[0]
-    return found.join(F.broadcast(classes) if size <= BROADCAST_BYTES else classes, "p").select("doc_id", F.col("p").alias("paragraph"), F.col("start").cast("long").alias("start"), "family", "probability")
+    return found.join(F.broadcast(classes) if size <= BROADCAST_BYTES else classes, "p").select("doc_id", F.col("p").alias("paragraph"), "start", "family", "probability")
+
+
+def _placed(paragraphs, text, model: Model):
+    """Structs (p, start) of the paragraphs that hold a needed n-gram; start counts the newlines of ``text`` before."""
+    ends = F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    some = F.filter(ends, lambda x: holds_needed(x["p"], model))
+
+    def one(x):
+        before = F.aggregate(F.slice(paragraphs, 1, x["i"]), F.lit(0), lambda a, p: a + F.length(p) + 1)
+        head = F.substring(text, F.lit(1), before)
+        return F.struct(x["p"].alias("p"), (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("long").alias("start"))
+
+    return F.transform(some, one)

@@ -514,7 +514,67 @@ def test_page_rank(spark, tmp_path):
 
 
 def test_licenses(spark):
-    rows = [(1, "foo\nbar is Released under the MIT License. Yes\nLicensed under the Zed Public License"), (2, "the driver's license is red"), (3, None), (4, ""), (5, "All rights reserved.\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0."), (5, "All rights reserved."), (6, "This work is licensed under the GNU General Public License, version 3.")]
+    rows = [(1, "foo\nbar is Released under the MIT License. Yes.\nLicensed under the Zed Public License"), (2, "the driver's license is red"), (3, None), (4, ""), (5, "All rights reserved.\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0."), (5, "All rights reserved."), (6, "This work is licensed under the GNU General Public License, version 3.")]
     got = Counter((r.doc_id, r.start, r.family) for r in licenses.scan(clash(frame(spark, rows)).withColumn("p", F.lit("x")).withColumn("start", F.lit(1))).collect())
-    assert got == Counter({(1, 1, "MIT"): 1, (1, 2, "unknown"): 1, (5, 0, "Proprietary"): 2, (5, 1, "CC-BY-NC"): 1, (5, 2, "CC-BY"): 1, (6, 0, "GPL"): 1})
+    assert got == Counter({(1, 0, "MIT"): 1, (1, 2, "unknown"): 1, (5, 0, "Proprietary"): 2, (5, 1, "CC-BY-NC"): 1, (5, 2, "CC-BY"): 1, (6, 0, "GPL"): 1})
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+HELD_OUT = [
+    ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.", "CC0"),
+    ("You are free to share and adapt this work under CC-BY-SA 4.0", "CC-BY"),
+    ("unless agreed to in writing, software is distributed on an AS IS BASIS, without warranties or conditions", "Apache-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights", "MIT"),
+    ("Our sources are offered under the Mozilla Public License 2.0.", "MPL-2.0"),
+    ("This package is covered by the GNU Lesser General Public License, version 2.1.", "LGPL"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "BSD"),
+    ("Published under the GNU Affero General Public License v3.", "AGPL"),
+    ("Made public under the Baz Public License.", "unknown"),
+    ("The license plate was lost on the public road.", "none"),
+    ("He was free to copy the letter for the general.", "none"),
+    ("Two plus two is four, and four and four is eight.", "none"),
+]
+
+
+def test_licenses_held_out(spark):
+    """Notices that are not in the labelled table, some broken over lines."""
+    got = {r.doc_id: (r.family, r.start) for r in licenses.scan(frame(spark, [(i, "Some words.\n" + t) for i, (t, _) in enumerate(HELD_OUT)])).collect()}
+    assert {i: got.get(i, ("none", 1)) for i in range(len(HELD_OUT))} == {i: (f, 1) for i, (_, f) in enumerate(HELD_OUT)}
+
+
+def plain_paragraphs(text):
+    """(first line, paragraph): runs of lines up to a blank one or one that ends a sentence."""
+    run, first = [], 0
+    for i, line in enumerate(text.split("\n")):
+        run.append(line)
+        following = text.split("\n")[i + 1 : i + 2]
+        if not line.strip(" \t") or re.search(r"[.!?:;][ \t]{0,2}$", line) or not following or not following[0].strip(" \t"):
+            yield first, " ".join(run)
+            run, first = [], i + 1
+    if run:
+        yield first, " ".join(run)
+
+
+def test_licenses_brute_force(spark, texts):
+    """Every paragraph scored by plain sums, none left out beforehand."""
+    model = licenses.train()
+    weights = {}
+    for gram, family, w in model.weights:
+        weights.setdefault(gram, []).append((family, w))
+    rng = random.Random(5)
+    grams = sorted(weights)
+    rows = texts[:150] + [(9000 + i, "\n".join(rng.choice([" ".join(rng.choice(grams) for _ in range(rng.randint(1, 9))), "", "x.", HELD_OUT[i % 12][0], " \t"]) for _ in range(6))) for i in range(150)]
+    want = Counter()
+    for doc, text in rows:
+        for start, p in plain_paragraphs(text):
+            held = licenses.grams_of(p)
+            z = dict(model.bias)
+            for g in held:
+                for family, w in weights.get(g, ()):
+                    z[family] += w
+            family = max(z, key=lambda f: (z[f], f))
+            sure = 1 / sum(np.exp(v - z[family]) for v in z.values()) >= licenses.CERTAIN
+            like = any(f == family and len(set(t) & set(held)) >= licenses.CONFIRM * len(t) for f, t in model.templates)
+            if family != "none":
+                want[doc, start, family if sure and like else "unknown"] += 1
+    assert Counter((r.doc_id, r.start, r.family) for r in licenses.scan(frame(spark, rows)).collect()) == want
