@@ -40,7 +40,7 @@ NAMES = {
     "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial-ShareAlike License"),
     "CC-BY": ("CC BY 4.0", "CC BY-SA 4.0", "CC-BY 3.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution-ShareAlike License"),
     "CC0": ("CC0 1.0", "the CC0 public domain dedication", "the Unlicense"),
-    UNKNOWN: ("the Foo Community License, version 7", "the Example Research License", "the terms of the accompanying agreement", "the Acme Open License", "a license of its own", "the house license", "the Bar Public License", "a custom license", "the Qux Source License 1.0"),
+    UNKNOWN: ("the Foo Community License, version 7", "the Example Research License", "the terms of the accompanying agreement", "the Acme Open License", "a license of its own", "the house license", "the Bar Public License", "a custom license", "the Qux Source License 1.0", "the Delta Public License", "the Kappa General License, v1.1"),
 }
 SENTENCES = {
     "MIT": (
@@ -133,8 +133,8 @@ COMMON = frozenset("a all an and any are as at be been by can do for from he if
 EMPTY_ROWS = 20
 #: Least probability of a family, and least share of a template's word pairs that the paragraph holds.
 CERTAIN, CONFIRM = 0.5, 0.5
-#: A line goes on in the next one unless it is blank or ends a sentence; the joining newline becomes a space, so places stay.
-JOINED = r"\n(?<![.!?:;\n][ \t]{0,2}\n)(?![ \t]*+(?:\n|\z))"
+#: A line goes on in the next one unless it is blank, ends a sentence or is longer than lines of broken text are (100); the joining newline becomes a space.
+JOINED = r"\n(?<![.!?:;][ \t]{0,2}\n)(?<=(?:^|\n)(?=[ \t]*+[^ \t\n])[^\n]{1,100}\n)(?![ \t]*+(?:\n|\z))"
 
 
 def labelled() -> list[tuple[str, str]]:
@@ -275,8 +275,8 @@ def holds_needed(text, model: Model):
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, family, probability): the licence paragraphs of each row of ``docs``.
 
-    A paragraph is a run of lines up to a blank line or one that ends a
-    sentence, joined by spaces, so a notice broken over lines is one;
+    A paragraph is a run of lines up to a blank line, one that ends a sentence
+    or one of over 100 characters, joined by spaces, so a notice broken over lines is one;
     ``start`` is the number of its first line in the text, from 0.  Paragraphs
     of class none and null or empty texts give no rows; equal paragraphs get
     equal classes.  Repeated rows repeat.  Other columns are ignored.

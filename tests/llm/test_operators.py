@@ -543,12 +543,12 @@ def test_licenses_held_out(spark):
 
 
 def plain_paragraphs(text):
-    """(first line, paragraph): runs of lines up to a blank one or one that ends a sentence."""
+    """(first line, paragraph): runs of lines up to a blank one, a long one or one that ends a sentence."""
     run, first = [], 0
     for i, line in enumerate(text.split("\n")):
         run.append(line)
         following = text.split("\n")[i + 1 : i + 2]
-        if not line.strip(" \t") or re.search(r"[.!?:;][ \t]{0,2}$", line) or not following or not following[0].strip(" \t"):
+        if len(line) > 100 or not line.strip(" \t") or re.search(r"[.!?:;][ \t]{0,2}$", line) or not following or not following[0].strip(" \t"):
             yield first, " ".join(run)
             run, first = [], i + 1
     if run:
@@ -577,4 +577,5 @@ def test_licenses_brute_force(spark, texts):
             like = any(f == family and len(set(t) & set(held)) >= licenses.CONFIRM * len(t) for f, t in model.templates)
             if family != "none":
                 want[doc, start, family if sure and like else "unknown"] += 1
-    assert Counter((r.doc_id, r.start, r.family) for r in licenses.scan(frame(spark, rows)).collect()) == want
+    got = Counter((r.doc_id, r.start, r.family) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got - want == want - got == Counter()
