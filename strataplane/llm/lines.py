@@ -35,16 +35,20 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", ratio: float = R
 
     A line is what stands between newlines; lines without a word are never
     boilerplate.  A null text stays null with 0 lines; a null host counts as
-    the empty host.  Repeated rows stay; hosts of under ``least`` pages keep all.
+    the empty host.  Repeated rows stay; hosts of under ``least`` pages keep
+    all.  Other columns are carried along whatever their names; own columns
+    named _n_lines or _n_dropped are replaced.
     """
-    bad = Scratch(docs.sparkSession, "lines").save(boilerplate(docs, host_col, ratio, least).select(F.col("host").alias("_host"), F.col("lines").alias("_bad")))
-    size = bad.agg(F.coalesce(F.sum(F.size("_bad") * 8 + 64), F.lit(0))).first()[0]
-    out = docs.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"), "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    here = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("_bad"))
-    out = out.withColumn("_here", F.when(F.col("_bad").isNotNull(), here))
-    kept = F.when(F.coalesce(F.size("_here"), F.lit(0)) > 0, F.filter(lines, lambda x: ~F.array_contains("_here", F.xxhash64(x)))).otherwise(lines)
-    out = out.withColumn("_kept", kept)
-    own = [F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    return out.select(*own, n.alias("_n_lines"), (n - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("_n_dropped"))
+    bad = Scratch(docs.sparkSession, "lines").save(boilerplate(docs, host_col, ratio, least))
+    size = bad.agg(F.coalesce(F.sum(F.size("lines") * 8 + 64), F.lit(0))).first()[0]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    carried = docs.select(row.alias("row"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"), F.split(F.col("text").cast("string"), "\n").alias("own"))
+    out = carried.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, "host", "left")
+    here = F.array_intersect(F.transform("own", lambda x: F.xxhash64(x)), F.col("lines"))
+    out = out.select("row", "own", F.when(F.col("lines").isNotNull(), here).alias("here"))
+    kept = F.when(F.coalesce(F.size("here"), F.lit(0)) > 0, F.filter("own", lambda x: ~F.array_contains("here", F.xxhash64(x)))).otherwise(F.col("own"))
+    out = out.select("row", "own", kept.alias("kept"))
+    n = F.coalesce(F.size("own"), F.lit(0)).cast("long")
+    counts = {"_n_lines": n, "_n_dropped": (n - F.coalesce(F.size("kept"), F.lit(0))).cast("long")}
+    own = [F.array_join("kept", "\n").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in counts]
+    return out.select(*own, *[v.alias(c) for c, v in counts.items()])

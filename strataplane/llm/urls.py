@@ -3,6 +3,8 @@
 Trust is a personalised PageRank from trusted seeds along links; distrust is
 one from blocked seeds against links, as who links to bad hosts is suspect.
 A host is a seed of either by the share of its pages that rules allow or block.
+Edges are the links between hosts in the markup, and ties between a host and
+its parent domain.
 Hosts are compared on both; only DataFrame operations run.
 """
 
@@ -16,11 +18,17 @@ from pyspark.sql import functions as F
 from strataplane.llm.common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, MOST_ROUNDS, SETTLED = 0.85, 20, 1e-4
+DAMPING, MOST_ROUNDS, SETTLED = 0.85, 60, 1e-4
+#: Rounds between two written tables and looks at the change.
+STRIDE = 5
 #: A host is blocked by the graph if its distrust reaches this and is above its trust.
-BLOCK_AT = 0.05
-#: Names of hosts that start as distrusted as a whole, beside the rules.
-BLOCKED_NAMES = r"(?:^|[.-])(?:spam|pills?|casino|viagra|malware|phishing|warez|porn)(?:[.-]|$)"
+BLOCK_AT = 0.1
+#: Blocked seeds beside the rules: hosts with one of these names in them start as distrusted as a whole.
+BLOCKED_NAMES = r"(?:^|[.-])(?:spam|pills?|casino|viagra|malware|phishing|warez|porn|adult|bets?)(?:[.-]|$)"
+#: Attributes that name another document; a bare address in the text counts too.
+LINKS = r"(?i)(?:\b(?:href|src|srcset|action|cite|content|poster|data-[a-z-]+)\s*=\s*[\"']?\s*(?:https?:)?|\bhttps?:)//([^/?#\"'\s<>]+)"
+#: Links that a tie to the parent domain counts as.
+TIE = 1
 
 
 @dataclass(frozen=True)
@@ -63,29 +71,56 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def parent_of(host: Column) -> Column:
+    """The domain above a host, of two names at least; null for others and for addresses."""
+    up = F.regexp_extract(host, r"^[^.]+\.([^.].*)$", 1)
+    return F.when(up.contains(".") & ~host.rlike(r"^[0-9.:]+$"), up)
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts, counted over all pages before the shuffle."""
-    links = F.regexp_extract_all("html", F.lit(r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"), F.lit(1))
-    each = pages.select(host_of(F.col("url")).alias("src"), F.explode(links).alias("dst")).withColumn("dst", F.translate("dst", UPPER, LOWER))
-    return each.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    """(src, dst, n): links between different hosts, counted over all pages before the shuffle, and ties to parent domains.
+
+    Links stand in attributes (``LINKS``) or as bare addresses.  A host that
+    has pages or links and its parent domain, and so on up to two names, are
+    linked both ways, TIE links each: who runs a domain answers for its hosts.
+    """
+    links = F.regexp_extract_all("html", F.lit(LINKS), F.lit(1))
+    each = pages.select(host_of(F.col("url")).alias("src"), F.explode_outer(links).alias("dst")).withColumn("dst", F.translate("dst", UPPER, LOWER))
+    counted = each.where("src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.where("dst is not null and dst <> '' and src <> dst")
+    hosts = counted.select(F.col("src").alias("host")).unionByName(counted.where("dst is not null").select(F.col("dst").alias("host"))).distinct()
+    # a host of k names has at most k - 2 domains above it
+    names = F.split("host", r"\.")
+    chain = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+    up = hosts.select(F.explode(chain).alias("src")).distinct().select("src", parent_of(F.col("src")).alias("dst")).where("dst is not null")
+    ties = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(TIE).cast("long"))
+    return found.unionByName(ties).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, score): personalised PageRank from ``seeds`` (host, weight), each with weight 1 if there is no such column.
 
-    Edges (src, dst, n) carry a host's score on in proportion to n.  Stops when
-    no score changes by more than SETTLED, or after MOST_ROUNDS.
+    Edges (src, dst, n) carry a host's score on in proportion to n; what
+    reaches a host without edges goes no further.  Every STRIDE rounds the
+    scores are written, and it ends when none changed by more than SETTLED in
+    the last of them, or after MOST_ROUNDS.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    share = scratch.save(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")))
+    share = scratch.save(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("out") * DAMPING).alias("w")))
     weight = F.max("weight") if "weight" in seeds.columns else F.lit(1.0)
     start = scratch.save(seeds.groupBy("host").agg((weight * (1.0 - DAMPING)).alias("score")))
+
+    def stepped(now: DataFrame) -> DataFrame:
+        moved = now.join(share, now.host == share.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("score"))
+        return moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
+
     now = start
-    for _ in range(MOST_ROUNDS):
-        moved = now.join(share, now.host == share.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("w") * DAMPING).alias("score")).select(F.col("dst").alias("host"), "score")
-        after = scratch.save(moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score")))
-        change = after.join(now.select("host", F.col("score").alias("old")), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        now = after
+    for _ in range(MOST_ROUNDS // STRIDE):
+        for _ in range(STRIDE - 1):
+            now = stepped(now)
+        last = scratch.save(now)
+        now = scratch.save(stepped(last))
+        change = now.join(last.select("host", F.col("score").alias("old")), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
         if change is None or change <= SETTLED:
             break
     return now
@@ -95,7 +130,7 @@ def seed_weights(read: DataFrame, edges: DataFrame, rules: tuple[Rule, ...], blo
     """(host, good, bad): the shares of a host's pages that allow rules and block rules decide.
 
     A host that is linked but has no page has 1 for the rule that covers it
-    whole.  A host of a known bad name has 0 and 1.
+    whole.  A host of a blocked name has 0 and 1.
     """
     allowed = [r.text for r in rules if r.allow]
     placed = read.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(1).alias("n"))
@@ -124,9 +159,13 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_names: str
     edges = scratch.save(host_edges(read))
     allowed = [r.text for r in rules if r.allow]
     seeded = scratch.save(seed_weights(read, edges, rules, blocked_names))
-    trust = propagate(edges, seeded.where("good > 0").select("host", F.col("good").alias("weight")), scratch)
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeded.where("bad > 0").select("host", F.col("bad").alias("weight")), scratch)
-    scores = scratch.save(trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full"))
+    # both walks in one table: hosts of trust are marked +, those of distrust, which goes against the links, -
+    plus, minus = (lambda c: F.concat(F.lit("+"), c)), (lambda c: F.concat(F.lit("-"), c))
+    walked = edges.select(plus("src").alias("src"), plus("dst").alias("dst"), "n").unionByName(edges.select(minus("dst").alias("src"), minus("src").alias("dst"), "n"))
+    seeds = seeded.where("good > 0").select(plus("host").alias("host"), F.col("good").alias("weight")).unionByName(seeded.where("bad > 0").select(minus("host").alias("host"), F.col("bad").alias("weight")))
+    score = propagate(walked, seeds, scratch)
+    pick = lambda sign: F.sum(F.when(F.col("host").startswith(sign), F.col("score")))
+    scores = scratch.save(score.groupBy(F.substring("host", 2, 1 << 20).alias("h")).agg(pick("+").alias("trust"), pick("-").alias("distrust")).withColumnRenamed("h", "host"))
     placed = read.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     both = placed.withColumn("rule", ruled(F.col("host"), F.col("path"), rules)).join(scores, "host", "left")
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
