@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataplane.functions.integers import let  # noqa: F401
+
 #: Sides of a join whose measured size is at most this are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all nodes share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all nodes share, from spark.checkpoint.dir; a temporary one only in local mode, where driver and tasks share the machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="strataplane-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -38,7 +42,15 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return self._read(self.spark, df, path)
+
+    def reread(self, saved: DataFrame, spark: SparkSession) -> DataFrame:
+        """A saved table as seen from another session of the application."""
+        return self._read(spark, saved, saved._scratch_path)
+
+    @staticmethod
+    def _read(spark: SparkSession, like: DataFrame, path: str) -> DataFrame:
+        out = spark.read.schema(like.schema).parquet(path)
         out._scratch_path = path
         return out
 
@@ -59,10 +71,5 @@ def words(text):
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE_CLASS}]+"))
 
 
-def let(value, body):
-    """body(value) with value computed once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def sha_hex(c):
     return F.sha2(c, 256)

@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from strataplane.llm.common import Scratch
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """(u, m): for each u its smallest neighbour or itself; the minimum combines before the shuffle."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+#: Parts that a centre's edges are dealt to.
+SALTS = 1024
+
+
+def _with_nearest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v) with m, the smallest neighbour of u or u itself; and (u, m) alone.
+
+    No task meets all edges of a centre: its edges are dealt by (u, salt of v),
+    each part's minimum goes to u, and u's minimum back to its at most SALTS parts.
+    """
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "s").agg(F.min("v").alias("p"))
+    low = parts.groupBy("u").agg(F.least(F.min("p"), F.first("u")).alias("m"))
+    return salted.join(parts.select("u", "s").join(low, "u"), ["u", "s"]).drop("s"), low
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,16 +33,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges stay the same,
     which takes about log(n) rounds; each round's edges are a written table.
-    Skewed centres meet only in joins, which adaptive execution splits, and in
-    minima, which combine before the shuffle.
+    Skewed centres are dealt to parts, so their edges never meet in one task.
     """
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = _nearest(large)
-        pairs = large.join(low, "u")
+        large = _with_nearest(both)[0].where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        pairs, low = _with_nearest(large)
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = scratch.save(small.where("u <> v").distinct())
         scratch.drop(now)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataplane.llm.common import Scratch
@@ -27,8 +27,10 @@ from strataplane.llm.shingles import U, mix, shingle_sets
 BANDS, ROWS = 32, 6
 #: Centres differ by band modulo this, so groups of near copies meet several centres in the first round.
 CENTRES = 4
-#: Sets in a block of the exact comparison that follows the stars.
-BLOCK = 256
+#: Shingles in a block of the exact comparison that follows the stars; a set of more is a block with few others.
+BLOCK = 100_000
+#: Parts that the members of one centre are dealt to when they are verified.
+SALTS = 256
 #: Blocks of outside members that one task compares.
 SPREAD = 8
 MAX_PROBES = 64
@@ -111,10 +113,14 @@ def _set_maker(width: int):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those with 100 * intersection >= percent * union of their full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    """Of ``pairs`` (a, b), those with 100 * intersection >= percent * union of their full sets.
+
+    ``a`` is a centre of many pairs: they are dealt to SALTS parts by ``b``,
+    and the centre's set travels once to each part, not once a member.
+    """
+    salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    left = salted.select("a", "s").distinct().join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    both = salted.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(left, ["a", "s"])
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -154,36 +160,46 @@ def _unpack(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     return ids, comps, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _side_session(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of the same application with settings of its own, so that other queries keep theirs."""
+    side = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if side.conf.isModifiable(name):
+            side.conf.set(name, value)
+    for name, value in settings.items():
+        side.conf.set(name.replace("__", "."), value)
+    return side
+
+
 def apart(held: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (u, v) that the stars left out, from bucket members (key, id, comp).
+    """Links (u, v) that the stars left out, from bucket members (key, id, comp); ``sets`` is a written table.
 
     In each bucket that holds several components, the members outside the
     largest one (the lead) have to be compared with all the others.  Buckets of
     one lead are taken together, and blocks of their outside members are
     compared with blocks of all their members, so no row is made for a pair.
+    The work is the product of the outside members and all members of a lead;
+    the stars before it keep the outside few (README: what check_h needs).
     """
     parts = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     lead = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("lead"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    member = scratch.save(held.join(lead, "key").groupBy("lead", "id").agg(F.first("comp").alias("comp")))
+    sized = sets.select("id", F.size("set").alias("n"))
+    chosen = scratch.save(held.join(lead, "key").groupBy("lead", "id").agg(F.first("comp").alias("comp")).join(sized, "id"))
+    side = _side_session(held.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="4")  # a row holds two blocks of sets
+    member, sets = scratch.reread(chosen, side), scratch.reread(sets, side)
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        size = rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        size = rows.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
         block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-        return rows.join(size, "lead").join(sets, "id").withColumn("block", block).groupBy("lead", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "comp", "set")).alias(name))
+        return rows.drop("n").join(size, "lead").join(sets, "id").withColumn("block", block).groupBy("lead", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "comp", "set")).alias(name))
 
     # a large group's outside blocks are dealt to several tasks, SPREAD to each
-    xs = blocks(member.where("comp <> lead"), "xs").withColumn("share", F.floor(F.col("block") / SPREAD))
-    shares = member.where("comp <> lead").groupBy("lead").agg(F.ceil(F.ceil(F.count(F.lit(1)) / BLOCK) / SPREAD).alias("shares"))
+    outside = member.where("comp <> lead")
+    xs = blocks(outside, "xs").withColumn("share", F.floor(F.col("block") / SPREAD))
+    shares = outside.groupBy("lead").agg(F.ceil(F.ceil(F.sum("n") / BLOCK) / SPREAD).alias("shares"))
     ys = blocks(member, "ys").join(shares, "lead").withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
     pairs = xs.select("lead", "share", "xs").join(ys.select("lead", "share", "ys"), ["lead", "share"]).select("xs", "ys")
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = held.sparkSession
-    before = spark.conf.get(name)
-    spark.conf.set(name, "4")  # a row holds two blocks of sets
-    try:
-        return scratch.save(pairs.mapInArrow(_compare_blocks(percent), "u long, v long"))
-    finally:
-        spark.conf.set(name, before)
+    return scratch.reread(scratch.save(pairs.mapInArrow(_compare_blocks(percent), "u long, v long")), held.sparkSession)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -211,9 +227,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     pairs = buckets.join(centre, "key").where("id <> c.id").where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
     first = scratch.save(pairs.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct())
     nodes = buckets.select("id").distinct()
-    sets = scratch.save(docs.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_set_maker(width), "id long, set array<long>"))
+    sets = (docs.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_set_maker(width), "id long, set array<long>"))
     own = classes.select("id", "n_shingles")
-    sets = sets.join(own, "id").where(F.size("set") == F.col("n_shingles")).select("id", "set")  # rows that repeat a doc_id with other texts
+    sets = scratch.save(sets.join(own, "id").where(F.size("set") == F.col("n_shingles")).select("id", "set"))  # rows that repeat a doc_id with other texts
     edges = scratch.save(verify(first, sets, percent))
     found = scratch.save(components(edges, scratch))
     held = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))

@@ -2,23 +2,25 @@
 
 Candidate spans come from patterns.  For each, labelers vote yes (1), no (-1)
 or abstain (0): pattern strictness, gazetteers, words around, and company in
-the text.  Votes are counted by pattern of votes over the whole table;
-expectation-maximisation on these counts (their number is fixed by the number
-of labelers and kinds, not by the data) estimates each labeler's reliability,
-and its posteriors train a logistic span classifier.  The classifier's
-decisions are compiled to a column expression.
+the text.  Candidates are counted by their votes and features over the whole
+table; expectation-maximisation on the votes estimates each labeler's
+reliability, and its posteriors are the soft labels on which a logistic span
+classifier learns from the span's features (shape, length, classes of
+characters, what stands before and after, gazetteers, company), for each kind
+of its own.  The counts are bounded by the number of labelers, features and
+kinds, not by the data.  The classifier runs as a column expression.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp
+from math import log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataplane.llm.common import Scratch
+from strataplane.llm.common import Scratch, let
 
 #: Base kinds in order, as given.  Runs are possessive and start where a run starts, which finds
 #: the same leftmost matches in linear time; a leading lookahead is there for speed only.
@@ -58,6 +60,11 @@ CUES = {
     "person": (r"(?i)name|dear|by\b|author|signed|contact|from|patient|customer", r"(?i)street|avenue|university|inc\b"),
 }
 LABELERS = ("strict", "gazetteer", "context", "company")
+#: Yes or no facts of a candidate that the classifier learns from, as bits of a number, first fact lowest.
+#: The votes on strictness and company are not among them: what they tell has to be learned from the span itself.
+FEATURES = ("listed", "unlisted", "cued", "miscued", "long", "very_long", "digits", "lower", "upper", "marks", "after_sign", "after_word", "before_word")
+#: Characters after a candidate that are looked at, matches summed at once for places, and counts that stand for nothing seen yet.
+BEYOND, CHUNK, PRIOR = 24, 64, 1.0
 #: Least probability at which the classifier adds a span.
 THRESHOLD = 0.8
 
@@ -109,30 +116,46 @@ def _gazetteer(kind: str, m: Column) -> Column:
     return F.lit(0)
 
 
+def _running(sizes: Column) -> Column:
+    """Sums of the elements before each place, in chunks, so the work stays far from quadratic."""
+
+    def summed(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+
+    def placed(x: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: summed(F.slice(x, c * CHUNK + 1, F.lit(CHUNK))))
+        heads = let(chunks, lambda c: F.transform(c, lambda _, k: summed(F.slice(c, F.lit(1), k))))
+        return let(heads, lambda h: F.transform(x, lambda _, i: F.get(h, F.shiftright(i, 6)) + summed(F.slice(x, F.shiftright(i, 6) * CHUNK + 1, i % CHUNK))))
+
+    return let(sizes, lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(F.array().cast("array<int>")))
+
+
 def _matches(kind: str, text: Column) -> Column:
-    """Array of (m, p, s): each leftmost match of the kind's pattern, the piece before it and its place in code points."""
+    """Array of (m, p, q, s): each leftmost match of the kind's pattern, the ends of the pieces before and after it, and its place in code points."""
     pattern = {**BASE, **EXTRA}[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(m.alias("m"), F.substring(p, -WINDOW, WINDOW).alias("p"), F.length(p).alias("n")))
-    empty = F.array().cast("array<struct<m:string,p:string,s:int>>")
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct((a["at"] + x["n"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), x["p"].alias("p"), (a["at"] + x["n"]).alias("s")))).alias("out")),
-        lambda a: a["out"],
-    )
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+
+    def rows(x: Column) -> Column:
+        sizes = F.transform(x["found"], lambda m, i: F.length(F.get(x["pieces"], i)) + F.length(m))
+
+        def one(m: Column, i: Column, before: Column) -> Column:
+            piece = F.get(x["pieces"], i)
+            return F.struct(m.alias("m"), F.substring(piece, -WINDOW, WINDOW).alias("p"), F.substring(F.get(x["pieces"], i + 1), 1, BEYOND).alias("q"), (F.get(before, i) + F.length(piece)).alias("s"))
+
+        return let(_running(sizes), lambda before: F.transform(x["found"], lambda m, i: one(m, i, before)))
+
+    empty = F.array().cast("array<struct<m:string,p:string,q:string,s:int>>")
     may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike({"card": "[0-9][ -]?[0-9]", "secret": "[=:]", "masked_email": r"[\[(](?:at|AT)[\])]", "local_phone": "[0-9]{3}[ .-][0-9]{4}", "national_id": "[0-9]-[0-9]{2}-[0-9]"}.get(kind, pattern)))
-    return F.when(may, placed).otherwise(empty)
+    return F.when(may, let(both, rows)).otherwise(empty)
 
 
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, and an array column for each kind: structs of start, end, m, base, code (the votes in base 3)."""
+    """``keep``, and an array column for each kind: structs of start, end, m, base, code (the votes in base 3), facts (the bits of FEATURES)."""
     names = [F.col(c) for c in keep]
     found = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).select(*keep, *[_matches(k, F.col("_t")).alias(f"_{k}") for k in KINDS])
 
     def based(k: str):
-        return F.transform(f"_{k}", lambda x: F.struct(x["m"].alias("m"), x["p"].alias("p"), x["s"].alias("s"), (_valid(k, x["m"]) if k in BASE else F.lit(False)).alias("base")))
+        return F.transform(f"_{k}", lambda x: F.struct(x["m"].alias("m"), x["p"].alias("p"), x["q"].alias("q"), x["s"].alias("s"), (_valid(k, x["m"]) if k in BASE else F.lit(False)).alias("base")))
 
     checked = found.select(*keep, *[based(k).alias(f"_{k}") for k in KINDS])
     some = F.lit(False)
@@ -145,11 +168,17 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             yes, no = CUES[k]
             context = F.when(x["p"].rlike(yes), 1).when(x["p"].rlike(no), -1).otherwise(0)
             company = F.when(F.col("_some"), 1).otherwise(0) if k in EXTRA else F.lit(0)
-            votes = [_strict(k, x["m"]), _gazetteer(k, x["m"]), context, company]
-            code = F.lit(0)
-            for v in votes:
-                code = code * 3 + (v + 1)
-            return F.struct(x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["base"].alias("base"), code.alias("code"))
+            votes = F.array(_strict(k, x["m"]), _gazetteer(k, x["m"]), context, company)
+            return let(votes, lambda v: spanned(x, v))
+
+        def spanned(x, v):
+            code = F.aggregate(v, F.lit(0), lambda a, y: a * 3 + (y + 1))
+            m, get = x["m"], lambda i: F.get(v, F.lit(i))
+            facts = [get(1) > 0, get(1) < 0, get(2) > 0, get(2) < 0, F.length(m) >= 12, F.length(m) >= 20, m.rlike("[0-9]"), m.rlike(r"\p{Ll}"), m.rlike(r"\p{Lu}"), m.rlike(r"[^\p{L}0-9\s]"), x["p"].rlike(r"[:=#(\"'] ?$"), x["p"].rlike(r"\p{Ll}\.? $"), x["q"].rlike(r"^ ?\p{L}")]
+            bits = F.lit(0)
+            for i, fact in enumerate(facts):
+                bits = bits + F.when(fact, 1 << i).otherwise(0)
+            return F.struct(x["s"].alias("start"), (x["s"] + F.length(m)).alias("end"), m.alias("m"), x["base"].alias("base"), code.alias("code"), bits.alias("facts"))
 
         return F.transform(f"_{k}", one)
 
@@ -158,11 +187,15 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 @dataclass(frozen=True)
 class Model:
-    """Reliability of each labeler, prior of each kind, and the vote codes that the classifier accepts, by kind."""
+    """Reliability of each labeler, prior of each kind, and the classifier: bias and a weight a feature, by kind."""
 
     reliability: dict[str, float]
     prior: dict[str, float]
-    accepted: dict[str, list[int]]
+    classifier: dict[str, list[float]]
+
+    def accepts(self, kind: str, facts: int) -> bool:
+        bias, *weights = self.classifier[kind]
+        return bias + sum(w for i, w in enumerate(weights) if facts >> i & 1) >= log(THRESHOLD / (1 - THRESHOLD))
 
 
 def _votes(code: int) -> list[int]:
@@ -173,15 +206,32 @@ def _votes(code: int) -> list[int]:
     return out[::-1]
 
 
-def fit_counts(counts: dict[tuple[str, int], int], rounds: int = 50) -> Model:
-    """EM over counted vote patterns, then logistic regression on its posteriors.
+def _logistic(x: np.ndarray, want: np.ndarray, n: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights (bias first) of a logistic regression on soft labels ``want`` that count ``n`` times, by Newton steps with a ridge of PRIOR around ``start``."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w = start.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (p - want)) + PRIOR * (w - start)
+        bend = (x * (n * p * (1 - p))[:, None]).T @ x + PRIOR * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        w = w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+    return w
+
 
-    With no candidates the labelers keep their prior reliability of 0.8.
+def fit_counts(counts: dict[tuple[str, int, int], int], rounds: int = 50) -> Model:
+    """EM over counted votes, then a logistic regression of its posteriors on the facts, for each kind.
+
+    Keys are (kind, votes, facts).  A span's label comes from its votes, its
+    features are its facts, so spans of equal votes may be told apart.  With no
+    candidates the labelers keep their prior reliability of 0.8, and a kind
+    without candidates accepts nothing.
     """
     keys = sorted(counts)
-    votes = np.array([_votes(c) for _, c in keys]).reshape(len(keys), len(LABELERS))
+    votes = np.array([_votes(c) for _, c, _ in keys]).reshape(len(keys), len(LABELERS))
     n = np.array([counts[k] for k in keys], dtype=float)
-    kind = np.array([KINDS.index(k) for k, _ in keys], dtype=int)
+    kind = np.array([KINDS.index(k) for k, _, _ in keys], dtype=int)
+    facts = np.array([[f >> i & 1 for i in range(len(FEATURES))] for _, _, f in keys], dtype=float).reshape(len(keys), len(FEATURES))
     right = np.full(len(LABELERS), 0.8)
     prior = np.full(len(KINDS), 0.5)
     post = np.zeros(len(keys))
@@ -193,38 +243,44 @@ def fit_counts(counts: dict[tuple[str, int], int], rounds: int = 50) -> Model:
             right[i] = np.clip((agree.sum() + 8) / ((n * (votes[:, i] != 0)).sum() + 10), 0.55, 0.99)
         for k in range(len(KINDS)):
             prior[k] = np.clip(((n * post)[kind == k].sum() + 5) / (n[kind == k].sum() + 10), 0.05, 0.95)
-    # logistic regression: one weight a vote, one a kind, by gradient steps with a small ridge
-    grid = [(k, c) for k in KINDS for c in range(3 ** len(LABELERS))]
-    weights, offset = np.log(right / (1 - right)), np.log(prior / (1 - prior))
-    if len(keys):
-        share = n / n.sum()
-        for _ in range(300):
-            p = 1 / (1 + np.exp(-(votes @ weights + offset[kind])))
-            err = share * (p - post)
-            weights = weights - (votes.T @ err + 1e-4 * weights)
-            offset = offset - np.bincount(kind, err, len(KINDS))
-    accepted = {k: [c for q, c in grid if q == k and 1 / (1 + exp(-(sum(w * v for w, v in zip(weights, _votes(c), strict=True)) + offset[KINDS.index(k)]))) >= THRESHOLD and sum(_votes(c)) >= 2] for k in KINDS}
-    return Model(dict(zip(LABELERS, right.tolist(), strict=True)), dict(zip(KINDS, prior.tolist(), strict=True)), accepted)
+    listed, cued = np.log(right / (1 - right))[1:3]
+    classifier = {}
+    for k, name in enumerate(KINDS):
+        own = kind == k
+        if not own.any():
+            classifier[name] = [0.0] * (1 + len(FEATURES))
+            continue
+        mean = np.clip((n * post)[own].sum() / n[own].sum(), 1e-4, 1 - 1e-4)
+        start = np.array([np.log(mean / (1 - mean)), listed, -listed, cued, -cued] + [0.0] * (len(FEATURES) - 4))
+        classifier[name] = _logistic(facts[own], post[own], n[own], start).tolist()
+    return Model(dict(zip(LABELERS, right.tolist(), strict=True)), dict(zip(KINDS, prior.tolist(), strict=True)), classifier)
 
 
 def fit(found: DataFrame) -> Model:
-    """Counts the vote patterns of all candidates (as from ``candidates``) and fits the model on the counts."""
+    """Counts the votes and facts of all candidates (as from ``candidates``) and fits the model on the counts."""
 
     def coded(k: str):
-        return F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), x["code"].alias("code")))
+        return F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), x["code"].alias("code"), x["facts"].alias("facts")))
 
-    rows = found.select(F.explode(F.flatten(F.array(*[coded(k) for k in KINDS]))).alias("x")).groupBy("x.kind", "x.code").count().collect()
-    return fit_counts({(r[0], r[1]): r[2] for r in rows})
+    rows = found.select(F.explode(F.flatten(F.array(*[coded(k) for k in KINDS]))).alias("x")).groupBy("x.kind", "x.code", "x.facts").count().collect()
+    return fit_counts({(r[0], r[1], r[2]): r[3] for r in rows})
 
 
 def _acceptor(model: Model, kind: str):
     """A filter on candidates of a kind: base spans and those that the classifier adds."""
-    codes = model.accepted[kind]
-    return lambda x: x["base"] | (x["code"].isin(codes) if codes else F.lit(False))
+    bias, *weights = model.classifier[kind]
+
+    def score(facts: Column) -> Column:
+        out = F.lit(float(bias))
+        for i, w in enumerate(weights):
+            out = out + F.when(facts.bitwiseAND(1 << i) > 0, float(w)).otherwise(0.0)
+        return out
+
+    return lambda x: x["base"] | (score(x["facts"]) >= log(THRESHOLD / (1 - THRESHOLD)))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), a row for each row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans), a row for each row of ``docs``.
 
     A null text counts as empty.  Base spans stand as found; added spans are
     the candidates that the classifier accepts, and come after the base kinds
@@ -239,7 +295,7 @@ def find(docs: DataFrame) -> DataFrame:
     base = F.concat(*[spans(k, lambda x: x["base"]) for k in BASE])
     every = F.concat(*[spans(k, _acceptor(model, k)) for k in KINDS])
     sized = got.select("doc_id", *[F.size(F.filter(k, lambda x: x["base"])).cast("long").alias(f"n_{k}") for k in BASE], base.alias("_b"), every.alias("_e"))
-    return sized.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(F.array_join("_b", ","), 256).alias("base_sha256"), F.array_join("_e", ",").alias("spans"), (F.size("_e") - F.size("_b")).cast("long").alias("n_added"))
+    return sized.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(F.array_join("_b", ","), 256).alias("base_sha256"), F.array_join("_e", ",").alias("spans"), (F.size("_e") - F.size("_b")).cast("long").alias("n_added"), F.size("_e").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

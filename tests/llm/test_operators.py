@@ -87,9 +87,31 @@ def test_pii_adds_and_redacts(spark):
 
 
 def test_pii_model():
-    model = pii.fit_counts({("secret", 80): 100, ("secret", 0): 100, ("person", 40): 5})
-    assert 80 in model.accepted["secret"] and 0 not in model.accepted["secret"]
-    assert all(0.5 < v < 1 for v in pii.fit_counts({}).reliability.values())
+    """Equal votes, other facts: the classifier tells apart what the vote can't, both ways."""
+    yes, no, even = 80, 0, 40  # all labelers for, all against, all silent
+    good, bad = 0b0011_1101_0000, 0b1000_0000_0000
+    model = pii.fit_counts({("secret", yes, good): 300, ("secret", no, bad): 300, ("secret", even, good): 10, ("secret", even, bad): 10, ("person", even, 0): 5})
+    assert model.accepts("secret", good) and not model.accepts("secret", bad)
+    assert not model.accepts("person", 0)
+    empty = pii.fit_counts({})
+    assert all(0.5 < v < 1 for v in empty.reliability.values()) and not empty.accepts("email", 0)
+
+
+def test_pii_classifier_as_a_column(spark, docs):
+    """On whole texts the column accepts what the plain sum of weights accepts."""
+    found = pii.candidates(docs.select("doc_id", "text")).cache()
+    model = pii.fit(found)
+    for k in pii.KINDS:
+        for r in found.select(F.explode(F.transform(k, lambda x: F.struct(x["facts"].alias("facts"), pii._acceptor(model, k)(x).alias("kept"), x["base"].alias("base")))).alias("x")).collect():
+            assert r.x.kept == (r.x.base or model.accepts(k, r.x.facts))
+
+
+def test_pii_places(spark):
+    """Many matches in one text, over chunk borders."""
+    for n in (1, 63, 64, 65, 129, 5000):
+        text = "".join(f"{'x' * (i % 5)} a{i}@b.co" for i in range(n))
+        r = pii.find(frame(spark, [(1, text)])).first()
+        assert r.n_email == n and set(plain_spans(text)) <= set(r.spans.split(","))
 
 
 # --------------------------------------------------------------- near-duplicates
