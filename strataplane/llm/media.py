@@ -32,7 +32,7 @@ def feature(samples: bytes) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each row's text as UTF-8, padded, as the green samples of lossless WebP files one after the other.
+    """(doc_id, n_bytes, media): each row's text as UTF-8, padded, as the pixels of lossless WebP files one after the other.
 
     A null or empty text is 64 bytes 0.  Other columns are ignored.
     """
@@ -40,7 +40,7 @@ def store(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contents = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            media = [webp.encode_grey(padded(b)) for b in contents]
+            media = [webp.store_bytes(padded(b)) for b in contents]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in contents], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -48,17 +48,12 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """``stored`` (doc_id, n_bytes, media) with payload (the samples read back) and feature; a null media gives nulls."""
+    """``stored`` (doc_id, n_bytes, media) with payload (the pixels read back as bytes) and feature; a null media gives nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = batch.column(2).to_pylist()
-            parts = [webp.files(m) if m is not None else [] for m in media]
-            flat = webp.decode_grey([f for p in parts for f in p])
-            payload, at = [], 0
-            for m, p in zip(media, parts, strict=True):
-                payload.append(None if m is None else b"".join(flat[at : at + len(p)]))
-                at += len(p)
+            payload = [None if m is None else webp.load_bytes(m) for m in media]
             features = [None if not b else feature(b) for b in payload]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary()), pa.array(features, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "feature"])
 

@@ -2,16 +2,14 @@
 
 ``decode`` reads any lossless image: prefix codes, back-references, colour
 cache, grouped codes, and the predictor, cross-colour, subtract-green and
-palette transforms.  ``encode`` writes ARGB arrays with any of these.
-``encode_grey``/``decode_grey`` are the batch path for byte payloads: samples
-go to the green channel, and many images are decoded in step, one lane each.
+palette transforms.  ``encode`` writes ARGB arrays with given ones of these;
+``store_bytes`` chooses them for a payload, and ``load_bytes`` reads it back
+through ``decode``.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
-from collections import Counter
 
 import numpy as np
 
@@ -57,6 +55,29 @@ class BitSink:
             self.value >>= 8 * whole
             self.n -= 8 * whole
 
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many fields at once; each has at most 32 bits."""
+        if not len(values):
+            return
+        whole = self.n // 8
+        if whole:
+            self.parts.append((self.value & (1 << 8 * whole) - 1).to_bytes(whole, "little"))
+            self.value >>= 8 * whole
+            self.n -= 8 * whole
+        ends = np.cumsum(sizes) + self.n
+        at = ends - sizes
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        words = np.zeros(int(ends[-1] >> 6) + 2, dtype=np.uint64)
+        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[edge]] = np.bitwise_or.reduceat(values << off, edge)
+        over = np.flatnonzero((at & 63) + sizes > 64)
+        words[word[over] + 1] |= values[over] >> (np.uint64(64) - off[over])
+        words[0] |= np.uint64(self.value)
+        data, whole = words.tobytes(), int(ends[-1]) // 8
+        self.parts.append(data[:whole])
+        self.n = int(ends[-1]) % 8
+        self.value = data[whole] & (1 << self.n) - 1
+
     def done(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) // 8, "little")
 
@@ -70,18 +91,26 @@ def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int
         return {next(iter(counts)): 0}
     shift = 0
     while True:
-        heap = [((c >> shift) + 1 if shift else c, s, (s,)) for s, c in counts.items()]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(counts, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2]:
-                depth[s] += 1
-            for s in b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= most:
-            return depth
+        weights = sorted(((c >> shift) + 1 if shift else c, s) for s, c in counts.items())
+        n = len(weights)
+        # leaves and joined nodes both come in rising order, so the two least are at their heads
+        weight, parent = [w for w, _ in weights], [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, inner = inner, inner + 1
+                parent[at] = new
+                total += weight[at]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for at in range(2 * n - 3, -1, -1):
+            depth[at] = depth[parent[at]] + 1
+        if max(depth[:n]) <= most:
+            return {s: depth[i] for i, (_, s) in enumerate(weights)}
         shift += 2
 
 
@@ -107,10 +136,10 @@ class Code:
         if sum(2.0**-n for n in used.values()) != 1.0:
             raise ValueError("a prefix code is not complete")
         self.only, self.most = None, max(used.values())
-        self.table = [0] * (1 << self.most)
+        size = 1 << self.most
+        self.table = [0] * size
         for s, (bits, n) in canonical(used).items():
-            for i in range(bits, 1 << self.most, 1 << n):
-                self.table[i] = s << 4 | n
+            self.table[bits :: 1 << n] = [s << 4 | n] * (size >> n)
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -202,16 +231,14 @@ def write_lengths(sink: BitSink, lengths: dict[int, int], symbols: int) -> None:
 # --------------------------------------------------------------------- decoding
 
 
-def _prefix_value(symbol: int, bits: Bits) -> int:
-    if symbol < 4:
-        return symbol + 1
-    extra = symbol - 2 >> 1
-    return (2 + (symbol & 1) << extra) + bits.read(extra) + 1
-
-
 def _codes(bits: Bits, cache_bits: int) -> list[Code]:
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    return [Code(read_lengths(bits, n)) for n in sizes]
+    read: list[tuple[dict[int, int], Code]] = []
+    for n in sizes:
+        lengths = read_lengths(bits, n)
+        same = [c for known, c in read if known == lengths]
+        read.append((lengths, same[0] if same else Code(lengths)))
+    return [c for _, c in read]
 
 
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
@@ -224,37 +251,80 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         tile = bits.read(3) + 2
         across = -(-width >> tile)
         groups = [p >> 8 & 0xFFFF for p in _pixels(bits, across, -(-height >> tile), False)]
-    codes = [_codes(bits, cache_bits) for _ in range(max(groups) + 1 if groups else 1)]
+    codes = []
+    for _ in range(max(groups) + 1 if groups else 1):
+        codes.append([(c.table, (1 << c.most) - 1) if c.only is None else ([c.only << 4], 0) for c in _codes(bits, cache_bits)])
     total, out = width * height, []
     cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
-    green, red, blue, alpha, distance = codes[0]
-    while len(out) < total:
+    (green, gm), (red, rm), (blue, bm), (alpha, am), (distance, dm) = codes[0]
+    # bits are taken from the low end of ``held``, ``have`` of them, filled up from ``data``
+    data, at = bits.data, bits.at >> 3
+    held, have = 0, 0
+    if bits.at & 7:
+        held, have, at = data[at] >> (bits.at & 7), 8 - (bits.at & 7), at + 1
+    from_bytes, size = int.from_bytes, len(data)
+    n = 0
+    while n < total:
+        if have < 64:
+            held |= from_bytes(data[at : at + 8], "little") << have
+            at += 8
+            have += 64
+            if at - (have >> 3) > size:
+                raise ValueError("the image data ends early")
         if groups is not None:
-            y, x = divmod(len(out), width)
-            green, red, blue, alpha, distance = codes[groups[(y >> tile) * across + (x >> tile)]]
-        s = green.read(bits)
+            y, x = divmod(n, width)
+            (green, gm), (red, rm), (blue, bm), (alpha, am), (distance, dm) = codes[groups[(y >> tile) * across + (x >> tile)]]
+        s = green[held & gm]
+        k = s & 15
+        held >>= k
+        have -= k
+        s >>= 4
         if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            out.append(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
+            r = red[held & rm]
+            k = r & 15
+            held >>= k
+            b = blue[held & bm]
+            j = b & 15
+            held >>= j
+            a = alpha[held & am]
+            held >>= a & 15
+            have -= k + j + (a & 15)
+            out.append(a >> 4 << 24 | r >> 4 << 16 | s << 8 | b >> 4)
+            n += 1
         elif s < 256 + LENGTH_CODES:
-            n = _prefix_value(s - 256, bits)
-            d = _prefix_value(distance.read(bits), bits)
+            s -= 256
+            extra = s - 2 >> 1 if s > 3 else 0
+            run = (2 + (s & 1) << extra) + (held & (1 << extra) - 1) + 1 if s > 3 else s + 1
+            held >>= extra
+            s = distance[held & dm]
+            k = s & 15
+            held >>= k
+            s >>= 4
+            more = s - 2 >> 1 if s > 3 else 0
+            d = (2 + (s & 1) << more) + (held & (1 << more) - 1) + 1 if s > 3 else s + 1
+            held >>= more
+            have -= extra + k + more
             if d > len(NEAR):
                 d -= len(NEAR)
             else:
                 dx, dy = NEAR[d - 1]
                 d = max(1, dx + dy * width)
-            if d > len(out) or len(out) + n > total:
+            if d > n or n + run > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(n):
-                out.append(out[-d])
+            if d >= run:
+                out += out[n - d : n - d + run]
+            else:
+                out += (out[n - d :] * (run // d + 1))[:run]
+            n += run
         else:
-            while cached < len(out):
-                p = out[cached]
+            for p in out[cached:]:
                 cache[(CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
-                cached += 1
+            cached = n
             out.append(cache[s - 256 - LENGTH_CODES])
+            n += 1
+    bits.at = 8 * at - have
+    if bits.at > bits.end:
+        raise ValueError("the image data ends early")
     return out
 
 
@@ -413,64 +483,105 @@ def _header(sink: BitSink, width: int, height: int) -> None:
         sink.put(value, n)
 
 
-def _to_prefix(value: int) -> tuple[int, int, int]:
-    """(symbol, extra bits, their value) of a length or distance."""
+def _to_prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, their value) of lengths or distances."""
     v = value - 1
-    if v < 4:
-        return v, 0, 0
-    extra = v.bit_length() - 2
-    symbol = 2 * (extra + 1) + (v >> extra & 1)
-    return symbol, extra, v & (1 << extra) - 1
-
-
-def _write_pixels(sink: BitSink, pixels: list[int], width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """One entropy-coded image, with one group of codes."""
-    size = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
-    tokens: list[list[tuple[int, int, int, int]]] = []  # (code, symbol, extra bits, value)
-    cache, last, at = [0] * (1 << cache_bits), {}, 0
-    near = {x + y * width: i + 1 for i, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
-    while at < len(pixels):
-        run, start = 0, last.get(tuple(pixels[at : at + 3]), -1) if references else -1
-        if start >= 0:
-            while run < 4096 and at + run < len(pixels) and pixels[start + run] == pixels[at + run]:
-                run += 1
-        p = pixels[at]
-        slot = (CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> 32 - cache_bits if cache_bits else 0
-        if run >= 3:
-            d = at - start
-            s, n, v = _to_prefix(run)
-            e, m, w = _to_prefix(near.get(d, d + len(NEAR)))
-            tokens.append([(0, 256 + s, n, v), (4, e, m, w)])
-        elif cache_bits and cache[slot] == p:
-            run = 1
-            tokens.append([(0, 256 + LENGTH_CODES + slot, 0, 0)])
-        else:
-            run = 1
-            a, r, g, b = _bytes_of(p)
-            tokens.append([(0, g, 0, 0), (1, r, 0, 0), (2, b, 0, 0), (3, a, 0, 0)])
-        for k in range(at, at + run):
-            if references:
-                last[tuple(pixels[k : k + 3])] = k
-            if cache_bits:
-                cache[(CACHE_MULTIPLIER * pixels[k] & 0xFFFFFFFF) >> 32 - cache_bits] = pixels[k]
-        at += run
+    high = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, high - 1)
+    symbol = np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1))
+    return symbol, extra, np.where(v < 4, 0, v & (1 << extra) - 1)
+
+
+def _runs(p: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (at, length, distance), first come first, none overlapping: the last place where three pixels stood before."""
+    if len(p) < 4:
+        return []
+    key = (p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xFF51AFD7ED558CCD) ^ p[2:]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    before = np.full(len(key), -1)
+    before[order[1:][same]] = order[:-1][same]
+    places = np.flatnonzero(before >= 0)
+    out, i = [], 0
+    while i < len(places):
+        at = int(places[i])
+        start, run = int(before[at]), 0
+        most = min(4096, len(p) - at)
+        for step in (16, 4096):
+            part = np.flatnonzero(p[at + run : at + min(most, run + step)] != p[start + run : start + min(most, run + step)])
+            if len(part):
+                run += int(part[0])
+                break
+            run = min(most, run + step)
+        if run < 3:
+            i += 1
+            continue
+        out.append((at, run, at - start))
+        i = int(np.searchsorted(places, at + run))
+    return out
+
+
+def _write_pixels(sink: BitSink, pixels, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
+    """One entropy-coded image, with one group of codes; red, blue and alpha share their code's lengths."""
+    p = np.asarray(pixels, dtype=np.uint64)
+    free = np.ones(len(p), dtype=bool)
+    runs = np.array(_runs(p) if references else [], dtype=np.int64).reshape(-1, 3)
+    for at, run, _ in runs.tolist():
+        free[at : at + run] = False
+    slots = None
+    if cache_bits:
+        slot = (p * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+        order = np.argsort(slot, kind="stable")
+        hit = np.zeros(len(p), dtype=bool)
+        hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+        cached = np.flatnonzero(hit & free)
+        slots = slot[cached].astype(np.int64)
+        free[cached] = False
+    own = np.flatnonzero(free)
+    lit = p[own].astype(np.int64)
+    parts = [lit >> 8 & 255, lit >> 16 & 255, lit & 255, lit >> 24]
+    # fields in order of pixel and, within a token, of what it consists of: (pixel, rank, code or None, symbol or value, bits)
+    fields = [(own, rank, code, v) for rank, (code, v) in enumerate(zip((0, 1, 2, 3), parts, strict=True))]
+    extras = []
+    if len(runs):
+        near = {x + y * width: i + 1 for i, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
+        s, n, v = _to_prefix(runs[:, 1])
+        e, m, w = _to_prefix(np.array([near.get(d, d + len(NEAR)) for d in runs[:, 2].tolist()], dtype=np.int64))
+        fields += [(runs[:, 0], 0, 0, s + 256), (runs[:, 0], 2, 4, e)]
+        extras = [(runs[:, 0], 1, v, n), (runs[:, 0], 3, w, m)]
+    if slots is not None and len(slots):
+        fields.append((cached, 0, 0, slots + 256 + LENGTH_CODES))
     sink.put(1 if cache_bits else 0, 1)
     if cache_bits:
         sink.put(cache_bits, 4)
     if main:
         sink.put(0, 1)
-    codes = []
-    for i, n in enumerate((size, 256, 256, 256, DISTANCE_CODES)):
-        lengths = code_lengths(Counter(t[1] for ts in tokens for t in ts if t[0] == i) or {0: 1})
-        write_lengths(sink, lengths, n)
-        if len(lengths) == 1 and next(iter(lengths)) >= 256:
-            only = next(iter(lengths))
-            lengths = {only: 1, (only + 1) % n: 1}
-        codes.append(canonical({s: max(1, k) for s, k in lengths.items()}) if len(lengths) > 1 else dict.fromkeys(lengths, (0, 0)))
-    for ts in tokens:
-        for c, s, n, v in ts:
-            sink.put(*codes[c][s])
-            sink.put(v, n)
+    sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
+    tables = []
+    shared = np.bincount(np.concatenate(parts[1:]), minlength=256) if len(lit) else None
+    for code, n in enumerate(sizes):
+        if code in (2, 3):
+            write_lengths(sink, stored, n)
+            tables.append(tables[1])
+            continue
+        symbols = [v for _, _, c, v in fields if c == code]
+        counts = shared if code == 1 and shared is not None else np.bincount(np.concatenate(symbols), minlength=n) if symbols and sum(map(len, symbols)) else None
+        used = np.flatnonzero(counts).tolist() if counts is not None else []
+        stored = code_lengths({k: int(counts[k]) for k in used} if used else {0: 1})
+        write_lengths(sink, stored, n)
+        if len(stored) == 1 and next(iter(stored)) >= 256:
+            only = next(iter(stored))
+            stored = {only: 1, (only + 1) % n: 1}
+        value, length = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        if len(stored) > 1:
+            for k, (v, bits) in canonical(stored).items():
+                value[k], length[k] = v, bits
+        tables.append((value, length))
+    where = [f[0] * 4 + f[1] for f in fields] + [x[0] * 4 + x[1] for x in extras]
+    values = [tables[c][0][v] for _, _, c, v in fields] + [v.astype(np.uint64) for _, _, v, _ in extras]
+    lengths = [tables[c][1][v] for _, _, c, v in fields] + [n for _, _, _, n in extras]
+    order = np.argsort(np.concatenate(where), kind="stable")
+    sink.put_all(np.concatenate(values)[order], np.concatenate(lengths)[order])
 
 
 def encode(image: np.ndarray, transforms: tuple[int, ...] = (), tile: int = 3, cache_bits: int = 0, references: bool = False, modes=None, factors=None) -> bytes:
@@ -516,58 +627,91 @@ def encode(image: np.ndarray, transforms: tuple[int, ...] = (), tile: int = 3, c
     return riff(sink.done())
 
 
-# ------------------------------------------------------ byte payloads in batches
+# ------------------------------------------------------------------ payloads
 
-WIDTH = 64
-#: Rows of a file; a longer payload takes several, which are decoded side by side.
-FILE_ROWS = 512
+#: Pixels across a file (64 bytes), rows of a file at most; a longer payload takes several files.
+WIDTH, FILE_ROWS = 16, 2048
+#: Bits of the colour cache, and the share of pixels that it must hold to be used.
+CACHE_BITS, CACHE_SHARE = 7, 0.04
+WHOLE = 9  # the largest tile: one predictor mode for 512 x 512 pixels
 
 
-def _grey_head(lengths: dict[int, int], height: int) -> BitSink:
-    """All that stands before the pixels of a grey image: no transform, no cache, one group."""
-    sink = BitSink()
-    _header(sink, WIDTH, height)
-    sink.put(0, 3)
-    write_lengths(sink, lengths, 256 + LENGTH_CODES)
-    for only, n in ((0, 256), (0, 256), (255, 256), (0, DISTANCE_CODES)):
-        write_lengths(sink, {only: 0}, n)
-    return sink
+def _entropy(p: np.ndarray) -> float:
+    """Bits of the four channels by their own frequencies, and of their codes."""
+    total = 0.0
+    for shift in (0, 8, 16, 24):
+        n = np.bincount((p >> np.uint32(shift) & np.uint32(255)).astype(np.intp), minlength=256)
+        n = n[n > 0]
+        total += len(p) * np.log2(len(p)) - float((n * np.log2(n)).sum()) + 5 * len(n)
+    return total
 
 
-def encode_grey(payload: bytes) -> bytes:
-    """Lossless files, one after the other, whose green samples are ``payload`` (a positive multiple of 64 bytes).
+def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a - b, each channel modulo 256."""
+    return (a.view(np.uint8) - b.view(np.uint8)).view(np.uint32)
 
-    One file holds FILE_ROWS rows at most; a longer payload takes several.
+
+def choose(p: np.ndarray) -> dict:
+    """How to encode the pixels of a payload (rows of WIDTH): the plan with the fewest estimated bits.
+
+    Plans: as they are, green subtracted, predicted from above or from above and
+    left, with or without a cross-colour step, or a palette.
+    """
+    plans = {(): (_entropy(p), {})}
+    green = p >> np.uint32(8) & np.uint32(255)
+    plans[SUBTRACT_GREEN,] = (_entropy(_minus(p, green | green << np.uint32(16))) + 8, {})
+    if len(p) > WIDTH:
+        for mode, guess in ((2, p[:-WIDTH]), (1, p[WIDTH - 1 : -1])):
+            residual = p.copy()
+            residual[WIDTH:] = _minus(p[WIDTH:], guess)
+            residual[1:WIDTH] = _minus(p[1:WIDTH], p[: WIDTH - 1])
+            bits = _entropy(residual) + 64
+            if bits < plans.get((PREDICTOR,), (np.inf,))[0]:
+                plans[PREDICTOR,] = (bits, {"modes": mode})
+            crossed = _crossed(residual)
+            if (bits := _entropy(crossed) + 128) < plans.get((PREDICTOR, CROSS_COLOUR), (np.inf,))[0]:
+                plans[PREDICTOR, CROSS_COLOUR] = (bits, {"modes": mode, "factors": FACTOR})
+    colours, counts = np.unique(p, return_counts=True)
+    if len(colours) <= 256:
+        fold = 1 << _palette_bits(len(colours))
+        plans[PALETTE,] = ((len(p) * np.log2(len(p)) - float((counts * np.log2(counts)).sum())) / min(fold, 2) + 5 * len(colours) + _entropy(colours) + 64, {})
+    transforms = min(plans, key=lambda k: (plans[k][0], len(k)))
+    return {"transforms": transforms, **plans[transforms][1]}
+
+
+#: The cross-colour factors that are tried: half of green is told of red and of blue (in 1/32).
+FACTOR = 16 | 16 << 8
+
+
+def _crossed(p: np.ndarray) -> np.ndarray:
+    """What FACTOR leaves of red and blue."""
+    told = (_signed(p >> np.uint32(8)) * 16 >> 5).astype(np.uint8).astype(np.uint32)
+    return _minus(p, told << np.uint32(16) | told)
+
+
+def store_bytes(payload: bytes) -> bytes:
+    """Lossless files, one after the other, whose pixels are ``payload`` (a positive multiple of 64 bytes), four bytes each.
+
+    Depends on the payload alone.
     """
     out = []
-    for a in range(0, len(payload), WIDTH * FILE_ROWS):
-        raw = np.frombuffer(payload, dtype=np.uint8)[a : a + WIDTH * FILE_ROWS]
-        counts = np.bincount(raw, minlength=256)
-        lengths = code_lengths({int(s): int(counts[s]) for s in np.flatnonzero(counts)})
-        head = _grey_head(lengths, len(raw) // WIDTH)
-        front = head.done()
-        if len(lengths) > 1:
-            bits, size = np.zeros(256, np.uint64), np.zeros(256, np.int64)
-            for s, (v, n) in canonical(lengths).items():
-                bits[s], size[s] = v, n
-            first = 8 * sum(map(len, head.parts)) + head.n
-            ends = np.cumsum(size[raw]) + first
-            at = ends - size[raw]
-            word, off, value = at >> 6, (at & 63).astype(np.uint64), bits[raw]
-            words = np.zeros(int(ends[-1] >> 6) + 2, dtype=np.uint64)
-            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            words[word[edge]] = np.bitwise_or.reduceat(value << off, edge)
-            last = np.append(edge[1:] - 1, len(raw) - 1)
-            over = last[(at[last] & 63) + size[raw[last]] > 64]
-            words[word[over] + 1] |= value[over] >> (np.uint64(64) - off[over])
-            body = bytearray(words.tobytes()[: int(ends[-1] + 7) >> 3])
-            for i, b in enumerate(front):
-                body[i] |= b
-            front = bytes(body)
-        out.append(riff(front))
+    for a in range(0, len(payload), 4 * WIDTH * FILE_ROWS):
+        p = np.frombuffer(payload[a : a + 4 * WIDTH * FILE_ROWS], dtype="<u4")
+        plan = choose(p)
+        tiles = -(-(len(p) // WIDTH) >> WHOLE)
+        modes = [plan["modes"]] * tiles if "modes" in plan else None
+        factors = [plan["factors"]] * tiles if "factors" in plan else None
+        seen = len(p) - len(np.unique(p))
+        cache = CACHE_BITS if seen >= CACHE_SHARE * len(p) and PALETTE not in plan["transforms"] else 0
+        out.append(encode(p.reshape(-1, WIDTH), plan["transforms"], WHOLE, cache, True, modes, factors))
     return b"".join(out)
 
 
+def load_bytes(stored: bytes) -> bytes:
+    """The payload of files that ``store_bytes`` or any other encoder wrote: their pixels, four bytes each."""
+    return b"".join(decode(f).astype("<u4").tobytes() for f in files(stored))
+
+
 def files(stored: bytes) -> list[bytes]:
     """The files that stand one after the other."""
     out, at = [], 0
@@ -576,76 +720,3 @@ def files(stored: bytes) -> list[bytes]:
         out.append(stored[at : at + n])
         at += n
     return out
-
-
-def _grey_plan(data: bytes):
-    """(lengths, first bit, samples) of an image that the lanes can take, or None."""
-    bits = Bits(data)
-    if bits.read(8) != SIGNATURE:
-        return None
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(4)
-    if bits.read(3):
-        return None
-    lengths = read_lengths(bits, 256 + LENGTH_CODES)
-    rest = [read_lengths(bits, n) for n in (256, 256, 256, DISTANCE_CODES)]
-    if any(len(x) != 1 for x in rest) or max(lengths) > 255 or max(lengths.values()) > MOST_BITS:
-        return None
-    return lengths, bits.at, width * height
-
-
-def decode_grey(images: list[bytes]) -> list[bytes]:
-    """The green samples of each image; images with a plain green code are decoded in step."""
-    out: list[bytes | None] = [None] * len(images)
-    lanes = []
-    for i, image in enumerate(images):
-        data = chunk(image)
-        plan = _grey_plan(data)
-        if plan is None:
-            out[i] = (decode(image) >> np.uint32(8)).astype(np.uint8).tobytes()
-        elif len(plan[0]) == 1:
-            out[i] = bytes([next(iter(plan[0]))]) * plan[2]
-        else:
-            lanes.append((plan[2], i, data, plan))
-    lanes.sort(key=lambda x: -x[0])
-    for a in range(0, len(lanes), 4096):
-        _in_step(lanes[a : a + 4096], out)
-    return out
-
-
-def _in_step(lanes: list, out: list) -> None:
-    """Two samples of every lane that is not done at each step; lanes are in falling order of length."""
-    if not lanes:
-        return
-    size = 1 << MOST_BITS
-    table = np.zeros((len(lanes), size), dtype=np.uint16)
-    for k, (_, _, _, (lengths, _, _)) in enumerate(lanes):
-        row = table[k]
-        for s, (bits, n) in canonical(lengths).items():
-            row[bits :: 1 << n] = s << 4 | n
-    flat = table.reshape(-1)
-    starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in lanes])])
-    raw = np.frombuffer(b"".join(x[2] for x in lanes) + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
-    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    at = starts[:-1] * 8 + np.array([x[3][1] for x in lanes])
-    base = np.arange(len(lanes), dtype=np.int64) * size
-    n = np.array([x[0] for x in lanes])
-    steps = (n + 1) // 2
-    place = np.concatenate([[0], np.cumsum(2 * steps)])
-    got = np.zeros(int(place[-1]), dtype=np.uint8)
-    to = place[:-1].copy()
-    active = np.searchsorted(-steps, -np.arange(1, int(steps[0]) + 1), side="right")
-    mask = np.uint32(size - 1)
-    top = len(window) - 1
-    for k in active.tolist():
-        pos, dest = at[:k], to[:k]
-        w = window[np.minimum(pos >> 3, top)] >> (pos & 7).astype(np.uint32)
-        one = flat[base[:k] + (w & mask)]
-        w >>= one & np.uint16(15)
-        two = flat[base[:k] + (w & mask)]
-        got[dest] = one >> np.uint16(4)
-        got[dest + 1] = two >> np.uint16(4)
-        pos += (one & np.uint16(15)) + (two & np.uint16(15))
-        dest += 2
-    for k, (size_k, i, _, _) in enumerate(lanes):
-        out[i] = got[place[k] : place[k] + size_k].tobytes()
