@@ -10,6 +10,7 @@ through ``decode``.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -22,8 +23,10 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 MOST_SIDE = 1 << 14
 #: Short distance codes: offsets (x, y) to the left or above, nearest first; at equal distance the higher first, then the right one.
 NEAR = sorted([(x, 0) for x in range(1, 9)] + [(x, y) for y in range(1, 8) for x in range(-7, 9)], key=lambda o: (o[0] ** 2 + o[1] ** 2, -o[1], -o[0]))
+#: The share of pixels that a colour cache must hold to be used.
+CACHE_SHARE = 0.04
 #: Code lengths that this encoder uses at most, so that a lane's table stays small.
-MOST_BITS = 11
+MOST_BITS = 9
 
 
 class Bits:
@@ -39,6 +42,10 @@ class Bits:
         self.at += n
         return int.from_bytes(self.data[first : first + 5], "little") >> shift & (1 << n) - 1
 
+    def peek(self, at: int, n: int) -> int:
+        first = at >> 3
+        return int.from_bytes(self.data[first : (at + n + 7) >> 3], "little") >> (at & 7) & (1 << n) - 1
+
 
 class BitSink:
     """Collects least-significant bits first."""
@@ -125,6 +132,11 @@ def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+#: This encoder stores code lengths by one fixed code of four bits each.
+USED_LENGTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16, 17, 18)
+LENGTHS_CODE = canonical(dict.fromkeys(USED_LENGTHS, 4))
+
+
 class Code:
     """A prefix code that reads from Bits; a single symbol takes no bits."""
 
@@ -152,6 +164,12 @@ class Code:
         return x >> 4
 
 
+@lru_cache(maxsize=64)
+def _meta_code(lengths: tuple[tuple[int, int], ...]) -> Code:
+    """The code of code lengths; files of one encoder mostly share it."""
+    return Code(dict(lengths))
+
+
 def read_lengths(bits: Bits, symbols: int) -> dict[int, int]:
     """The code lengths of one stored prefix code."""
     if bits.read(1):
@@ -165,7 +183,7 @@ def read_lengths(bits: Bits, symbols: int) -> dict[int, int]:
         n = bits.read(3)
         if n:
             meta[CODE_LENGTH_ORDER[i]] = n
-    code = Code(meta)
+    code = _meta_code(tuple(sorted(meta.items())))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     out, at, before = {}, 0, 8
     while at < symbols and left:
@@ -197,12 +215,11 @@ def write_lengths(sink: BitSink, lengths: dict[int, int], symbols: int) -> None:
             sink.put(s, 8)
         return
     sink.put(0, 1)
-    fixed = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16, 17, 18]
     sink.put(len(CODE_LENGTH_ORDER) - 4, 4)
     for s in CODE_LENGTH_ORDER:
-        sink.put(4 if s in fixed else 0, 3)
+        sink.put(4 if s in USED_LENGTHS else 0, 3)
     sink.put(0, 1)
-    code = canonical(dict.fromkeys(fixed, 4))
+    code = LENGTHS_CODE
     # a single symbol of a large alphabet still needs a length; a second, unused one completes the code
     if len(names) == 1:
         lengths = {names[0]: 1, (names[0] + 1) % symbols: 1}
@@ -233,12 +250,19 @@ def write_lengths(sink: BitSink, lengths: dict[int, int], symbols: int) -> None:
 
 def _codes(bits: Bits, cache_bits: int) -> list[Code]:
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    read: list[tuple[dict[int, int], Code]] = []
+    out: list[Code] = []
+    before, start = -1, 0
     for n in sizes:
-        lengths = read_lengths(bits, n)
-        same = [c for known, c in read if known == lengths]
-        read.append((lengths, same[0] if same else Code(lengths)))
-    return [c for _, c in read]
+        span = bits.at - start
+        # a code that is stored bit by bit as the one before it, for an alphabet of the same size, is that code
+        if n == before and bits.at + span <= bits.end and bits.peek(start, span) == bits.peek(bits.at, span):
+            start = bits.at
+            bits.at += span
+            out.append(out[-1])
+            continue
+        before, start = n, bits.at
+        out.append(Code(read_lengths(bits, n)))
+    return out
 
 
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
@@ -535,8 +559,11 @@ def _write_pixels(sink: BitSink, pixels, width: int, main: bool, cache_bits: int
         hit = np.zeros(len(p), dtype=bool)
         hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
         cached = np.flatnonzero(hit & free)
-        slots = slot[cached].astype(np.int64)
-        free[cached] = False
+        if len(cached) < CACHE_SHARE * len(p):
+            cache_bits = 0
+        else:
+            slots = slot[cached].astype(np.int64)
+            free[cached] = False
     own = np.flatnonzero(free)
     lit = p[own].astype(np.int64)
     parts = [lit >> 8 & 255, lit >> 16 & 255, lit & 255, lit >> 24]
@@ -561,14 +588,17 @@ def _write_pixels(sink: BitSink, pixels, width: int, main: bool, cache_bits: int
     shared = np.bincount(np.concatenate(parts[1:]), minlength=256) if len(lit) else None
     for code, n in enumerate(sizes):
         if code in (2, 3):
-            write_lengths(sink, stored, n)
+            sink.put(*once)
             tables.append(tables[1])
             continue
         symbols = [v for _, _, c, v in fields if c == code]
         counts = shared if code == 1 and shared is not None else np.bincount(np.concatenate(symbols), minlength=n) if symbols and sum(map(len, symbols)) else None
         used = np.flatnonzero(counts).tolist() if counts is not None else []
         stored = code_lengths({k: int(counts[k]) for k in used} if used else {0: 1})
-        write_lengths(sink, stored, n)
+        apart = BitSink()
+        write_lengths(apart, stored, n)
+        once = (int.from_bytes(apart.done(), "little"), 8 * sum(map(len, apart.parts)) + apart.n)
+        sink.put(*once)
         if len(stored) == 1 and next(iter(stored)) >= 256:
             only = next(iter(stored))
             stored = {only: 1, (only + 1) % n: 1}
@@ -631,24 +661,26 @@ def encode(image: np.ndarray, transforms: tuple[int, ...] = (), tile: int = 3, c
 
 #: Pixels across a file (64 bytes), rows of a file at most; a longer payload takes several files.
 WIDTH, FILE_ROWS = 16, 2048
-#: Bits of the colour cache, and the share of pixels that it must hold to be used.
-CACHE_BITS, CACHE_SHARE = 7, 0.04
+CACHE_BITS = 7
 WHOLE = 9  # the largest tile: one predictor mode for 512 x 512 pixels
 
 
 def _entropy(p: np.ndarray) -> float:
     """Bits of the four channels by their own frequencies, and of their codes."""
-    total = 0.0
-    for shift in (0, 8, 16, 24):
-        n = np.bincount((p >> np.uint32(shift) & np.uint32(255)).astype(np.intp), minlength=256)
-        n = n[n > 0]
-        total += len(p) * np.log2(len(p)) - float((n * np.log2(n)).sum()) + 5 * len(n)
-    return total
+    channels = np.ascontiguousarray(p).view(np.uint8).reshape(-1, 4) + np.arange(0, 1024, 256)
+    n = np.bincount(channels.reshape(-1), minlength=1024)
+    n = n[n > 0]
+    return float(4 * len(p) * np.log2(len(p)) - (n * np.log2(n)).sum() + 5 * len(n))
 
 
 def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a - b, each channel modulo 256."""
-    return (a.view(np.uint8) - b.view(np.uint8)).view(np.uint32)
+    return (np.ascontiguousarray(a).view(np.uint8) - np.ascontiguousarray(b).view(np.uint8)).view(np.uint32)
+
+
+def _small(p: np.ndarray) -> float:
+    """The share of bytes within 2 of 0."""
+    return float(np.count_nonzero(np.ascontiguousarray(p).view(np.uint8) + np.uint8(2) < 5)) / (4 * len(p))
 
 
 def choose(p: np.ndarray) -> dict:
@@ -659,11 +691,16 @@ def choose(p: np.ndarray) -> dict:
     """
     plans = {(): (_entropy(p), {})}
     green = p >> np.uint32(8) & np.uint32(255)
-    plans[SUBTRACT_GREEN,] = (_entropy(_minus(p, green | green << np.uint32(16))) + 8, {})
+    without = _minus(p, green | green << np.uint32(16))
+    if _small(without) > 0.75:  # half of the bytes are green's and alpha's own
+        plans[SUBTRACT_GREEN,] = (_entropy(without) + 8, {})
     if len(p) > WIDTH:
         for mode, guess in ((2, p[:-WIDTH]), (1, p[WIDTH - 1 : -1])):
+            rest = _minus(p[WIDTH:], guess)
+            if _small(rest) < 0.3:  # no use: residuals of such a guess are as mixed as the pixels
+                continue
             residual = p.copy()
-            residual[WIDTH:] = _minus(p[WIDTH:], guess)
+            residual[WIDTH:] = rest
             residual[1:WIDTH] = _minus(p[1:WIDTH], p[: WIDTH - 1])
             bits = _entropy(residual) + 64
             if bits < plans.get((PREDICTOR,), (np.inf,))[0]:
@@ -671,7 +708,7 @@ def choose(p: np.ndarray) -> dict:
             crossed = _crossed(residual)
             if (bits := _entropy(crossed) + 128) < plans.get((PREDICTOR, CROSS_COLOUR), (np.inf,))[0]:
                 plans[PREDICTOR, CROSS_COLOUR] = (bits, {"modes": mode, "factors": FACTOR})
-    colours, counts = np.unique(p, return_counts=True)
+    colours, counts = np.unique(p, return_counts=True) if len(p) <= 512 or len(np.unique(p[:512])) <= 256 else (p, p)  # more than 256 in a part are more than 256
     if len(colours) <= 256:
         fold = 1 << _palette_bits(len(colours))
         plans[PALETTE,] = ((len(p) * np.log2(len(p)) - float((counts * np.log2(counts)).sum())) / min(fold, 2) + 5 * len(colours) + _entropy(colours) + 64, {})
@@ -701,8 +738,7 @@ def store_bytes(payload: bytes) -> bytes:
         tiles = -(-(len(p) // WIDTH) >> WHOLE)
         modes = [plan["modes"]] * tiles if "modes" in plan else None
         factors = [plan["factors"]] * tiles if "factors" in plan else None
-        seen = len(p) - len(np.unique(p))
-        cache = CACHE_BITS if seen >= CACHE_SHARE * len(p) and PALETTE not in plan["transforms"] else 0
+        cache = 0 if PALETTE in plan["transforms"] else CACHE_BITS
         out.append(encode(p.reshape(-1, WIDTH), plan["transforms"], WHOLE, cache, True, modes, factors))
     return b"".join(out)
 

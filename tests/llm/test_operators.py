@@ -438,8 +438,8 @@ def test_store_bytes():
     rng = np.random.default_rng(3)
     ramp = (np.cumsum(rng.integers(0, 3, 64 * 400)) % 256).astype(np.uint8)
     rows = np.tile(rng.integers(0, 256, 64), (300, 1)).cumsum(axis=0).astype(np.uint8)
-    tinted = np.repeat(rng.integers(0, 256, 16 * 300), 4).reshape(-1, 4)
-    tinted = (tinted // (2, 1, 2, 1) + rng.integers(0, 2, tinted.shape)).astype(np.uint8)
+    tinted = np.cumsum(rng.integers(0, 5, 16 * 300)) % 128
+    tinted = (np.stack([tinted // 2, tinted, tinted // 2, tinted * 0], axis=1) + rng.integers(0, 2, (16 * 300, 4))).astype(np.uint8)
     payloads = {
         "zeros": bytes(64),
         "noise": rng.integers(0, 256, 64 * 100, dtype=np.uint8).tobytes(),
