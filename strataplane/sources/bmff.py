@@ -18,13 +18,19 @@ from strataplane.functions.integers import unsigned
 # Boxes that hold boxes, with the bytes before their children.
 PARENTS = {"meta": 4, "iprp": 0, "ipco": 0, "moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "iref": 4, "tref": 0, "grpl": 0}
 INPUT_LIMIT = 256 << 20
-SCHEMA = "path string, box_id int, parent int, depth int, type string, offset long, payload_offset long, payload_size long, size_zero boolean, error string"
+#: Payloads up to this size come with the box; larger ones, and media data, are read where they are needed.
+SMALL, MEDIA = 1 << 16, {"mdat", "idat"}
+SCHEMA = "path string, box_id int, parent int, depth int, type string, offset long, payload_offset long, payload_size long, size_zero boolean, error string, data binary"
 
 
 def read_files(spark: SparkSession, path: str, limit: int = INPUT_LIMIT, pattern: str = "*") -> DataFrame:
-    """(path, length, content) of files of at most ``limit`` bytes; the filter reaches the file scan."""
+    """(path, length, content) of files; content is null for those of over ``limit`` bytes, which ``scan`` reports.
+
+    Two scans, so that the filter on length keeps large files from being read.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= limit).select("path", "length", "content")
+    read = files.where(F.col("length") <= limit).select("path", "length", "content")
+    return read.unionByName(files.where(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def boxes(content: bytes) -> Iterator[tuple]:
@@ -54,13 +60,21 @@ def boxes(content: bytes) -> Iterator[tuple]:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """SCHEMA rows, one a box; a truncated or oversized box is a row with ``error`` and ends its level."""
+    """SCHEMA rows, one a box; a truncated or oversized box is a row with ``error`` and ends its level, as is a file over the input limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *b) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for b in boxes(c or b"")]
-            columns = list(zip(*rows, strict=True)) or [()] * 10
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if content is None:
+                    rows.append((path, 0, None, 0, None, 0, 0, None, False, "input over the limit", None))
+                    continue
+                for b in boxes(content):
+                    kind, first, size = b[3], b[5], b[6]
+                    small = b[8] is None and kind not in PARENTS and kind not in MEDIA and size <= SMALL
+                    rows.append((path, *b, content[first : first + size] if small else None))
+            columns = list(zip(*rows, strict=True)) or [()] * 11
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
@@ -74,7 +88,13 @@ def payload(content: Column, box: str = "") -> Column:
 def with_payload(files: DataFrame, scanned: DataFrame, *types: str) -> DataFrame:
     """Boxes of the given types with their payload ``data``."""
     rows = scanned.where(F.col("type").isin(*types) & F.col("error").isNull())
-    return rows.join(files.select("path", "content"), "path").withColumn("data", payload(F.col("content"))).drop("content")
+    if not set(types) & (MEDIA | set(PARENTS)):
+        held = rows.where("data is not null")
+        rest = rows.where("data is null")
+    else:
+        held, rest = rows.where("false"), rows
+    # only boxes whose payload did not come with the scan meet their file's content again
+    return held.unionByName(rest.drop("data").join(files.select("path", "content"), "path").withColumn("data", payload(F.col("content"))).drop("content"))
 
 
 def fourcc(data: Column, at: int | Column) -> Column:
@@ -163,6 +183,57 @@ def auxc(data: Column) -> Column:
     return F.split_part(F.decode(F.substring(data, 5, 1 << 30), "ISO-8859-1"), F.lit("\x00"), F.lit(1))
 
 
+def primary_item(data: Column) -> Column:
+    return F.when(unsigned(data, 0, 1) == 0, unsigned(data, 4, 2)).otherwise(unsigned(data, 4, 4))
+
+
+def handler(data: Column) -> Column:
+    return fourcc(data, 8)
+
+
+def _indefinite(v: Column, n: int) -> Column:
+    return F.nullif(v, F.lit((1 << 8 * n) - 1).cast("bigint")) if n == 4 else v
+
+
+def track_header(data: Column) -> Column:
+    """Track id, duration (null: without end) and size in whole samples, by version."""
+    long = unsigned(data, 0, 1) == 1
+    size = lambda at: F.shiftright(F.when(long, unsigned(data, at + 12, 4)).otherwise(unsigned(data, at, 4)), 16)
+    endless = F.substring(data, 29, 8) == F.lit(b"\xff" * 8)
+    duration = F.when(long, F.when(~endless, unsigned(data, 28, 8))).otherwise(_indefinite(unsigned(data, 20, 4), 4))
+    return F.struct(F.when(long, unsigned(data, 20, 4)).otherwise(unsigned(data, 12, 4)).alias("track_id"), duration.alias("duration"), size(76).alias("width"), size(80).alias("height"))
+
+
+def media_header(data: Column) -> Column:
+    long = unsigned(data, 0, 1) == 1
+    return F.struct(F.when(long, unsigned(data, 20, 4)).otherwise(unsigned(data, 12, 4)).alias("timescale"), F.when(long, unsigned(data, 24, 8)).otherwise(unsigned(data, 16, 4)).alias("duration"))
+
+
+def edit_list(data: Column) -> Column:
+    """Whether the list repeats, its entries and the first one's duration; ``valid`` if a repeating list has one entry of some duration."""
+    long, repeats, n = unsigned(data, 0, 1) == 1, unsigned(data, 3, 1).bitwiseAND(1) == 1, unsigned(data, 4, 4)
+    segment = F.when(long, unsigned(data, 8, 8)).otherwise(unsigned(data, 8, 4))
+    return F.struct(repeats.alias("repeats"), n.alias("entries"), segment.alias("segment"), (~repeats | ((n == 1) & (segment > 0))).alias("valid"))
+
+
+def sample_entry(data: Column) -> Column:
+    """Number of sample descriptions and the first one's format."""
+    return F.struct(unsigned(data, 4, 4).alias("entries"), fourcc(data, 12).alias("format"))
+
+
+def last_sync(data: Column) -> Column:
+    """The largest sample number of stss."""
+    return F.array_max(_many(data, 8, unsigned(data, 4, 4), 4, lambda at: unsigned(data, at, 4)))
+
+
+def grid(payload: Column) -> Column:
+    """Rows, columns and output size of a grid item's payload; valid for version 0 without bytes behind."""
+    wide = unsigned(payload, 1, 1).bitwiseAND(1) == 1
+    size = lambda k: F.when(wide, unsigned(payload, 4 + 4 * k, 4)).otherwise(unsigned(payload, 4 + 2 * k, 2))
+    length = F.when(wide, 12).otherwise(8)
+    return F.struct(((unsigned(payload, 0, 1) == 0) & (F.octet_length(payload) == length)).alias("valid"), (unsigned(payload, 2, 1) + 1).alias("rows"), (unsigned(payload, 3, 1) + 1).alias("columns"), size(0).alias("width"), size(1).alias("height"))
+
+
 # ---- tables of items, extents, links and runs
 
 
@@ -253,17 +324,34 @@ def extents(boxed: DataFrame) -> DataFrame:
 
 
 def references(boxed: DataFrame) -> DataFrame:
-    """(path, ref_type, from_id, pos, to_id) from the boxes in iref of version 0 (path, type, data)."""
-    d = F.col("data")
-    ids = _many(d, 4, unsigned(d, 2, 2), 2, lambda at: unsigned(d, at, 2))
-    return boxed.select("path", F.col("type").alias("ref_type"), unsigned(d, 0, 2).alias("from_id"), F.posexplode(ids).alias("pos", "to_id"))
+    """(path, ref_type, from_id, pos, to_id) from the boxes in iref (path, type, data).
 
-
-def payloads(files: DataFrame, parts: DataFrame) -> DataFrame:
-    """(path, item, payload): extents (path, item, pos, offset, length) read from their files and joined in order."""
-    read = parts.join(files.select("path", "content"), "path").select("path", "item", "pos", F.substring("content", (F.col("offset") + 1).cast("int"), F.col("length").cast("int")).alias("part"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: F.hex(x["part"]))
-    return read.groupBy("path", "item").agg(F.unhex(F.array_join(ordered, "")).alias("payload"))
+    The box's length tells the width of ids: 4 + 2 n bytes with 16, 6 + 4 n with 32 bits.
+    """
+    d = F.col("data")
+    narrow = F.octet_length(d) == 4 + 2 * unsigned(d, 2, 2)
+    ids = F.when(narrow, _many(d, 4, unsigned(d, 2, 2), 2, lambda at: unsigned(d, at, 2))).otherwise(_many(d, 6, unsigned(d, 4, 2), 4, lambda at: unsigned(d, at, 4)))
+    return boxed.select("path", F.col("type").alias("ref_type"), F.when(narrow, unsigned(d, 0, 2)).otherwise(unsigned(d, 0, 4)).alias("from_id"), F.posexplode(ids).alias("pos", "to_id"))
+
+
+def payloads(files: DataFrame, parts: DataFrame, idat: DataFrame | None = None) -> DataFrame:
+    """(path, item, payload): extents (path, item, method, pos, offset, length) read and joined in order.
+
+    Extents of method 0 (or without a method) count from the file's start,
+    those of method 1 from the payload of the file's idat box, given by
+    ``idat`` (path, payload_offset).  A length of 0 reaches to the end.
+    """
+    if "method" not in parts.columns:
+        parts = parts.withColumn("method", F.lit(0))
+    base = F.lit(0).cast("long")
+    if idat is not None:
+        parts = parts.join(idat.select("path", F.col("payload_offset").alias("idat_at")), "path", "left")
+        base = F.when(F.col("method") == 1, F.col("idat_at")).otherwise(base)
+    placed = parts.withColumn("at", F.when(F.col("method") == 0, F.lit(0).cast("long")).otherwise(base if idat is not None else F.lit(None)) + F.col("offset"))
+    length = F.when(F.col("length") == 0, F.lit((1 << 31) - 1)).otherwise(F.col("length")).cast("int")
+    read = placed.join(files.select("path", "content"), "path").select("path", "item", "pos", F.substring("content", (F.col("at") + 1).cast("int"), length).alias("part"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])
+    return read.groupBy("path", "item").agg(F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x)).alias("payload"))
 
 
 def runs(data: Column, names: tuple[str, ...]) -> Column:
