@@ -103,16 +103,21 @@ def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int
         # leaves and joined nodes both come in rising order, so the two least are at their heads
         weight, parent = [w for w, _ in weights], [0] * (2 * n - 1)
         leaf, inner = 0, n
+        weight.append(1 << 60)  # no leaf is left
+        joined: list[int] = []
         for new in range(n, 2 * n - 1):
             total = 0
-            for _ in range(2):
-                if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
-                    at, leaf = leaf, leaf + 1
+            for _ in (0, 1):
+                w = weight[leaf]
+                if inner == new or w <= joined[inner - n]:
+                    parent[leaf] = new
+                    leaf += 1
                 else:
-                    at, inner = inner, inner + 1
-                parent[at] = new
-                total += weight[at]
-            weight.append(total)
+                    w = joined[inner - n]
+                    parent[inner] = new
+                    inner += 1
+                total += w
+            joined.append(total)
         depth = [0] * (2 * n - 1)
         for at in range(2 * n - 3, -1, -1):
             depth[at] = depth[parent[at]] + 1
@@ -121,20 +126,45 @@ def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int
         shift += 2
 
 
-def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """Symbol to (bits as they are stored, length)."""
-    out, code, last = {}, 0, 0
-    for s, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
-        code <<= n - last
-        last = n
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2) if n else 0, n)
-        code += 1
+@lru_cache(maxsize=16)
+def _reversed_bits(n: int) -> np.ndarray:
+    """Each number below 2^n with its n bits in reverse."""
+    out = np.zeros(1, dtype=np.int64)
+    for _ in range(n):
+        out = np.concatenate([out << 1, out << 1 | 1])
     return out
 
 
+def _in_order(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols and their lengths in the order of their codes, and the largest length."""
+    s, n = np.array(list(lengths.keys()), dtype=np.int64), np.array(list(lengths.values()), dtype=np.int64)
+    order = np.argsort(n << 16 | s)
+    return s[order], n[order], int(n[order[-1]])
+
+
+def canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, bits as they are stored, lengths), in the order of the codes."""
+    s, n, most = _in_order(lengths)
+    # a code filled up to the largest length is the sum of what the codes before it span
+    span = 1 << most - n
+    return s, _reversed_bits(most)[np.cumsum(span) - span], n
+
+
 #: This encoder stores code lengths by one fixed code of four bits each.
 USED_LENGTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16, 17, 18)
-LENGTHS_CODE = canonical(dict.fromkeys(USED_LENGTHS, 4))
+LENGTHS_CODE = {s: b for s, b in zip(*(x.tolist() for x in canonical(dict.fromkeys(USED_LENGTHS, 4))[:2]), strict=True)}
+
+
+def _lengths_head() -> tuple[int, int]:
+    value, n = len(CODE_LENGTH_ORDER) - 4 << 1, 5
+    for s in CODE_LENGTH_ORDER:
+        value |= (4 if s in USED_LENGTHS else 0) << n
+        n += 3
+    return value, n + 1
+
+
+#: What goes before the lengths in every stored code: not simple, the code of lengths, all symbols follow; (bits, count).
+LENGTHS_HEAD = _lengths_head()
 
 
 class Code:
@@ -147,11 +177,21 @@ class Code:
             return
         if sum(2.0**-n for n in used.values()) != 1.0:
             raise ValueError("a prefix code is not complete")
-        self.only, self.most = None, max(used.values())
-        size = 1 << self.most
-        self.table = [0] * size
-        for s, (bits, n) in canonical(used).items():
-            self.table[bits :: 1 << n] = [s << 4 | n] * (size >> n)
+        s, n, self.most = _in_order(used)
+        self.only = None
+        # by first bit first the table is one run a symbol; its index is read last bit first
+        self.entries = np.repeat(s << 4 | n, 1 << self.most - n)[_reversed_bits(self.most)]
+        self.table = self.entries.tolist()
+
+    def table_mask(self) -> tuple[list[int], int]:
+        """Symbol and bits (4) by the next bits of the data, and the mask of these."""
+        return (self.table, (1 << self.most) - 1) if self.only is None else ([self.only << 4], 0)
+
+    def channel(self, place: int) -> tuple[list[int], int]:
+        """As ``table_mask``, with bits in 6 and the symbol shifted by ``place`` beside them, so that entries of several channels add up."""
+        if self.only is not None:
+            return [self.only << 6 + place], 0
+        return (self.entries >> 4 << 6 + place | self.entries & 15).tolist(), (1 << self.most) - 1
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -186,19 +226,34 @@ def read_lengths(bits: Bits, symbols: int) -> dict[int, int]:
     code = _meta_code(tuple(sorted(meta.items())))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     out, at, before = {}, 0, 8
+    table, mask = code.table_mask()
+    # a length and its repeats take at most 14 bits
+    first, most = bits.at >> 3, (bits.at & 7) + 14 * symbols
+    held, taken = int.from_bytes(bits.data[first : first + (most + 7 >> 3)], "little") >> (bits.at & 7), 0
     while at < symbols and left:
         left -= 1
-        n = code.read(bits)
+        x = table[held & mask]
+        n, k = x >> 4, x & 15
         if n < 16:
             if n:
                 out[at] = before = n
             at += 1
         elif n == 16:
-            for _ in range(3 + bits.read(2)):
+            for _ in range(3 + (held >> k & 3)):
                 out[at] = before
                 at += 1
+            k += 2
+        elif n == 17:
+            at += 3 + (held >> k & 7)
+            k += 3
         else:
-            at += 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
+            at += 11 + (held >> k & 127)
+            k += 7
+        held >>= k
+        taken += k
+    bits.at += taken
+    if bits.at > bits.end:
+        raise ValueError("the image data ends early")
     if at > symbols:
         raise ValueError("code lengths run past the alphabet")
     return out
@@ -214,35 +269,33 @@ def write_lengths(sink: BitSink, lengths: dict[int, int], symbols: int) -> None:
         for s in names:
             sink.put(s, 8)
         return
-    sink.put(0, 1)
-    sink.put(len(CODE_LENGTH_ORDER) - 4, 4)
-    for s in CODE_LENGTH_ORDER:
-        sink.put(4 if s in USED_LENGTHS else 0, 3)
-    sink.put(0, 1)
-    code = LENGTHS_CODE
+    value, have = LENGTHS_HEAD
     # a single symbol of a large alphabet still needs a length; a second, unused one completes the code
     if len(names) == 1:
         lengths = {names[0]: 1, (names[0] + 1) % symbols: 1}
         names = sorted(lengths)
-    at = 0
+    at, code = 0, LENGTHS_CODE
     for s in [*names, symbols]:
         gap = s - at
         while gap:
             if gap >= 11:
                 n = min(gap, 138)
-                sink.put(*code[18])
-                sink.put(n - 11, 7)
+                value |= (code[18] | n - 11 << 4) << have
+                have += 11
             elif gap >= 3:
                 n = gap
-                sink.put(*code[17])
-                sink.put(n - 3, 3)
+                value |= (code[17] | n - 3 << 4) << have
+                have += 7
             else:
                 n = 1
-                sink.put(*code[0])
+                value |= code[0] << have
+                have += 4
             gap -= n
         if s < symbols:
-            sink.put(*code[lengths[s]])
+            value |= code[lengths[s]] << have
+            have += 4
         at = s + 1
+    sink.put(value, have)
 
 
 # --------------------------------------------------------------------- decoding
@@ -277,7 +330,8 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         groups = [p >> 8 & 0xFFFF for p in _pixels(bits, across, -(-height >> tile), False)]
     codes = []
     for _ in range(max(groups) + 1 if groups else 1):
-        codes.append([(c.table, (1 << c.most) - 1) if c.only is None else ([c.only << 4], 0) for c in _codes(bits, cache_bits)])
+        g, r, b, a, d = _codes(bits, cache_bits)
+        codes.append((g.table_mask(), r.channel(16), b.channel(0), a.channel(24), d.table_mask()))
     total, out = width * height, []
     cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
     (green, gm), (red, rm), (blue, bm), (alpha, am), (distance, dm) = codes[0]
@@ -286,13 +340,13 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
     held, have = 0, 0
     if bits.at & 7:
         held, have, at = data[at] >> (bits.at & 7), 8 - (bits.at & 7), at + 1
-    from_bytes, size = int.from_bytes, len(data)
+    from_bytes, append, size = int.from_bytes, out.append, len(data)
     n = 0
     while n < total:
         if have < 64:
-            held |= from_bytes(data[at : at + 8], "little") << have
-            at += 8
-            have += 64
+            held |= from_bytes(data[at : at + 16], "little") << have
+            at += 16
+            have += 128
             if at - (have >> 3) > size:
                 raise ValueError("the image data ends early")
         if groups is not None:
@@ -305,15 +359,14 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         s >>= 4
         if s < 256:
             r = red[held & rm]
-            k = r & 15
-            held >>= k
+            held >>= r & 63
             b = blue[held & bm]
-            j = b & 15
-            held >>= j
+            held >>= b & 63
             a = alpha[held & am]
-            held >>= a & 15
-            have -= k + j + (a & 15)
-            out.append(a >> 4 << 24 | r >> 4 << 16 | s << 8 | b >> 4)
+            held >>= a & 63
+            r += a + b
+            have -= r & 63
+            append(r >> 6 | s << 8)
             n += 1
         elif s < 256 + LENGTH_CODES:
             s -= 256
@@ -604,8 +657,8 @@ def _write_pixels(sink: BitSink, pixels, width: int, main: bool, cache_bits: int
             stored = {only: 1, (only + 1) % n: 1}
         value, length = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         if len(stored) > 1:
-            for k, (v, bits) in canonical(stored).items():
-                value[k], length[k] = v, bits
+            names, codes, bits = canonical(stored)
+            value[names], length[names] = codes, bits
         tables.append((value, length))
     where = [f[0] * 4 + f[1] for f in fields] + [x[0] * 4 + x[1] for x in extras]
     values = [tables[c][0][v] for _, _, c, v in fields] + [v.astype(np.uint64) for _, _, v, _ in extras]
