@@ -235,15 +235,6 @@ def palette_cache(spark, d):
     return blocks(spark, d).select("vec_id", F.size(F.array_union(F.slice("s", 1, 8), left)).cast(INT).alias("cached"))
 
 
-@query("obmc_blend", f"WITH {PX} SELECT a.vec_id, a.y * 8 + a.x AS i, CAST(CASE WHEN a.y < 4 THEN ((36 + 7 * a.y) * a.v + (64 - 36 - 7 * a.y) * b.v + 32) >> 6 ELSE a.v END AS BIGINT) AS v FROM px a JOIN px b ON b.vec_id = a.vec_id AND b.y = 7 - a.y AND b.x = a.x")
-def obmc_blend(spark, d):
-    """The upper half blended with a neighbour's prediction by a one-dimensional mask."""
-    each = blocks(spark, d).select("vec_id", "s", F.posexplode("s").alias("i", "v"))
-    y, x = F.floor(F.col("i") / 8).cast("int"), (F.col("i") % 8).cast("int")
-    m, other = y * 7 + 36, F.element_at("s", (F.lit(7) - y) * 8 + x + 1)
-    return each.select("vec_id", F.col("i").cast(INT).alias("i"), F.when(y < 4, round_shift(F.col("v") * m + other * (F.lit(64) - m), 6)).otherwise(F.col("v")).cast(INT).alias("v"))
-
-
 @query("difference_mask", f"WITH {PX} SELECT a.vec_id, a.y * 8 + a.x AS i, CAST(greatest(0, least(64, 38 + abs(a.v - b.v) // 16)) AS BIGINT) AS m FROM px a JOIN px b ON b.vec_id = a.vec_id AND b.y = a.x AND b.x = a.y")
 def difference_mask(spark, d):
     """Compound mask from the difference of two predictions."""

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataplane.functions import colour, integers, postfix
+from strataplane.functions import colour, integers, postfix, syntax
 from strataplane.operators import blocks as K
 from strataplane.operators import transforms as T
 
@@ -107,3 +107,23 @@ def test_separable_sizes(spark, width, height):
         want = basis(height) @ c @ basis(width).T * scale
         assert np.abs(np.array(got[i]).reshape(height, width) - want).max() <= 2
     assert got[9] is None
+
+
+@pytest.mark.parametrize(("code", "want"), [("1", 0), ("010", 1), ("011", 2), ("00100", 3), ("00111", 6), ("0001000", 7), ("00", None), ("0001", None)])
+def test_uvlc(spark, code, want):
+    assert one(spark, syntax.uvlc(F.lit(int(code.ljust(7 if want is not None else len(code), "0"), 2)).cast("bigint"), 7 if want is not None else len(code))) == want
+
+
+@pytest.mark.parametrize(("side", "finer", "want"), [(64, 0, [0]), (65, 1, [0, 1]), (4096, 0, [0]), (4097, 0, [0, 33]), (640, 2, [0, 3, 6, 9]), (16384, 0, [0, 64, 128, 192])])
+def test_tile_starts(spark, side, finer, want):
+    assert one(spark, syntax.tile_starts(F.lit(side).cast("bigint"), F.lit(finer))) == want
+
+
+@pytest.mark.parametrize(
+    ("row", "col", "y4", "x4", "want"),
+    [(-512, 0, 16, 96, True), (-512, 2560, 16, 96, False), (0, -2048, 0, 160, False), (0, -2560, 0, 160, True), (-509, 0, 16, 96, False), (-1024, 0, 16, 96, False), (512, 0, 16, 96, False)],
+)
+def test_copy_allowed(spark, row, col, y4, x4, want):
+    """Blocks of 8 x 8: above; past the wavefront; four and five superblocks to the left; broken samples; outside; below."""
+    got = syntax.copy_allowed(*[F.lit(v).cast("bigint") for v in (row, col, y4, x4, 8, 8)], (0, 0, 256, 256))
+    assert one(spark, got) is want
