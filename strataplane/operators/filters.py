@@ -62,6 +62,29 @@ def deblock_narrow(p1: Column, p0: Column, q0: Column, q1: Column, limit: int, e
     return tuple(F.when(mask, n).otherwise(o) for n, o in zip(new, (p1, p0, q0, q1), strict=True))
 
 
+def deblock_wide8(s: list[Column], limit: int, edge: int, hev_at: int, flat_at: int) -> list[Column]:
+    """The eight samples across an edge (p3 to q3) after filtering: averaged where flat, else by the narrow filter; unchanged past the limits.
+
+    The format's ``flat_at`` is 1 for 8-bit samples.
+    """
+    p3, p2, p1, p0, q0, q1, q2, q3 = s
+    steps = [(p3, p2), (p2, p1), (p1, p0), (q1, q0), (q2, q1), (q3, q2)]
+    mask = F.abs(p0 - q0) * 2 + div(F.abs(p1 - q1), lit64(2)) <= edge
+    for a, b in steps:
+        mask &= F.abs(a - b) <= limit
+    flat = F.lit(True)
+    for far, near in ((p1, p0), (p2, p0), (p3, p0), (q1, q0), (q2, q0), (q3, q0)):
+        flat &= F.abs(far - near) <= flat_at
+    narrow = [p2, *deblock_narrow(p1, p0, q0, q1, limit, edge, hev_at), q2]
+    out = []
+    for at in range(1, 7):
+        # a sample averages its window of seven, itself twice, with the ends repeated
+        window = [s[min(max(at + k, 0), 7)] for k in range(-3, 4)] + [s[at]]
+        smooth = round_shift(sum(window[1:], window[0]), 3)
+        out.append(F.when(mask & flat, smooth).when(mask, narrow[at - 1]).otherwise(s[at]))
+    return [p3, *out, q3]
+
+
 def direction_lines() -> list[list[list[tuple[int, int]]]]:
     """For each of eight directions, the lines of an 8x8 block as lists of (y, x)."""
     keys = (

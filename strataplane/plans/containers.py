@@ -205,6 +205,34 @@ def grid_payload(spark, d):
     return parts.select("k", bmff.grid(data).alias("v")).select("k", "v.*")
 
 
+@query(
+    "tone_map_payload",
+    f"{_P}, v AS (SELECT k, s, k % 2 = 0 AS multi, k % 11 <> 3 AND k % 13 <> 5 AND k % 7 <> 2 AND k % 5 <> 1 AND k % 17 <> 4 AND NOT (k % 2 = 0 AND k % 3 = 1 AND s > 20) AS valid FROM f), c AS (SELECT *, unnest([0, 1, 2]) AS c FROM v)"
+    " SELECT k, CAST(c AS INTEGER) AS channel, valid, multi, k % 4 >= 2 AS base_colours, CAST(s AS BIGINT) AS base_n, CAST(k % 7 + 3 AS BIGINT) AS alternate_d, CAST(CASE WHEN multi THEN c * (k % 3) - 30 ELSE -30 END AS BIGINT) AS low_n,"
+    " CAST(CASE WHEN multi AND c = 1 AND k % 3 = 1 AND s > 20 THEN -s - 100 ELSE s END AS BIGINT) AS high_n, CAST(CASE WHEN k % 5 = 1 THEN 0 ELSE 1 END AS BIGINT) AS gamma_n FROM c WHERE k % 11 <> 3",
+)
+def tone_map_payload(spark, d):
+    """Channels of tone maps of one or three; some have a wrong version, a byte too many or too few, a gamma or denominator of 0 or a high below its low."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("bigint").alias("s"))
+
+    def channel(c: int, multi: bool) -> Column:
+        low = u(_negative(f"{c} * (k % 3) - 30" if multi else "-30"), 4)
+        high = u(_negative("if(k % 3 = 1 and s > 20, -s - 100, s)" if multi and c == 1 else "s"), 4)
+        return F.concat(low, u(2, 4), high, u(2, 4), u("if(k % 5 = 1, 0, 1)", 4), u(1, 4), u(0, 4), u("if(k % 17 = 4, 0, 64)", 4), u(0, 4), u(64, 4))
+
+    head = F.concat(u("if(k % 13 = 5, 1, 0)", 1), u(0, 2), u(0, 2), u("if(k % 2 = 0, 128, 0) + if(k % 4 >= 2, 64, 0)", 1), u("s", 4), u(1, 4), u("k", 4), u("k % 7 + 3", 4))
+    body = F.when(F.expr("k % 2 = 0"), F.concat(*[channel(c, True) for c in range(3)])).otherwise(channel(0, False))
+    data = F.concat(head, body, F.when(F.expr("k % 7 = 2"), raw(b"x")).otherwise(raw(b"")))
+    cut = F.when(F.expr("k % 11 = 3"), raw(b"\0\0\0\0")).otherwise(data)
+
+    def rows(v: Column) -> Column:
+        head = [v["valid"].alias("valid"), v["multichannel"].alias("multi"), v["base_colours"].alias("base_colours"), v["base_headroom"]["n"].alias("base_n"), v["alternate_headroom"]["d"].alias("alternate_d")]
+        each = lambda c: F.struct(*head, *[c[name]["n"].alias(f"{name}_n") for name in ("low", "high", "gamma")])
+        return F.when(v["error"].isNull(), F.transform(v["channels"], each))
+
+    return parts.select("k", F.posexplode(let(bmff.tone_map(cut), rows)).alias("channel", "c")).select("k", "channel", "c.*")
+
+
 # ---- records: one stream a part, of a delimiter, a frame in a layer and a padding record
 
 

@@ -196,20 +196,30 @@ def deblock_level(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", out.alias("level"), F.when(size == 0, lit64(4)).when(size == 1, lit64(8)).otherwise(lit64(16)).alias("taps"))
 
 
-@query(
-    "deblock_wide8",
-    f"WITH {PX}, q AS (SELECT vec_id, y, " + ", ".join(f"max(CASE WHEN x = {i} THEN v END) AS s{i}" for i in range(8)) + " FROM px GROUP BY vec_id, y) SELECT vec_id, y, CAST((3 * s0 + 2 * s1 + s2 + s3 + s4 + 4) >> 3 AS BIGINT) AS p2, CAST((2 * s0 + s1 + 2 * s2 + s3 + s4 + s5 + 4) >> 3 AS BIGINT) AS p1, CAST((s0 + s1 + s2 + 2 * s3 + s4 + s5 + s6 + 4) >> 3 AS BIGINT) AS p0, CAST((s1 + s2 + s3 + 2 * s4 + s5 + s6 + s7 + 4) >> 3 AS BIGINT) AS q0, CAST((s2 + s3 + s4 + 2 * s5 + s6 + 2 * s7 + 4) >> 3 AS BIGINT) AS q1, CAST((s3 + s4 + s5 + 2 * s6 + 3 * s7 + 4) >> 3 AS BIGINT) AS q2 FROM q",
-)
+def _wide8_sql() -> str:
+    c4 = lambda e: f"greatest(-128, least(127, {e}))"
+    cols = ", ".join(f"max(CASE WHEN x = {i} THEN v END) AS s{i}" for i in range(8))
+    return f"""WITH {PX}, q AS (SELECT vec_id, y, {cols} FROM px GROUP BY vec_id, y),
+m AS (SELECT *, abs(s0 - s1) <= 40 AND abs(s1 - s2) <= 40 AND abs(s2 - s3) <= 40 AND abs(s5 - s4) <= 40 AND abs(s6 - s5) <= 40 AND abs(s7 - s6) <= 40 AND abs(s3 - s4) * 2 + abs(s2 - s5) // 2 <= 80 AS mask, greatest(abs(s2 - s3), abs(s5 - s4)) > 12 AS hev,
+greatest(abs(s2 - s3), abs(s1 - s3), abs(s0 - s3), abs(s5 - s4), abs(s6 - s4), abs(s7 - s4)) <= 30 AS flat FROM q),
+f AS (SELECT *, {c4(f"CASE WHEN hev THEN {c4('s2 - s5')} ELSE 0 END + 3 * (s4 - s3)")} AS f FROM m),
+g AS (SELECT *, {c4('f + 4')} >> 3 AS f1, {c4('f + 3')} >> 3 AS f2 FROM f), n AS (SELECT *, CASE WHEN hev THEN 0 ELSE (f1 + 1) >> 1 END AS u FROM g)
+SELECT vec_id, y,
+CAST(CASE WHEN mask AND flat THEN (3 * s0 + 2 * s1 + s2 + s3 + s4 + 4) >> 3 ELSE s1 END AS BIGINT) AS p2,
+CAST(CASE WHEN mask AND flat THEN (2 * s0 + s1 + 2 * s2 + s3 + s4 + s5 + 4) >> 3 WHEN mask THEN {c4('s2 - 128 + u')} + 128 ELSE s2 END AS BIGINT) AS p1,
+CAST(CASE WHEN mask AND flat THEN (s0 + s1 + s2 + 2 * s3 + s4 + s5 + s6 + 4) >> 3 WHEN mask THEN {c4('s3 - 128 + f2')} + 128 ELSE s3 END AS BIGINT) AS p0,
+CAST(CASE WHEN mask AND flat THEN (s1 + s2 + s3 + 2 * s4 + s5 + s6 + s7 + 4) >> 3 WHEN mask THEN {c4('s4 - 128 - f1')} + 128 ELSE s4 END AS BIGINT) AS q0,
+CAST(CASE WHEN mask AND flat THEN (s2 + s3 + s4 + 2 * s5 + s6 + 2 * s7 + 4) >> 3 WHEN mask THEN {c4('s5 - 128 - u')} + 128 ELSE s5 END AS BIGINT) AS q1,
+CAST(CASE WHEN mask AND flat THEN (s3 + s4 + s5 + 2 * s6 + 3 * s7 + 4) >> 3 ELSE s6 END AS BIGINT) AS q2 FROM n"""
+
+
+@query("deblock_wide8", _wide8_sql())
 def deblock_wide8(spark, d):
-    """The eight-sample filter of a flat edge: rounded averages over seven weights."""
+    """Rows of blocks as eight samples across an edge, with limits that suit samples of any value."""
     each = blocks(spark, d).select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.struct(y.alias("y"), F.slice("s", y * 8 + 1, 8).alias("e")))).alias("r"))
-    s = [F.element_at("r.e", k + 1) for k in range(8)]
-    # a sample averages its window of seven, itself twice, with the ends repeated
-    out = []
-    for at in range(1, 7):
-        window = [s[min(max(at + k, 0), 7)] for k in range(-3, 4)] + [s[at]]
-        out.append(round_shift(sum(window[1:], window[0]), 3))
-    return each.select("vec_id", F.col("r.y").cast(INT).alias("y"), *[v.alias(n) for n, v in zip(("p2", "p1", "p0", "q0", "q1", "q2"), out, strict=True)])
+    s = each.select("vec_id", F.col("r.y").cast(INT).alias("y"), *[F.element_at("r.e", k + 1).alias(f"s{k}") for k in range(8)])
+    out = filters.deblock_wide8([F.col(f"s{k}") for k in range(8)], 40, 80, 12, 30)
+    return s.select("vec_id", "y", *[v.cast(INT).alias(n) for n, v in zip(("p2", "p1", "p0", "q0", "q1", "q2"), out[1:7], strict=True)])
 
 
 @query("restoration_dispatch", f"WITH {PX}, r AS (SELECT vec_id, y, x, v, sum(v) OVER w AS s FROM px WINDOW w AS (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)), b AS (SELECT vec_id, y, x, v, sum(s) OVER w AS s FROM r WINDOW w AS (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) SELECT vec_id, y, x, CAST(CASE vec_id % 3 WHEN 0 THEN v WHEN 1 THEN (s * 455 + 2048) >> 12 ELSE (v + ((s * 455 + 2048) >> 12) + 1) >> 1 END AS BIGINT) AS v FROM b")

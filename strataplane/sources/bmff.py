@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataplane.functions.integers import unsigned
+from strataplane.functions.integers import let, unsigned
 
 # Boxes that hold boxes, with the bytes before their children.
 PARENTS = {"meta": 4, "iprp": 0, "ipco": 0, "moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "iref": 4, "tref": 0, "grpl": 0}
@@ -234,6 +234,51 @@ def grid(payload: Column) -> Column:
     return F.struct(((unsigned(payload, 0, 1) == 0) & (F.octet_length(payload) == length)).alias("valid"), (unsigned(payload, 2, 1) + 1).alias("rows"), (unsigned(payload, 3, 1) + 1).alias("columns"), size(0).alias("width"), size(1).alias("height"))
 
 
+#: Fractions of a tone map's channel, in order, and whether each has a sign.
+MAP_FRACTIONS = (("low", True), ("high", True), ("gamma", False), ("base_offset", True), ("alternate_offset", True))
+
+
+def tone_map(payload: Column) -> Column:
+    """A tone map item's payload: versions, headrooms and three channels, each fraction as numerator and denominator.
+
+    One stored channel stands for all three.  ``error`` is set where a
+    file is unreadable (too short for its versions); ``valid`` is false for
+    those, for other versions and least versions than 0, for a denominator or
+    gamma of 0, a high below its low, and for bytes behind that version 0 doesn't know.
+    """
+    return let(payload, _tone_map)
+
+
+def _tone_map(payload: Column) -> Column:
+    size = F.octet_length(payload)
+    least, writer, flags = unsigned(payload, 1, 2), unsigned(payload, 3, 2), unsigned(payload, 5, 1)
+    each = flags.bitwiseAND(128) != 0
+
+    def fraction(at, signed: bool) -> Column:
+        n = unsigned(payload, at, 4)
+        n = F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n) if signed else n
+        return F.struct(n.alias("n"), unsigned(payload, at + 4, 4).alias("d"))
+
+    def channel(c: int) -> Column:
+        at = F.when(each, 22 + 40 * c).otherwise(22)
+        return F.struct(*[fraction(at + 8 * i, signed).alias(name) for i, (name, signed) in enumerate(MAP_FRACTIONS)])
+
+    needed = F.when(each, 142).otherwise(62)
+    error = F.when((size < 1) | ((unsigned(payload, 0, 1) == 0) & (size < 5)), F.lit("too short"))
+    known = (size >= 6) & (unsigned(payload, 0, 1) == 0) & (least == 0) & F.when(writer == 0, size == needed).otherwise(size >= needed)
+    base, alternate = fraction(6, False), fraction(14, False)
+
+    def sound(c: Column) -> Column:
+        whole = c["gamma"]["n"] != 0
+        for name, _ in MAP_FRACTIONS:
+            whole &= c[name]["d"] != 0
+        return whole & (c["high"]["n"] * c["low"]["d"] >= c["low"]["n"] * c["high"]["d"])
+
+    channels = F.array(*[channel(c) for c in range(3)])
+    valid = known & (base["d"] != 0) & (alternate["d"] != 0) & F.forall(channels, sound)
+    return F.struct(F.coalesce(valid, F.lit(False)).alias("valid"), error.alias("error"), least.alias("least_version"), writer.alias("writer_version"), each.alias("multichannel"), (flags.bitwiseAND(64) != 0).alias("base_colours"), base.alias("base_headroom"), alternate.alias("alternate_headroom"), channels.alias("channels"))
+
+
 # ---- tables of items, extents, links and runs
 
 
