@@ -60,11 +60,31 @@ def sample_offsets(samples: DataFrame, keys: list[str], order: list[str], base:
     return samples.withColumn("offset", F.col(base) + F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
-def timeline(samples: DataFrame, key: str, order: list[str], duration: str, timescale: int) -> DataFrame:
+#: Values of the order that one task sums at most for a key, as a power of two.
+SPAN_BITS = 16
+
+
+def sum_before(rows: DataFrame, key: str, order: str, value: str, name: str, span_bits: int = SPAN_BITS) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows of the key that come earlier by ``order``, integers that are unique within it; 0 for the first.
+
+    A key is dealt to spans of ``order``, so one that holds most rows takes
+    many tasks.  Each span begins with a row that carries the sum of the spans
+    before it, which is taken over one row a span.  Null keys are one key; the
+    names ``_span`` and ``_carried`` are taken.
+    """
+    dealt = rows.withColumn("_span", F.shiftright(F.col(order).cast("bigint"), span_bits))
+    w = W.partitionBy(key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    carried = dealt.groupBy(key, "_span").agg(F.sum(value).alias("s")).select(key, "_span", F.coalesce(F.sum("s").over(w), F.lit(0)).cast("bigint").alias("_carried"))
+    each = dealt.withColumn("_carried", F.lit(None).cast("bigint")).unionByName(carried, allowMissingColumns=True)
+    within = W.partitionBy(key, "_span").orderBy(F.col("_carried").desc_nulls_last(), order).rowsBetween(W.unboundedPreceding, -1)
+    total = F.sum(F.coalesce("_carried", value, F.lit(0))).over(within).cast("bigint")
+    return each.withColumn(name, total).where("_carried is null").drop("_span", "_carried")
+
+
+def timeline(samples: DataFrame, key: str, order: str, duration: str, timescale: int) -> DataFrame:
     """Adds start_ticks and start_ms, the running sum of durations before each sample."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    ticks = F.coalesce(F.sum(duration).over(w), F.lit(0)).cast("bigint")
-    return samples.withColumn("start_ticks", ticks).withColumn("start_ms", F.call_function("div", ticks * 1000, F.lit(timescale).cast("bigint")))
+    ticks = sum_before(samples, key, order, duration, "start_ticks")
+    return ticks.withColumn("start_ms", F.call_function("div", F.col("start_ticks") * 1000, F.lit(timescale).cast("bigint")))
 
 
 def repetitions(track: Column, segment: Column, repeats: Column) -> Column:

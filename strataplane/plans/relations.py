@@ -84,7 +84,7 @@ def stts_expand(spark, d):
 @query("timeline", "SELECT event_id, user_id, CAST(coalesce(sum(t) OVER w, 0) AS BIGINT) AS start_ticks, CAST(coalesce(sum(t) OVER w, 0) * 1000 // 600 AS BIGINT) AS start_ms FROM (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def timeline(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", F.floor("value").cast("bigint").alias("t"))
-    return container.timeline(rows, "user_id", ["event_id"], "t", 600).drop("t")
+    return container.timeline(rows, "user_id", "event_id", "t", 600).drop("t")
 
 
 @query("duration_total", "SELECT user_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS ticks, count(*) AS n, count(*) <= 1000000 AS within FROM events GROUP BY user_id")
@@ -240,8 +240,9 @@ for _name, (_table, _cols, _cond) in VALIDATIONS.items():
 
 @query("validate_metadata_budget", "SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents QUALIFY used > 20000")
 def validate_metadata_budget(spark, d):
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("doc_id", "source", F.sum("n_chars").over(w).alias("used")).where("used > 20000")
+    """Entries whose source has used up its budget with them, in order of doc_id."""
+    rows = container.sum_before(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", "before")
+    return rows.select("doc_id", "source", (F.col("before") + F.coalesce("n_chars", F.lit(0))).cast("bigint").alias("used")).where("used > 20000")
 
 
 @query("validate_transform_agreement", "SELECT a.l_orderkey, a.l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = 1 WHERE a.l_linenumber > 1 AND a.l_linestatus = 'O' AND a.l_returnflag IS DISTINCT FROM b.l_returnflag")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strataplane.functions import colour, integers, postfix, syntax
 from strataplane.operators import blocks as K
+from strataplane.operators import container
 from strataplane.operators import transforms as T
 
 
@@ -127,3 +128,13 @@ def test_copy_allowed(spark, row, col, y4, x4, want):
     """Blocks of 8 x 8: above; past the wavefront; four and five superblocks to the left; broken samples; outside; below."""
     got = syntax.copy_allowed(*[F.lit(v).cast("bigint") for v in (row, col, y4, x4, 8, 8)], (0, 0, 256, 256))
     assert one(spark, got) is want
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 16])
+def test_sum_before(spark, bits):
+    """Spans of 1, 2, 8 and all values, with gaps, null keys and values, and an empty table."""
+    rows = [(None if i % 7 == 3 else "ab"[i % 3 == 0], i * 3 - 20, None if i % 11 == 5 else i - 9, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, o long, v long, other string")
+    got = {r["o"]: r["t"] for r in container.sum_before(df, "k", "o", "v", "t", bits).collect()}
+    assert got == {o: sum(v or 0 for k2, o2, v, _ in rows if k2 == k and o2 < o) for k, o, _, _ in rows}
+    assert container.sum_before(df.limit(0), "k", "o", "v", "t", bits).collect() == []
