@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataplane.llm import bpe, html, licenses, lines, media, minhash, packing, pii, quality, urls
-from strataplane.llm.common import table
+from strataplane.llm import bpe, html, licenses, lines, media, minhash, mixture, packing, periodic, pii, quality, urls, whitening
+from strataplane.llm.common import table, words
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; each window holds the sources in their share of all tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return mixture.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every usable row of ``embeddings``."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): words joined by one space; in a tenth of the documents, by doc_id, a tail repeats a stretch of the text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
+    own = own.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("n", F.size("w").cast("long")).withColumn("g", F.expr("h div 10"))
+    a = F.expr("g % greatest(n, 1)")
+    own = own.withColumn("a", a).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("transform(sequence(0, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))])")
+    return own.select("doc_id", F.array_join(F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), tail).otherwise(F.col("w")), " ").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, their longest one, and digests of the runs and of the text without repeats."""
+    got = periodic.find(with_repeats(table(spark, sf_dir, "documents")))
+    top = periodic.longest(F.col("runs"))
+    return got.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
@@ -95,5 +132,8 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
+    "op11_mixture_packing": op11_mixture_packing,
+    "op12_whitening": op12_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE = {"op4_line_dedup": OP4_SQL}
