@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataplane.plans import containers, kernels, more, pixels, relations, syntax  # noqa: F401
+from strataplane.plans import containers, headers, kernels, more, pixels, relations, syntax  # noqa: F401
 from strataplane.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "yuv420_to_rgb_bt601"
