@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataplane.plans import containers, headers, kernels, more, pixels, programs, relations, syntax, tiles  # noqa: F401
+from strataplane.plans import auxiliary, containers, headers, kernels, more, pixels, programs, relations, syntax, tiles  # noqa: F401
 from strataplane.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "yuv420_to_rgb_bt601"
