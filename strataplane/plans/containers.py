@@ -85,7 +85,7 @@ def files(spark, d):
 def _boxes(spark, d, *types):
     """(k, type, data, ...) of boxes of the given types."""
     f = files(spark, d)
-    return bmff.with_payload(f, bmff.scan(f), *types).withColumn("k", F.col("path").cast("bigint"))
+    return bmff.with_payload(f, bmff.scan(f, types), *types).withColumn("k", F.col("path").cast("bigint"))
 
 
 _P = "WITH f AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s FROM part)"

@@ -18,6 +18,8 @@ from strataplane.functions.integers import let, unsigned
 # Boxes that hold boxes, with the bytes before their children.
 PARENTS = {"meta": 4, "iprp": 0, "ipco": 0, "moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "iref": 4, "tref": 0, "grpl": 0}
 INPUT_LIMIT = 256 << 20
+#: Entries of a sample table, at most.
+SAMPLE_LIMIT = 1_000_000
 #: Payloads up to this size come with the box; larger ones, and media data, are read where they are needed.
 SMALL, MEDIA = 1 << 16, {"mdat", "idat"}
 SCHEMA = "path string, box_id int, parent int, depth int, type string, offset long, payload_offset long, payload_size long, size_zero boolean, error string, data binary"
@@ -59,8 +61,11 @@ def boxes(content: bytes) -> Iterator[tuple]:
         n += 1
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """SCHEMA rows, one a box; a truncated or oversized box is a row with ``error`` and ends its level, as is a file over the input limit."""
+def scan(files: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """SCHEMA rows, one a box; a truncated or oversized box is a row with ``error`` and ends its level, as is a file over the input limit.
+
+    With ``types``, only boxes of these types and rows with an error leave the reader.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +76,8 @@ def scan(files: DataFrame) -> DataFrame:
                     continue
                 for b in boxes(content):
                     kind, first, size = b[3], b[5], b[6]
+                    if types is not None and kind not in types and b[8] is None:
+                        continue
                     small = b[8] is None and kind not in PARENTS and kind not in MEDIA and size <= SMALL
                     rows.append((path, *b, content[first : first + size] if small else None))
             columns = list(zip(*rows, strict=True)) or [()] * 11
@@ -282,10 +289,15 @@ def _tone_map(payload: Column) -> Column:
 # ---- tables of items, extents, links and runs
 
 
-def _many(data: Column, start, count: Column, step: int, f) -> Column:
-    """f(offset) for ``count`` records of ``step`` bytes from ``start``."""
-    at = F.lit(start) if isinstance(start, int) else start
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("int"), (count - 1).cast("int")), lambda i: f(at + i * step)))
+def held(data: Column, start: int, count: Column, step: int) -> Column:
+    """Whether ``count`` records of ``step`` bytes from ``start`` are there and no more than SAMPLE_LIMIT; null counts are not."""
+    return F.coalesce((count <= SAMPLE_LIMIT) & (count * step <= F.octet_length(data) - start), F.lit(False))
+
+
+def _many(data: Column, start: int, count: Column, step: int, f) -> Column:
+    """f(offset) for ``count`` records of ``step`` bytes from ``start``; null where there are none or the box does not hold them."""
+    n = F.when(held(data, start, count, step) & (count > 0), count)
+    return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: f(i * step + start))
 
 
 def items(boxed: DataFrame) -> DataFrame:
@@ -293,79 +305,103 @@ def items(boxed: DataFrame) -> DataFrame:
     d = F.col("data")
     v3 = unsigned(d, 0, 1) == 3
     at = F.when(v3, 8).otherwise(6)
-    return boxed.select("path", F.when(v3, unsigned(d, 4, 4)).otherwise(unsigned(d, 4, 2)).alias("item_id"), fourcc(d, at + 2).alias("type"), F.split_part(F.decode(F.substring(d, at + 7, F.lit(1 << 20)), "UTF-8"), F.lit("\x00"), F.lit(1)).alias("name"))
+    return boxed.where("data is not null").select("path", F.when(v3, unsigned(d, 4, 4)).otherwise(unsigned(d, 4, 2)).alias("item_id"), fourcc(d, at + 2).alias("type"), F.split_part(F.decode(F.substring(d, at + 7, F.octet_length(d)), "UTF-8"), F.lit("\x00"), F.lit(1)).alias("name"))
 
 
-def infe_boxes(iinf: DataFrame) -> DataFrame:
-    """(path, data) of the entries in iinf boxes (path, data): a running offset over a counted list."""
-    d = F.col("data")
-    wide = unsigned(d, 0, 1) != 0
-    start = F.when(wide, 8).otherwise(6)
-    n = F.when(wide, unsigned(d, 4, 4)).otherwise(unsigned(d, 4, 2)).cast("int")
-    empty = F.array().cast("array<struct<at:int,size:int>>")
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        F.struct(start.alias("at"), empty.alias("out")),
-        lambda a, _: F.struct(
-            (a["at"] + F.greatest(F.coalesce(unsigned(d, a["at"], 4), F.lit(8)), F.lit(8)).cast("int")).alias("at"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), F.coalesce(unsigned(d, a["at"], 4), F.lit(0)).cast("int").alias("size")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    each = iinf.where(n > 0).select("path", d, F.explode(walked).alias("e")).where("e.size >= 8")
-    return each.select("path", F.substring(d, F.col("e.at") + 9, F.col("e.size") - 8).alias("data"))
+class _Cursor:
+    """A position in a box's bytes; ValueError past their end."""
 
+    def __init__(self, data: bytes | None, at: int = 0):
+        self.data, self.at = data or b"", at
 
-def associations(boxed: DataFrame) -> DataFrame:
-    """(path, item, pos, prop_index, essential) from ipma boxes (path, data); one walk a box over its items."""
+    def take(self, n: int) -> int:
+        return int.from_bytes(self.bytes(n), "big")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wide_id, wide_index, at = d[0] >= 1, bool(d[3] & 1), 8
-                for _ in range(int.from_bytes(d[4:8], "big")):
-                    size = 4 if wide_id else 2
-                    item, n, at = int.from_bytes(d[at : at + size], "big"), d[at + size] if at + size < len(d) else 0, at + size + 1
-                    for pos in range(n):
-                        step = 2 if wide_index else 1
-                        v, at = int.from_bytes(d[at : at + step], "big"), at + step
-                        top = 1 << 8 * step - 1
-                        out.append((path, item, pos, v & top - 1, bool(v & top)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["path", "item", "pos", "prop_index", "essential"])
-
-    return boxed.select("path", "data").mapInArrow(run, "path string, item long, pos int, prop_index long, essential boolean")
+    def bytes(self, n: int) -> bytes:
+        self.at += n
+        if self.at > len(self.data):
+            raise ValueError("a box ends early")
+        return self.data[self.at - n : self.at]
 
 
-def extents(boxed: DataFrame) -> DataFrame:
-    """(path, item, method, pos, offset, length) from iloc boxes (path, data), offsets with their base."""
+def _walked(boxed: DataFrame, columns: str, walk) -> DataFrame:
+    """(path, columns.., error): rows of ``walk(cursor)`` for each box (path, data); what follows a problem is one row with its text and no values."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+    fields = [pa.string(), *[kinds[c.split()[1]] for c in columns.split(", ")], pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for path, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                version, (offset_size, length_size), (base_size, index_size), at = d[0], divmod(d[4], 16), divmod(d[5], 16), 6
-
-                def take(n, d=d):
-                    nonlocal at
-                    at += n
-                    return int.from_bytes(d[at - n : at], "big")
-
-                for _ in range(take(4 if version == 2 else 2)):
-                    item = take(4 if version == 2 else 2)
-                    method = take(2) & 15 if version in (1, 2) else 0
-                    take(2)
-                    base = take(base_size)
-                    for pos in range(take(2)):
-                        if version in (1, 2):
-                            take(index_size)
-                        first = take(offset_size)
-                        out.append((path, item, method, pos, base + first, take(length_size)))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["path", "item", "method", "pos", "offset", "length"])
-
-    return boxed.select("path", "data").mapInArrow(run, "path string, item long, method int, pos int, offset long, length long")
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    for row in walk(_Cursor(data)):
+                        out.append((path, *row, None))
+                except ValueError as e:
+                    out.append((path, *[None] * len(names), str(e)))
+            cols = list(zip(*out, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, fields, strict=True)], names=["path", *names, "error"])
+
+    return boxed.select("path", "data").mapInArrow(run, f"path string, {columns}, error string")
+
+
+def _entries(c: _Cursor) -> Iterator[tuple]:
+    version = c.take(1)
+    c.take(3)
+    for _ in range(c.take(4 if version else 2)):
+        size = c.take(4)
+        if size < 8:
+            raise ValueError("an entry is shorter than its header")
+        c.take(4)
+        yield (c.bytes(size - 8),)
+
+
+def infe_boxes(iinf: DataFrame) -> DataFrame:
+    """(path, data, error) of the entries in iinf boxes (path, data)."""
+    return _walked(iinf, "data binary", _entries)
+
+
+def _associations(c: _Cursor) -> Iterator[tuple]:
+    version, flags = c.take(1), c.take(3)
+    step = 2 if flags & 1 else 1
+    top = 1 << 8 * step - 1
+    for _ in range(c.take(4)):
+        item = c.take(4 if version else 2)
+        for pos in range(c.take(1)):
+            v = c.take(step)
+            yield item, pos, v & top - 1, bool(v & top)
+
+
+def associations(boxed: DataFrame) -> DataFrame:
+    """(path, item, pos, prop_index, essential, error) from ipma boxes (path, data)."""
+    return _walked(boxed, "item long, pos int, prop_index long, essential boolean", _associations)
+
+
+def _locations(c: _Cursor) -> Iterator[tuple]:
+    version = c.take(1)
+    c.take(3)
+    if version > 2:
+        raise ValueError("another version")
+    (offset_size, length_size), (base_size, index_size) = divmod(c.take(1), 16), divmod(c.take(1), 16)
+    wide = 4 if version == 2 else 2
+    for _ in range(c.take(wide)):
+        item = c.take(wide)
+        method = c.take(2) & 15 if version else 0
+        c.take(2)
+        base = c.take(base_size)
+        for pos in range(c.take(2)):
+            if version:
+                c.take(index_size)
+            offset = base + c.take(offset_size)
+            length = c.take(length_size)
+            if max(offset, length) >= 1 << 63:
+                raise ValueError("an extent leaves the file")
+            yield item, method, pos, offset, length
+
+
+def extents(boxed: DataFrame) -> DataFrame:
+    """(path, item, method, pos, offset, length, error) from iloc boxes (path, data), offsets with their base."""
+    return _walked(boxed, "item long, method int, pos int, offset long, length long", _locations)
 
 
 def references(boxed: DataFrame) -> DataFrame:
@@ -379,24 +415,102 @@ def references(boxed: DataFrame) -> DataFrame:
     return boxed.select("path", F.col("type").alias("ref_type"), F.when(narrow, unsigned(d, 0, 2)).otherwise(unsigned(d, 0, 4)).alias("from_id"), F.posexplode(ids).alias("pos", "to_id"))
 
 
+def track_references(scanned: DataFrame, boxed: DataFrame) -> DataFrame:
+    """(path, track_box, ref_type, pos, track, error) from the boxes in tref, which hold 32-bit track numbers.
+
+    ``scanned``: the file's boxes, tref among them; ``boxed``: (path, parent, type, data) of the reference boxes.  track_box is the box_id of the
+    trak.  A box without numbers, with a part of one, or with the number 0 gives a row with an error.
+    """
+    owners = scanned.where("type = 'tref'").select("path", F.col("box_id").alias("parent"), F.col("parent").alias("track_box"))
+    d = F.col("data")
+    n = F.call_function("div", F.octet_length(d).cast("long"), F.lit(4).cast("long"))
+    ids = _many(d, 0, n, 4, lambda at: unsigned(d, at, 4))
+    whole = (F.octet_length(d) % 4 == 0) & (n > 0)
+    each = F.when(whole, ids).otherwise(F.array(F.lit(None).cast("long")))
+    out = boxed.join(owners, ["path", "parent"]).select("path", "track_box", F.col("type").alias("ref_type"), whole.alias("whole"), F.posexplode(each).alias("pos", "track"))
+    return out.select("path", "track_box", "ref_type", F.when(F.col("whole"), F.col("pos")).alias("pos"), "track", F.when(~F.col("whole"), "not a list of track numbers").when(F.col("track") == 0, "a track number is 0").alias("error"))
+
+
+def track_links(scanned: DataFrame, boxed: DataFrame, headers: DataFrame) -> DataFrame:
+    """(path, from_track, ref_type, pos, to_track): ``track_references`` without errors, with the number of the track that holds them.
+
+    ``headers``: (path, parent, track_id) of the tkhd boxes.
+    """
+    own = headers.select("path", F.col("parent").alias("track_box"), F.col("track_id").alias("from_track"))
+    return track_references(scanned, boxed).where("error is null").join(own, ["path", "track_box"]).select("path", "from_track", "ref_type", "pos", F.col("track").alias("to_track"))
+
+
+def _descriptions(c: _Cursor) -> Iterator[tuple]:
+    c.take(4)
+    for i in range(c.take(4)):
+        size, kind = c.take(4), c.bytes(4).decode("latin-1")
+        entry = _Cursor(c.bytes(size - 8) if size >= 8 else b"")
+        if kind != "av01":
+            yield i, kind, None, None, None, None, None
+            continue
+        entry.bytes(24)
+        width, height = entry.take(2), entry.take(2)
+        entry.bytes(50)
+        found: dict[str, bytes] = {}
+        while entry.at < len(entry.data):
+            size, name = entry.take(4), entry.bytes(4).decode("latin-1")
+            if size < 8:
+                raise ValueError("a box is shorter than its header")
+            payload = entry.bytes(size - 8)
+            if name in ("av1C", "auxi") and name in found:
+                raise ValueError(f"more than one {name}")
+            found[name] = payload
+        kind_of = found.get("auxi")
+        if kind_of is not None and (kind_of[:4] != bytes(4) or b"\0" not in kind_of[4:]):
+            raise ValueError("an auxiliary type of another version")
+        yield i, kind, width, height, found.get("av1C"), found.get("colr"), kind_of[4:].split(b"\0")[0].decode("utf-8", "replace") if kind_of else None
+
+
+def sample_entries(boxed: DataFrame) -> DataFrame:
+    """(path, entry, format, width, height, config, colour, auxiliary_type, error) of the sample descriptions in stsd boxes (path, data).
+
+    config and colour are the payloads of av1C and colr, for ``av1c`` and ``colr``.
+    """
+    return _walked(boxed, "entry int, format string, width int, height int, config binary, colour binary, auxiliary_type string", _descriptions)
+
+
 def payloads(files: DataFrame, parts: DataFrame, idat: DataFrame | None = None) -> DataFrame:
-    """(path, item, payload): extents (path, item, method, pos, offset, length) read and joined in order.
+    """(path, item, payload, error): extents (path, item, method, pos, offset, length) read and joined in order.
 
     Extents of method 0 (or without a method) count from the file's start,
     those of method 1 from the payload of the file's idat box, given by
-    ``idat`` (path, payload_offset).  A length of 0 reaches to the end.
+    ``idat`` (path, payload_offset).  A length of 0 reaches to the end.  Each file's content is read once for all its items; an item with an
+    extent that leaves the file, or of another method, has an error and no payload.
     """
     if "method" not in parts.columns:
         parts = parts.withColumn("method", F.lit(0))
-    base = F.lit(0).cast("long")
-    if idat is not None:
-        parts = parts.join(idat.select("path", F.col("payload_offset").alias("idat_at")), "path", "left")
-        base = F.when(F.col("method") == 1, F.col("idat_at")).otherwise(base)
-    placed = parts.withColumn("at", F.when(F.col("method") == 0, F.lit(0).cast("long")).otherwise(base if idat is not None else F.lit(None)) + F.col("offset"))
-    length = F.when(F.col("length") == 0, F.lit((1 << 31) - 1)).otherwise(F.col("length")).cast("int")
-    read = placed.join(files.select("path", "content"), "path").select("path", "item", "pos", F.substring("content", (F.col("at") + 1).cast("int"), length).alias("part"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])
-    return read.groupBy("path", "item").agg(F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x)).alias("payload"))
+    lists = parts.where("item is not null").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("item", "pos", "method", "offset", "length"))).alias("parts"))
+    if idat is None:
+        lists = lists.withColumn("idat_at", F.lit(None).cast("long"))
+    else:
+        lists = lists.join(idat.groupBy("path").agg(F.min("payload_offset").cast("long").alias("idat_at")), "path", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, numbers, found, errors = [], [], [], []
+            for i, (path, own, idat_at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                content = memoryview(batch.column(3)[i].as_buffer() or b"")
+                pieces: dict[int, list] = {}
+                for part in own:
+                    base = {0: 0, 1: idat_at}.get(part["method"])
+                    at = None if base is None else base + part["offset"]
+                    end = None if at is None else at + part["length"] if part["length"] else len(content)
+                    inside = at is not None and at <= end <= len(content)
+                    pieces.setdefault(part["item"], []).append(content[at:end] if inside else None)
+                for item, got in pieces.items():
+                    whole = all(p is not None for p in got)
+                    paths.append(path)
+                    numbers.append(item)
+                    found.append(b"".join(got) if whole else None)
+                    errors.append(None if whole else "an extent leaves the file")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(found, pa.binary()), pa.array(errors, pa.string())], names=["path", "item", "payload", "error"])
+
+    return lists.join(files.select("path", "content"), "path").select("path", "parts", "idat_at", "content").mapInArrow(run, "path string, item long, payload binary, error string")
 
 
 def runs(data: Column, names: tuple[str, ...]) -> Column:
@@ -411,6 +525,15 @@ def chunk_offsets(data: Column, kind: Column) -> Column:
 
 
 def sample_sizes(data: Column) -> Column:
-    """Sizes of stsz: uniform, or one a sample."""
+    """Sizes of stsz: uniform, or one a sample; null beyond SAMPLE_LIMIT or where the box does not hold them."""
     uniform, n = unsigned(data, 4, 4), unsigned(data, 8, 4)
-    return F.when(uniform > 0, F.array_repeat(uniform, n.cast("int"))).otherwise(_many(data, 12, n, 4, lambda at: unsigned(data, at, 4)))
+    return F.when(uniform > 0, F.array_repeat(uniform, F.when(n <= SAMPLE_LIMIT, n).cast("int"))).otherwise(_many(data, 12, n, 4, lambda at: unsigned(data, at, 4)))
+
+
+def table_error(data: Column, kind: Column) -> Column:
+    """What is wrong with the count of a sample table (stsz, stts, stsc, stss, stco, co64); null if nothing."""
+    n = F.when(kind == "stsz", unsigned(data, 8, 4)).otherwise(unsigned(data, 4, 4))
+    step = F.when(kind == "stsc", 12).when(kind.isin("stts", "co64"), 8).otherwise(4)
+    bare = (kind == "stsz") & (unsigned(data, 4, 4) > 0)  # one size for all samples
+    start = F.when(kind == "stsz", 12).otherwise(8)
+    return F.when(n.isNull(), "a table ends early").when(n > SAMPLE_LIMIT, "over the limit of samples").when(~bare & (n * step > F.octet_length(data) - start), "a table ends early")

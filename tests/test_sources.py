@@ -117,3 +117,31 @@ def test_slots_stream_equals_batch(spark, tmp_path):
     key = lambda r: (r.stream_id, r.frame, r.shown, tuple(r.slots))
     want = slots.decode_batch(spark.createDataFrame(rows, schema))
     assert sorted(map(key, spark.table("slot_rows").collect())) == sorted(map(key, want.collect()))
+
+
+def test_cut_and_forged_boxes(spark):
+    """Counts and lengths that a box does not hold: rows with an error, nothing that grows with a stated number."""
+    big = (1 << 31) - 1
+    size = lambda d: spark.createDataFrame([(d,)], "data binary").select(bmff.sample_sizes(F.col("data")).alias("n"), bmff.table_error(F.col("data"), F.lit("stsz")).alias("e")).first()
+    assert size(bytes(4) + (7).to_bytes(4, "big") + big.to_bytes(4, "big")).e == "over the limit of samples" and size(bytes(8) + big.to_bytes(4, "big")).n is None
+    assert size(bytes(4) + (7).to_bytes(4, "big") + (3).to_bytes(4, "big")).n == [7, 7, 7] and size(b"\0").e == "a table ends early"
+    rows = [("a", bytes(4) + (0xFFFFFFFF).to_bytes(4, "big") + b"\0\1\1\x81"), ("b", None), ("c", b"\0\0\0\0\0\0\0\0")]
+    got = bmff.associations(spark.createDataFrame(rows, "path string, data binary")).orderBy("path", "error").collect()
+    assert [(r.path, r.item, r.error) for r in got] == [("a", 1, None), ("a", None, "a box ends early"), ("b", None, "a box ends early")]
+    extents = bmff.extents(spark.createDataFrame([("a", b"\1\0\0\0\x44\x40\0\1"), ("b", b"\3\0\0\0\x44\x40\0\1")], "path string, data binary")).orderBy("path").collect()
+    assert [r.error for r in extents] == ["a box ends early", "another version"]
+    parts = spark.createDataFrame([("a", 1, 0, 0, 2, 3), ("a", 1, 0, 1, 0, 1), ("a", 2, 0, 0, 5, 9), ("a", 3, 1, 0, 0, 1), ("a", 4, 0, 0, 6, 0), ("b", 1, 0, 0, 0, 1)], "path string, item long, method int, pos int, offset long, length long")
+    files = spark.createDataFrame([("a", b"01234567"), ("b", None)], "path string, content binary")
+    got = {(r.path, r.item): (None if r.payload is None else bytes(r.payload), r.error) for r in bmff.payloads(files, parts).collect()}
+    assert got == {("a", 1): (b"2340", None), ("a", 2): (None, "an extent leaves the file"), ("a", 3): (None, "an extent leaves the file"), ("a", 4): (b"67", None), ("b", 1): (None, "an extent leaves the file")}
+
+
+def test_many_entries_are_linear(spark):
+    """20,000 entries and as many extents of one file."""
+    entry = (21).to_bytes(4, "big") + b"infe" + b"\2\0\0\0\0\1\0\0av01\0"
+    n = 20_000
+    iinf = spark.createDataFrame([("a", bytes(4) + n.to_bytes(2, "big") + entry * n)], "path string, data binary")
+    assert bmff.items(bmff.infe_boxes(iinf)).where("type = 'av01'").count() == n
+    parts = spark.range(n).selectExpr("'a' AS path", "1L AS item", "0 AS method", "int(id) AS pos", "id AS offset", "1L AS length")
+    files = spark.createDataFrame([("a", bytes(i % 251 for i in range(n)))], "path string, content binary")
+    assert bytes(bmff.payloads(files, parts).first().payload) == bytes(i % 251 for i in range(n))
