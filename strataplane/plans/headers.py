@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataplane.functions.integers import let
+from strataplane.operators import conformance
 from strataplane.plans.base import query, table
 from strataplane.sources import headers
 
@@ -249,3 +250,24 @@ def sequence_header_fields(spark, d):
     got = headers.headers(rows).withColumn("x", F.col("sequence"))
     plain = ["profile", "timing_scale", "max_width", "max_height", "frame_ids", "id_bits", "order_bits", "screen_content", "depth", "monochrome", "primaries", "sub_x", "sub_y", "grain"]
     return got.select(F.col("stream_id").cast("bigint").alias("k"), *[(F.col("x.timing_scale").cast("int") if c == "timing_scale" else F.col(f"x.{c}")).alias(c) for c in plain], F.size("x.points").alias("points"), F.element_at("x.points", -1)["level"].alias("last_level"))
+
+
+_SIZED = (
+    f"{SQL}, own AS (SELECT *, CASE WHEN n = 1 OR ov = 0 OR mode = 0 THEN struct_pack(w := CASE WHEN ov = 1 THEN w ELSE 511 END, h := CASE WHEN ov = 1 THEN ht ELSE 299 END) END AS v FROM f),"
+    f" keyed AS (SELECT *, first_value(v) OVER (PARTITION BY k ORDER BY n) AS first FROM own), held AS (SELECT *, CASE WHEN v IS NULL AND mode = 2 AND same = 0 THEN first ELSE v END AS u FROM keyed),"
+    f" sized AS (SELECT *, {_LAST('u')} AS z, CASE WHEN sr = 1 THEN 9 + den ELSE 8 END AS d FROM held),"
+    " w AS (SELECT *, (z.w * 8 + d // 2) // d AS cw, lag(z) OVER (PARTITION BY k ORDER BY n) AS before FROM sized),"
+    " b AS (SELECT *, (cw + 63) // 64 AS c, (z.h + 63) // 64 AS r FROM w)"
+)
+
+
+@query(
+    "header_violations",
+    f"{_SIZED}, x AS (SELECT k, n, unnest(list_filter([CASE WHEN z.w > 511 THEN 'width within the sequence' END, CASE WHEN z.h > 299 THEN 'height within the sequence' END,"
+    " CASE WHEN cw - 64 * CASE WHEN tc = 1 THEN (c + 1) // 2 ELSE 0 END < 8 THEN 'tiles of eight columns' END, CASE WHEN z.h - 64 * CASE WHEN tr = 1 THEN (r + 1) // 2 ELSE 0 END < 8 THEN 'tiles of eight rows' END,"
+    " CASE WHEN n > 1 AND (before.w > 2 * cw OR before.h > 2 * z.h OR (same = 0 AND (first.w > 2 * cw OR first.h > 2 * z.h))) THEN 'references up to twice the frame' END], lambda y: y IS NOT NULL)) AS rule FROM b) SELECT k, n, rule FROM x",
+)
+def header_violations(spark, d):
+    """Rules that the frames of all streams break."""
+    h = headers.headers(records(spark, d), conformance.FIELDS, active=True)
+    return conformance.violations(h.where("type = 3"), conformance.rules()).select(F.col("stream_id").cast("bigint").alias("k"), F.col("obu_index").alias("n"), "rule")

@@ -46,7 +46,7 @@ _POINTS = "array<struct<value:int,scaling:int>>"
 GRAIN_FIELDS = f"apply:boolean,seed:int,update:boolean,reference:int,y:{_POINTS},from_luma:boolean,cb:{_POINTS},cr:{_POINTS},scaling_shift:int,lag:int,ar_y:array<int>,ar_cb:array<int>,ar_cr:array<int>,ar_shift:int,scale_shift:int,cb_mult:int,cb_luma_mult:int,cb_offset:int,cr_mult:int,cr_luma_mult:int,cr_offset:int,overlap:boolean,clip:boolean"
 FRAME_FIELDS = (
     "show_existing boolean, existing_slot int, frame_id long, presentation_time long, frame_type int, shown boolean, showable boolean, error_resilient boolean, cdf_update_off boolean, screen_content boolean, integer_mv boolean,"
-    " size_override boolean, order_hint int, primary_ref int, refresh int, short_signalling boolean, refs array<int>,"
+    " size_override boolean, order_hint int, primary_ref int, refresh int, short_signalling boolean, refs array<int>, reference_frames array<struct<order_hint:int,width:int,height:int>>,"
     " size struct<width:int,upscaled_width:int,height:int,render_width:int,render_height:int,denominator:int>,"
     " intra_copy boolean, high_precision boolean, interpolation int, switchable_motion boolean, ref_mvs boolean, refresh_context boolean,"
     " tiling struct<uniform:boolean,columns:int,rows:int,log2_columns:int,log2_rows:int,column_starts:array<int>,row_starts:array<int>,context_tile:int,size_bytes:int>,"
@@ -273,9 +273,11 @@ def frame_header(data: bytes, q: dict, slots: list[dict | None], temporal: int =
     h |= {"short_signalling": False, "refs": [], "intra_copy": False, "high_precision": False, "interpolation": 0, "switchable_motion": False, "ref_mvs": False}
     if intra:
         h["size"] = _size(b, q, h)
+        h["reference_frames"] = []
         h["intra_copy"] = h["screen_content"] and h["size"]["width"] == h["size"]["upscaled_width"] and b.flag()
     else:
         h |= _references(b, q, h, slots)
+        h["reference_frames"] = [slots[i] and {"order_hint": slots[i]["order_hint"], "width": slots[i]["size"]["upscaled_width"], "height": slots[i]["size"]["height"]} for i in h["refs"]]
         h["size"] = _size_of_reference(b, q, h, slots) if h["size_override"] and not h["error_resilient"] else _size(b, q, h)
         h["high_precision"] = not h["integer_mv"] and b.flag()
         h["interpolation"] = 4 if b.flag() else b.u(2)
@@ -581,7 +583,7 @@ def _grain(b: Bits, q: dict, h: dict, slots: list[dict | None]) -> dict:
     return g | {"overlap": b.flag(), "clip": b.flag()}
 
 
-def _walker(schema: pa.Schema):
+def _walker(schema: pa.Schema, active: bool):
     """Rows in order of (stream, segment, record): the state belongs to one segment and is carried over batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -601,6 +603,8 @@ def _walker(schema: pa.Schema):
                         if sequence is None:
                             raise ValueError("no sequence header")
                         h = row["header"] = frame_header(data, sequence, slots, temporal or 0, spatial or 0)
+                        if active:
+                            row["sequence"] = sequence
                         if h["show_existing"] and kind == FRAME:
                             row["header"] = None
                             raise ValueError("a frame with its samples shows an old one")
@@ -613,10 +617,10 @@ def _walker(schema: pa.Schema):
     return run
 
 
-def headers(records: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+def headers(records: DataFrame, fields: tuple[str, ...] | None = None, active: bool = False) -> DataFrame:
     """(stream_id, obu_index, unit, type, sequence, header, error) of the sequence and frame headers among ``records`` (stream_id, obu_index, unit, type, temporal_id, spatial_id, payload).
 
-    ``sequence`` has SEQUENCE_FIELDS, ``header`` FRAME_FIELDS or those of them that ``fields`` names.  A row has its sequence or its header struct, or an error: a header that ends early, or needs a slot or a sequence header
+    ``sequence`` has SEQUENCE_FIELDS, ``header`` FRAME_FIELDS or those of them that ``fields`` names; with ``active``, a frame's row has the sequence header in force, too.  A row has its sequence or its header struct, or an error: a header that ends early, or needs a slot or a sequence header
     that isn't there.  Headers after a broken one have an error too, until the next unit with a sequence header and a shown key frame.  A header shown
     again has the stored fields.  Other record types give no row; a null payload ends early.
     """
@@ -633,4 +637,4 @@ def headers(records: DataFrame, fields: tuple[str, ...] | None = None) -> DataFr
     out = StructType.fromDDL(f"stream_id string, obu_index long, unit long, type int, sequence struct<{SEQUENCE_FIELDS}>").add("header", chosen).add("error", "string")
     # a number of parts of its own: headers are few bytes and much work
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(parts, "stream_id", "segment").sortWithinPartitions("stream_id", "segment", "obu_index").mapInArrow(_walker(to_arrow_schema(out)), out)
+    return joined.repartition(parts, "stream_id", "segment").sortWithinPartitions("stream_id", "segment", "obu_index").mapInArrow(_walker(to_arrow_schema(out), active), out)
