@@ -38,15 +38,21 @@ def _rs(e: str, n: int) -> str:
     return f"(({e} + {1 << n - 1}) >> {n})"
 
 
+#: the same by lines of four samples: half h of row y
+_Q4 = f"WITH {PX}, q AS (SELECT vec_id, y, x // 4 AS h, " + ", ".join(f"max(CASE WHEN x % 4 = {i} THEN v - 128 END) AS c{i}" for i in range(4)) + " FROM px GROUP BY vec_id, y, x // 4)"
+
+
 def _lines_sql(values: list[str]) -> str:
-    return f"{_Q} SELECT vec_id, y, {', '.join(f'CAST({v} AS BIGINT) AS v{i}' for i, v in enumerate(values))} FROM q"
+    out = ", ".join(f"CAST({v} AS BIGINT) AS v{i}" for i, v in enumerate(values))
+    return f"{_Q} SELECT vec_id, y, {out} FROM q" if len(values) == 8 else f"{_Q4} SELECT vec_id, y, CAST(h AS BIGINT) AS h, {out} FROM q"
 
 
 def _line_query(f, n: int):
     def run(spark, d):
-        each = blocks(spark, d).select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice(_signed(F.col("s")), y * 8 + 1, 8))).alias("y", "a"))
+        each = blocks(spark, d).select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(64 // n - 1)), lambda y: F.slice(_signed(F.col("s")), y * n + 1, n))).alias("l", "a"))
         out = f([F.element_at("a", i + 1) for i in range(n)])
-        return each.select("vec_id", F.col("y").cast(INT).alias("y"), *[v.cast(INT).alias(f"v{i}") for i, v in enumerate(out)])
+        place = [F.col("l").cast(INT).alias("y")] if n == 8 else [F.shiftright("l", 1).cast(INT).alias("y"), (F.col("l") % 2).cast(INT).alias("h")]
+        return each.select("vec_id", *place, *[v.cast(INT).alias(f"v{i}") for i, v in enumerate(out)])
 
     return run
 
@@ -92,18 +98,71 @@ for _name, (_f, _n, _sql) in LINES.items():
 
 
 def _two_pass(first: list[str], second: list[str], n: int, shift: int) -> str:
-    """Rows, shift and clip, then columns and the last shift, over the top-left n x n samples."""
+    """Rows, shift and clip, then columns and the last shift, over each n x n part of a block; i counts the samples of the 8 x 8 block."""
     row = ", ".join(f"greatest(-32768, least(32767, {_rs(v, shift) if shift else '(' + v + ')'})) AS r{i}" for i, v in enumerate(first[:n]))
-    turned = ", ".join(f"max(CASE WHEN y = {y} THEN CASE x {' '.join(f'WHEN {x} THEN r{x}' for x in range(n))} END END) AS c{y}" for y in range(n))
-    out = " UNION ALL ".join(f"SELECT vec_id, CAST({y * n} + x AS BIGINT) AS i, CAST({_rs(f'({second[y]})', 4)} AS BIGINT) AS v FROM t" for y in range(n))
-    return f"{_Q}, p AS (SELECT vec_id, y, {row} FROM q WHERE y < {n}), t AS (SELECT vec_id, x, {turned} FROM p, range(0, {n}) g(x) GROUP BY vec_id, x) {out}"
+    turned = ", ".join(f"max(CASE WHEN y % {n} = {y} THEN CASE x {' '.join(f'WHEN {x} THEN r{x}' for x in range(n))} END END) AS c{y}" for y in range(n))
+    out = " UNION ALL ".join(f"SELECT vec_id, CAST((py * {n} + {y}) * 8 + part * {n} + x AS BIGINT) AS i, CAST({_rs(f'({second[y]})', 4)} AS BIGINT) AS v FROM t" for y in range(n))
+    lines, half = (_Q, "0") if n == 8 else (_Q4, "h")
+    return f"{lines}, p AS (SELECT vec_id, y, {half} AS part, {row} FROM q), t AS (SELECT vec_id, y // {n} AS py, part, x, {turned} FROM p, range(0, {n}) g(x) GROUP BY vec_id, y // {n}, part, x) {out}"
 
 
 def _residuals(spark, d, n: int, rows, columns, shift: int):
-    """Residuals of the top-left n x n samples of each block, taken as coefficients around 0."""
-    index = (np.arange(n)[:, None] * 8 + np.arange(n)).reshape(-1)
-    got = T.on_blocks(blocks(spark, d).withColumnRenamed("s", "r"), "r", 64, lambda x: T.separable(x[:, index] - 128, n, n, rows, columns, shift))
-    return _rows(got, n * n)
+    """Residuals of the n x n parts of each block, taken as coefficients around 0, at their places in the block."""
+    m = 8 // n
+
+    def kernel(x):
+        parts = (x - 128).reshape(-1, m, n, m, n).transpose(0, 1, 3, 2, 4).reshape(-1, n * n)
+        done = T.separable(parts, n, n, rows, columns, shift)
+        return done.reshape(-1, m, m, n, n).transpose(0, 1, 3, 2, 4).reshape(-1, 64)
+
+    return _rows(T.on_blocks(blocks(spark, d).withColumnRenamed("s", "r"), "r", 64, kernel), 64)
+
+
+# ---- longer lines: stages as tables, each value from those of the stage before; r(..) is rounded by 12 bits
+
+_DCT16 = """0=c0 1=c8 2=c4 3=c12 4=c2 5=c10 6=c6 7=c14 8=c1 9=c9 10=c5 11=c13 12=c3 13=c11 14=c7 15=c15
+8=401*c8-4076*c15 9=3166*c9-2598*c14 10=1931*c10-3612*c13 11=3920*c11-1189*c12 12=1189*c11+3920*c12 13=3612*c10+1931*c13 14=2598*c9+3166*c14 15=4076*c8+401*c15
+4=799*c4-4017*c7 5=3406*c5-2276*c6 6=2276*c5+3406*c6 7=4017*c4+799*c7 8=c8+c9 9=c8-c9 10=c11-c10 11=c10+c11 12=c12+c13 13=c12-c13 14=c15-c14 15=c14+c15
+0=2896*c0+2896*c1 1=2896*c0-2896*c1 2=1567*c2-3784*c3 3=3784*c2+1567*c3 4=c4+c5 5=c4-c5 6=c7-c6 7=c6+c7 9=1567*c14-3784*c9 10=-1567*c10-3784*c13 13=1567*c13-3784*c10 14=1567*c9+3784*c14
+0=c0+c3 1=c1+c2 2=c1-c2 3=c0-c3 5=2896*c6-2896*c5 6=2896*c5+2896*c6 8=c8+c11 9=c9+c10 10=c9-c10 11=c8-c11 12=c15-c12 13=c14-c13 14=c13+c14 15=c12+c15
+0=c0+c7 1=c1+c6 2=c2+c5 3=c3+c4 4=c3-c4 5=c2-c5 6=c1-c6 7=c0-c7 10=2896*c13-2896*c10 11=2896*c12-2896*c11 12=2896*c11+2896*c12 13=2896*c10+2896*c13
+0=c0+c15 1=c1+c14 2=c2+c13 3=c3+c12 4=c4+c11 5=c5+c10 6=c6+c9 7=c7+c8 8=c7-c8 9=c6-c9 10=c5-c10 11=c4-c11 12=c3-c12 13=c2-c13 14=c1-c14 15=c0-c15"""
+_ADST8 = """0=c7 1=c0 2=c5 3=c2 4=c3 5=c4 6=c1 7=c6
+0=4076*c0+401*c1 1=401*c0-4076*c1 2=3612*c2+1931*c3 3=1931*c2-3612*c3 4=2598*c4+3166*c5 5=3166*c4-2598*c5 6=1189*c6+3920*c7 7=3920*c6-1189*c7
+0=c0+c4 1=c1+c5 2=c2+c6 3=c3+c7 4=c0-c4 5=c1-c5 6=c2-c6 7=c3-c7
+4=3784*c4+1567*c5 5=1567*c4-3784*c5 6=3784*c7-1567*c6 7=3784*c6+1567*c7
+0=c0+c2 1=c1+c3 2=c0-c2 3=c1-c3 4=c4+c6 5=c5+c7 6=c4-c6 7=c5-c7
+2=2896*c2+2896*c3 3=2896*c2-2896*c3 6=2896*c6+2896*c7 7=2896*c6-2896*c7
+1=0-c4 2=c6 3=0-c2 4=c3 5=0-c7 6=c5 7=0-c1"""
+
+
+def _staged(stages: str, n: int) -> str:
+    tables = []
+    for i, line in enumerate(stages.splitlines()):
+        own = dict(cell.split("=") for cell in line.split())
+        cells = [f"{_rs('(' + own[str(j)] + ')', 12) if '*' in own.get(str(j), '') else own.get(str(j), f'c{j}')} AS c{j}" for j in range(n)]
+        tables.append(f"s{i + 1} AS (SELECT vec_id, l, {', '.join(cells)} FROM s{i})")
+    first = ", ".join(f"max(CASE WHEN (y * 8 + x) % {n} = {j} THEN v - 128 END) AS c{j}" for j in range(n))
+    out = ", ".join(f"CAST(c{j} AS BIGINT) AS v{j}" for j in range(n))
+    return f"WITH {PX}, s0 AS (SELECT vec_id, (y * 8 + x) // {n} AS l, {first} FROM px GROUP BY vec_id, (y * 8 + x) // {n}), {', '.join(tables)} SELECT vec_id, l, {out} FROM s{len(tables)}"
+
+
+def _long_lines(spark, d, n: int, f):
+    """A transform of each line of ``n`` samples, by rows of the block."""
+    kernel = lambda x: np.stack(f([(x - 128).reshape(-1, n)[:, i] for i in range(n)]), axis=1).reshape(-1, 64)
+    got = T.on_blocks(blocks(spark, d).withColumnRenamed("s", "r"), "r", 64, kernel)
+    lines = got.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(64 // n - 1)), lambda i: F.slice("r", i * n + 1, n))).alias("l", "a"))
+    return lines.select("vec_id", F.col("l").cast(INT).alias("l"), *[F.element_at("a", i + 1).alias(f"v{i}") for i in range(n)])
+
+
+@query("dct16", _staged(_DCT16, 16))
+def dct16(spark, d):
+    return _long_lines(spark, d, 16, T.dct)
+
+
+@query("adst8", _staged(_ADST8, 8))
+def adst8(spark, d):
+    return _long_lines(spark, d, 8, T.adst)
 
 
 @query("separable_dct4x4", _two_pass(_dct4_sql(), _dct4_sql(), 4, 0))

@@ -241,10 +241,17 @@ def grid_compose(spark, d):
     return geometry.compose_grid(cells, 2, 8, 8, 13, 14)
 
 
-@query("tile_list_assembly", f"WITH {PX} SELECT o_orderkey AS frame, (o_custkey % 2) * 8 + y AS y, (o_custkey % 3) * 8 + x AS x, v FROM orders JOIN px ON vec_id = o_orderkey % 50 WHERE o_orderstatus = 'F' AND o_orderkey < 400")
+@query(
+    "tile_list_assembly",
+    f"WITH {PX}, n AS (SELECT count(*) AS n FROM embeddings), o AS (SELECT o_orderkey AS frame, o_custkey % n AS tile, o_custkey % 2 AS ty, o_custkey % 3 AS tx FROM orders, n)"
+    " SELECT frame, CAST(sum(v * (((ty * 8 + y) * 24 + tx * 8 + x) % 1009 + 1)) AS BIGINT) AS digest, CAST(min(ty * 8 + y) AS BIGINT) AS top, CAST(max(tx * 8 + x) AS BIGINT) AS \"right\", count(*) AS samples FROM o JOIN px ON vec_id = tile GROUP BY frame",
+)
 def tile_list_assembly(spark, d):
-    placed = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderkey < 400").select(F.col("o_orderkey").alias("frame"), (F.col("o_orderkey") % 50).alias("tile"), (F.col("o_custkey") % 2).alias("ty"), (F.col("o_custkey") % 3).alias("tx"))
-    return geometry.merge_tiles(px(spark, d).withColumnRenamed("vec_id", "tile"), placed, 8, 8)
+    """A tile for each order, placed in its frame; digests of the frames' samples and places."""
+    n = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"))  # one row
+    placed = table(spark, d, "orders").join(F.broadcast(n)).select(F.col("o_orderkey").alias("frame"), F.expr("o_custkey % n").alias("tile"), F.expr("o_custkey % 2").alias("ty"), F.expr("o_custkey % 3").alias("tx"))
+    merged = geometry.merge_tiles(px(spark, d).withColumnRenamed("vec_id", "tile"), placed, 8, 8)
+    return merged.groupBy("frame").agg(F.sum(F.expr("v * ((y * 24 + x) % 1009 + 1)")).cast("bigint").alias("digest"), F.min("y").cast("bigint").alias("top"), F.max("x").cast("bigint").alias("right"), F.count(F.lit(1)).alias("samples"))
 
 
 @query(
