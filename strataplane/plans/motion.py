@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataplane.operators import motion
+from strataplane.operators import masks, motion
 from strataplane.plans.base import PX, blocks, query, table
 
 # Taps in 1/128 by kind and fraction: regular, smooth, sharp, bilinear.
@@ -96,3 +96,22 @@ def warp_solve(spark, d):
     sums = {c: F.expr(f"bigint({e})") for c, e in _SUMS.items()}
     m = motion.solve(sums, (F.expr("s * 8"), F.expr("k % 500")), (F.expr("s - 25"), F.expr("k % 64 - 32")))
     return parts.select("k", m.alias("m")).select("k", *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate("xyabcd")])
+
+
+_RAMP = lambda p, t: f"CASE WHEN {t} < 28 THEN 0 WHEN {t} > 35 THEN 64 ELSE CASE {p} WHEN 0 THEN [1,4,11,27,46,58,62,63] WHEN 1 THEN [1,2,6,18,37,53,60,63] ELSE [0,2,7,21,43,57,62,64] END[{t} - 27] END"
+_M63 = lambda i, j: _RAMP(f"({i}) % 2", f"(greatest(0, least(63, ({j}) - 16 + (({i}) + 1) // 2)))")
+_BOOK = "(VALUES (0,2,4,4),(1,3,4,4),(2,4,4,4),(3,5,4,4),(4,0,4,2),(5,0,4,6),(6,1,2,4),(7,1,6,4),(8,2,4,2),(9,2,4,6),(10,5,4,2),(11,5,4,6),(12,3,2,4),(13,3,6,4),(14,4,2,4),(15,4,6,4)) b(number, dir, bx, by_)"
+
+
+@query(
+    "wedge_blend",
+    f"WITH {PX}, g AS (SELECT number, dir, y, x, 32 - by_ + y AS i, 32 - bx + x AS j FROM {_BOOK}, range(0, 8) r(y), range(0, 8) s(x)),"
+    f" m AS (SELECT number, y, x, CAST(CASE dir WHEN 0 THEN {_RAMP('2', 'i')} WHEN 1 THEN {_RAMP('2', 'j')} WHEN 2 THEN {_M63('j', 'i')} WHEN 3 THEN {_M63('i', 'j')} WHEN 4 THEN 64 - {_M63('i', '63 - j')} ELSE 64 - {_M63('j', '63 - i')} END AS BIGINT) AS v FROM g),"
+    " f AS (SELECT number, (sum(v) + 7) // 15 < 32 AS flip FROM m WHERE y = 0 OR x = 0 GROUP BY number)"
+    " SELECT a.vec_id, a.y * 8 + a.x AS i, (a.v * w + b.v * (64 - w) + 32) >> 6 AS v FROM (SELECT px.*, CASE WHEN (px.vec_id // 16 % 2 = 1) = flip THEN m.v ELSE 64 - m.v END AS w FROM px JOIN m ON m.number = px.vec_id % 16 AND m.y = px.y AND m.x = px.x JOIN f ON f.number = px.vec_id % 16) a"
+    " JOIN px b ON b.vec_id = a.vec_id AND b.y = 7 - a.y AND b.x = 7 - a.x",
+)
+def wedge_blend(spark, d):
+    """Each block and its reverse, blended by one of the 32 wedges of its size."""
+    got = masks.blend_wedges(blocks(spark, d), F.col("s"), F.reverse("s"), (F.lit(8), F.lit(8)), F.expr("vec_id div 16 % 2"), F.expr("vec_id % 16"), "r")
+    return got.select("vec_id", F.posexplode("r").alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), "v")
