@@ -22,11 +22,6 @@ def _filled(text):
     return let(text, lambda t: F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.length(t), F.lit(8)), byte(t)), "")))
 
 
-def _le(e: str):
-    """An integer of z bytes, lowest first."""
-    return F.expr(f"substring(unhex(concat(lpad(hex(({e}) % 256), 2, '0'), lpad(hex(({e}) div 256 % 256), 2, '0'), '0000')), 1, int(z))")
-
-
 def streams(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("bigint").alias("s")).withColumns({"tc": F.expr("k % 3"), "tr": F.expr("s % 2"), "z": F.expr("k % 4 + 1")})
     parts = parts.withColumn("n", F.expr("shiftleft(1L, int(tc)) * if(tr = 1, 2, 1)"))
@@ -36,11 +31,11 @@ def streams(spark, d):
     # the tiles from..to: a size before each but the last one, whose bytes end the record
 
     def body(first: str, last: str):
-        tile = lambda i: F.concat(F.when(i < F.expr(last), _le_at(i)).otherwise(raw(b"")), F.encode(F.repeat(F.lit("x"), (F.lit(1) + (F.col("s") * (i + 3) + F.col("k")) % 40).cast("int")), "UTF-8"))
+        tile = lambda i: F.concat(F.when(i < F.expr(last), _le_at(i)).otherwise(raw(b"")), F.encode(F.repeat(F.lit("x"), (F.lit(1) + (F.col("s") * (i + 3) + F.col("k")) % 24).cast("int")), "UTF-8"))
 
         def _le_at(i):
-            v = (F.col("s") * (i + 3) + F.col("k")) % 40
-            v = F.when(F.expr("k % 11 = 4") & (i == F.expr(first)), F.lit(200)).otherwise(v)
+            v = (F.col("s") * (i + 3) + F.col("k")) % 24
+            v = F.when(F.expr("k % 11 = 4") & (i == F.expr(first)), F.lit(255)).otherwise(v)
             return F.substring(F.concat(F.unhex(F.lpad(F.hex(v.cast("bigint")), 2, "0")), raw(b"\0\0\0")), F.lit(1), F.col("z").cast("int"))
 
         return F.unhex(F.array_join(F.transform(F.sequence(F.expr(first), F.expr(last)), lambda i: F.hex(tile(i))), ""))
@@ -66,9 +61,9 @@ def streams(spark, d):
     f"WITH p AS (SELECT *, (1 << CAST(tc AS INTEGER)) * CASE WHEN tr = 1 THEN 2 ELSE 1 END AS n FROM ({_PART})),"
     " h AS (SELECT *, (17 + 1 + tc + 1 + tr + 1 + CASE WHEN tc + tr > 0 THEN tc + tr + 2 ELSE 0 END + 7) // 8 AS head, k % 2 = 1 AND n > 1 AS two FROM p),"
     " g AS (SELECT k, s, z, n, 1 AS i, head + CASE WHEN n > 1 THEN 1 ELSE 0 END AS pos, 0 AS a, n - 1 AS b, NOT two AS own FROM h WHERE NOT two UNION ALL SELECT k, s, z, n, 2, 1, 0, n // 2 - 1, false FROM h WHERE two UNION ALL SELECT k, s, z, n, 3, 1, n // 2, n - 1, false FROM h WHERE two),"
-    " e AS (SELECT *, CASE WHEN i = 2 AND k % 13 = 6 THEN 'a tile group ends before it starts' WHEN k % 11 = 4 AND b > a AND pos + z + 201 > pos + (SELECT sum(1 + (s * (t + 3) + k) % 40) + (b - a) * z FROM range(a, b + 1) r(t)) THEN 'a tile leaves the record' END AS error FROM g),"
+    " e AS (SELECT *, CASE WHEN i = 2 AND k % 13 = 6 THEN 'a tile group ends before it starts' WHEN k % 11 = 4 AND b > a THEN 'a tile leaves the record' END AS error FROM g),"
     " t AS (SELECT *, unnest(CASE WHEN error IS NULL THEN range(a, b + 1) ELSE [CAST(NULL AS BIGINT)] END) AS tile FROM e)"
-    f" SELECT k, {_L('i')} AS i, {_L('1')} AS frame, {_I('tile')} AS tile, {_L('pos + (tile - a) * z + CASE WHEN tile < b THEN z ELSE 0 END + coalesce(sum(1 + (s * (tile + 3) + k) % 40) OVER (PARTITION BY k, i ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS \"offset\", {_L('1 + (s * (tile + 3) + k) % 40')} AS length, error FROM t"
+    f" SELECT k, {_L('i')} AS i, {_L('1')} AS frame, {_I('tile')} AS tile, {_L('pos + (tile - a) * z + CASE WHEN tile < b THEN z ELSE 0 END + coalesce(sum(1 + (s * (tile + 3) + k) % 24) OVER (PARTITION BY k, i ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS \"offset\", {_L('1 + (s * (tile + 3) + k) % 24')} AS length, error FROM t"
     " UNION ALL SELECT p_partkey, 4, NULL, NULL, NULL, NULL, 'no frame header' FROM part WHERE p_partkey % 17 = 3",
 )
 def tile_ranges(spark, d):
