@@ -133,8 +133,8 @@ COMMON = frozenset("a all an and any are as at be been by can do for from he if
 EMPTY_ROWS = 20
 #: Least probability of a family, and least share of a template's word pairs that the paragraph holds.
 CERTAIN, CONFIRM = 0.5, 0.5
-#: A line goes on in the next one unless it is blank, ends a sentence or is longer than lines of broken text are (100); the joining newline becomes a space.
-JOINED = r"\n(?<![.!?:;][ \t]{0,2}\n)(?<=(?:^|\n)(?=[ \t]*+[^ \t\n])[^\n]{1,100}\n)(?![ \t]*+(?:\n|\z))"
+#: A line goes on in the next one unless it is blank or ends a sentence, or the next one is blank; the joining newline becomes a space.
+JOINED, JOINED_BY = r"([^ \t\r\n.!?:;])([ \t\r]*+)\n(?=[ \t\r]*+[^ \t\r\n])", "$1$2 "
 
 
 def labelled() -> list[tuple[str, str]]:
@@ -275,9 +275,10 @@ def holds_needed(text, model: Model):
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, family, probability): the licence paragraphs of each row of ``docs``.
 
-    A paragraph is a run of lines up to a blank line, one that ends a sentence
-    or one of over 100 characters, joined by spaces, so a notice broken over lines is one;
-    ``start`` is the number of its first line in the text, from 0.  Paragraphs
+    A run of lines goes up to a blank line or one that ends a sentence, whatever its lines' lengths.  It is first judged whole, joined by spaces, so a
+    notice is one paragraph however it is broken over lines.  A run of class none or unknown, in which a notice may
+    be one line among others, is then judged line by line: its lines of a family (for class none, of unknown as well) are paragraphs of their own,
+    and if it has none, an unknown run stays one paragraph.  ``start`` is the number of the paragraph's first line in the text, from 0.  Paragraphs
     of class none and null or empty texts give no rows; equal paragraphs get
     equal classes.  Repeated rows repeat.  Other columns are ignored.
     """
@@ -285,23 +286,39 @@ def scan(docs: DataFrame) -> DataFrame:
     model = train()
     scratch = Scratch(spark, "licenses")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.withColumn("flow", F.regexp_replace("text", JOINED, " "))
+    joined = texts.withColumn("flow", F.regexp_replace("text", JOINED, JOINED_BY))
     # a paragraph's place is where it starts in code points; only texts that hold a needed n-gram are cut
     cut = joined.where(holds_needed(F.col("flow"), model)).select("doc_id", "text", F.split("flow", "\n").alias("ps"))
-    found = scratch.save(cut.select("doc_id", F.explode(_placed(F.col("ps"), F.col("text"), model)).alias("x")).select("doc_id", "x.p", "x.start"))
-    classes = scratch.save(classify(spark, found, model).where(F.col("family") != NONE))
-    size = classes.agg(F.coalesce(F.sum(F.octet_length("p") + 64), F.lit(0))).first()[0]
-    return found.join(F.broadcast(classes) if size <= BROADCAST_BYTES else classes, "p").select("doc_id", F.col("p").alias("paragraph"), "start", "family", "probability")
+    runs = scratch.save(cut.select("doc_id", F.explode(_placed(F.col("ps"), F.col("text"), model)).alias("x")).select("doc_id", "x.p", "x.start", "x.lines"))
+    # ``run`` tells equal rows apart, so that repeated documents keep their own lines
+    judged = scratch.save(_classes(runs, scratch.save(classify(spark, runs, model))).withColumn("run", F.monotonically_increasing_id()))
+    whole = judged.where(~F.col("family").isin(NONE, UNKNOWN))
+    rest = judged.where(F.col("family").isin(NONE, UNKNOWN))
+    lines = rest.where(F.size("lines") > 1).select("run", "doc_id", "start", F.col("family").alias("of"), F.posexplode("lines").alias("i", "p")).where(holds_needed(F.col("p"), model))
+    lines = scratch.save(lines.select("run", "doc_id", (F.col("start") + F.col("i")).alias("start"), "of", "p"))
+    named = _classes(lines, scratch.save(classify(spark, lines, model))).where((F.col("family") != NONE) & ((F.col("of") == NONE) | (F.col("family") != UNKNOWN)))
+    named = scratch.save(named)
+    kept = rest.where(F.col("family") == UNKNOWN).join(named.where(F.col("of") == UNKNOWN).select("run").distinct(), "run", "left_anti")
+    out = ("doc_id", F.col("p").alias("paragraph"), "start", "family", "probability")
+    return whole.select(*out).unionByName(named.select(*out)).unionByName(kept.select(*out))
+
+
+def _classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the family and probability of their paragraph; classes other than none are few, and sent to all tasks where they are small."""
+    some = classes.where(F.col("family") != NONE)
+    size = some.agg(F.coalesce(F.sum(F.octet_length("p") + 64), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(some) if size <= BROADCAST_BYTES else some, "p", "left").fillna({"family": NONE})
 
 
 def _placed(paragraphs, text, model: Model):
-    """Structs (p, start) of the paragraphs that hold a needed n-gram; start counts the newlines of ``text`` before."""
+    """Structs (p, start, lines) of the paragraphs that hold a needed n-gram; start counts the newlines of ``text`` before, lines are those it is joined from."""
     ends = F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     some = F.filter(ends, lambda x: holds_needed(x["p"], model))
 
     def one(x):
         before = F.aggregate(F.slice(paragraphs, 1, x["i"]), F.lit(0), lambda a, p: a + F.length(p) + 1)
         head = F.substring(text, F.lit(1), before)
-        return F.struct(x["p"].alias("p"), (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("long").alias("start"))
+        own = F.split(F.substring(text, before + 1, F.length(x["p"])), "\n")
+        return F.struct(x["p"].alias("p"), (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("long").alias("start"), own.alias("lines"))
 
     return F.transform(some, one)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -710,39 +711,67 @@ def test_licenses_held_out(spark):
 
 
 def plain_paragraphs(text):
-    """(first line, paragraph): runs of lines up to a blank one, a long one or one that ends a sentence."""
-    run, first = [], 0
-    for i, line in enumerate(text.split("\n")):
+    """(first line, lines): runs of lines up to a blank one or one that ends a sentence."""
+    lines, run, first = text.split("\n"), [], 0
+    for i, line in enumerate(lines):
         run.append(line)
-        following = text.split("\n")[i + 1 : i + 2]
-        if len(line) > 100 or not line.strip(" \t") or re.search(r"[.!?:;][ \t]{0,2}$", line) or not following or not following[0].strip(" \t"):
-            yield first, " ".join(run)
+        following = lines[i + 1 : i + 2]
+        if not line.strip(" \t\r") or re.search(r"[.!?:;][ \t\r]*$", line) or not following or not following[0].strip(" \t\r"):
+            yield first, run
             run, first = [], i + 1
     if run:
-        yield first, " ".join(run)
+        yield first, run
+
+
+def test_licenses_of_any_width(spark):
+    """A notice is one paragraph of one class at every line width; a notice of one line is found among long lines."""
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    )
+    widths = [*range(60, 131), 140, 150, 160, 180, 200, 1000]
+    rows = [(w, "Some words.\n" + textwrap.fill(mit, w) + "\nMore words.") for w in widths]
+    long = " ".join(["the river ran past the mill and the children counted every boat that came by that morning"] * 4)
+    rows += [(2000, f"{long}\nLicensed under the MIT License\n{long}"), (2001, f"{long}\n{long}\nCode released under the GNU GPL")]
+    got = {}
+    for r in licenses.scan(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.family))
+    assert all(got[w] == [(1, "MIT")] for w in widths)
+    assert [f for _, f in got[2000]] == ["MIT"] and [f for _, f in got[2001]] == ["GPL"]
 
 
 def test_licenses_brute_force(spark, texts):
-    """Every paragraph scored by plain sums, none left out beforehand."""
+    """Every run of lines scored by plain sums, none left out beforehand; runs without a family by their lines."""
     model = licenses.train()
     weights = {}
     for gram, family, w in model.weights:
         weights.setdefault(gram, []).append((family, w))
     rng = random.Random(5)
     grams = sorted(weights)
-    rows = texts[:150] + [(9000 + i, "\n".join(rng.choice([" ".join(rng.choice(grams) for _ in range(rng.randint(1, 9))), "", "x.", HELD_OUT[i % 12][0], " \t"]) for _ in range(6))) for i in range(150)]
+    rows = texts[:150] + [(9000 + i, "\n".join(rng.choice([" ".join(rng.choice(grams) for _ in range(rng.randint(1, 9))), "", "x.", HELD_OUT[i % 12][0], " \t", "the house by the sea", "long " * 40]) for _ in range(7))) for i in range(150)]
+
+    def judged(p):
+        held = licenses.grams_of(p)
+        z = dict(model.bias)
+        for g in held:
+            for family, w in weights.get(g, ()):
+                z[family] += w
+        family = max(z, key=lambda f: (z[f], f))
+        sure = 1 / sum(np.exp(v - z[family]) for v in z.values()) >= licenses.CERTAIN
+        like = any(f == family and len(set(t) & set(held)) >= licenses.CONFIRM * len(t) for f, t in model.templates)
+        return family if family == "none" or (sure and like) else "unknown"
+
     want = Counter()
     for doc, text in rows:
-        for start, p in plain_paragraphs(text):
-            held = licenses.grams_of(p)
-            z = dict(model.bias)
-            for g in held:
-                for family, w in weights.get(g, ()):
-                    z[family] += w
-            family = max(z, key=lambda f: (z[f], f))
-            sure = 1 / sum(np.exp(v - z[family]) for v in z.values()) >= licenses.CERTAIN
-            like = any(f == family and len(set(t) & set(held)) >= licenses.CONFIRM * len(t) for f, t in model.templates)
-            if family != "none":
-                want[doc, start, family if sure and like else "unknown"] += 1
+        for start, run in plain_paragraphs(text):
+            family = judged(" ".join(run))
+            if family not in ("none", "unknown"):
+                want[doc, start, family] += 1
+                continue
+            own = [(start + i, f) for i, line in enumerate(run) if len(run) > 1 and (f := judged(line)) != "none" and (family == "none" or f != "unknown")]
+            for place, f in own:
+                want[doc, place, f] += 1
+            if family == "unknown" and not own:
+                want[doc, start, family] += 1
     got = Counter((r.doc_id, r.start, r.family) for r in licenses.scan(frame(spark, rows)).collect())
     assert got - want == want - got == Counter()
