@@ -42,27 +42,31 @@ def boxes(spark, d, *types, also=()):
     return bmff.with_payload(f, scanned, *types).withColumn("k", F.col("path").cast("bigint")), scanned
 
 
-_k = F.col("path").cast("bigint").alias("k")
+
+
+def _k():
+    """The part's number, from the path."""
+    return F.col("path").cast("bigint").alias("k")
 
 
 @query("wide_items", f"{_P} SELECT k, k * 70000 AS item, 'av01' AS type, 'wide' || k AS name FROM f")
 def wide_items(spark, d):
-    return bmff.items(bmff.infe_boxes(boxes(spark, d, "iinf")[0])).select(_k, F.col("item_id").alias("item"), "type", "name")
+    return bmff.items(bmff.infe_boxes(boxes(spark, d, "iinf")[0])).select(_k(), F.col("item_id").alias("item"), "type", "name")
 
 
 @query("wide_extents", f"{_P} SELECT k, k * 70000 AS item, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN 8 + k % 50 ELSE 12 END AS \"offset\", CAST(CASE pos WHEN 0 THEN 0 ELSE 3 END AS BIGINT) AS length FROM f, range(0, 2) r(pos)")
 def wide_extents(spark, d):
-    return bmff.extents(boxes(spark, d, "iloc")[0]).select(_k, "item", "pos", "offset", "length")
+    return bmff.extents(boxes(spark, d, "iloc")[0]).select(_k(), "item", "pos", "offset", "length")
 
 
 @query("wide_associations", f"{_P} SELECT k, k * 70000 AS item, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN k % 30000 ELSE s END AS prop_index, pos = 0 AS essential FROM f, range(0, 2) r(pos)")
 def wide_associations(spark, d):
-    return bmff.associations(boxes(spark, d, "ipma")[0]).select(_k, "item", "pos", "prop_index", "essential")
+    return bmff.associations(boxes(spark, d, "ipma")[0]).select(_k(), "item", "pos", "prop_index", "essential")
 
 
 @query("wide_references", f"{_P} SELECT k, k * 70000 AS from_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN k ELSE s * 65537 END AS to_id FROM f, range(0, 2) r(pos)")
 def wide_references(spark, d):
-    return bmff.references(boxes(spark, d, "cdsc")[0].select("path", "type", "data")).select(_k, "from_id", "pos", "to_id")
+    return bmff.references(boxes(spark, d, "cdsc")[0].select("path", "type", "data")).select(_k(), "from_id", "pos", "to_id")
 
 
 @query("wide_headers", f"{_P} SELECT k, k * 70000 AS item, k * 5000000000 AS duration, k * 5000000000 AS first_chunk, s AS second_chunk FROM f")
@@ -84,7 +88,7 @@ _REFS = (
 def track_references(spark, d):
     """Numbers in the reference boxes of tracks; some are cut or 0."""
     found, scanned = boxes(spark, d, "auxl", "prem", also=("tref",))
-    return bmff.track_references(scanned, found).select(_k, "ref_type", "pos", "track", "error")
+    return bmff.track_references(scanned, found).select(_k(), "ref_type", "pos", "track", "error")
 
 
 @query("track_links", f"{_P}, {_REFS} SELECT k, CAST(2 AS BIGINT) AS from_track, ref_type, CAST(pos AS INTEGER) AS pos, track AS to_track FROM r WHERE error IS NULL")
@@ -92,7 +96,7 @@ def track_links(spark, d):
     """References between tracks with the number of the track that refers."""
     found, scanned = boxes(spark, d, "auxl", "prem", "tkhd", also=("tref",))
     headers = found.where("type = 'tkhd'").select("path", "parent", bmff.track_header(F.col("data"))["track_id"].alias("track_id"))
-    return bmff.track_links(scanned, found.where("type <> 'tkhd'"), headers).select(_k, "from_track", "ref_type", "pos", "to_track")
+    return bmff.track_links(scanned, found.where("type <> 'tkhd'"), headers).select(_k(), "from_track", "ref_type", "pos", "to_track")
 
 
 @query(
@@ -103,7 +107,7 @@ def track_links(spark, d):
 def sample_entries(spark, d):
     """Sample descriptions with their configuration, colours and auxiliary type."""
     found = bmff.sample_entries(boxes(spark, d, "stsd")[0])
-    return found.select(_k, "entry", "format", "width", "height", bmff.av1c(F.col("config"))["level"].alias("level"), bmff.colr(F.col("colour"))["matrix"].alias("matrix"), "auxiliary_type", "error")
+    return found.select(_k(), "entry", "format", "width", "height", bmff.av1c(F.col("config"))["level"].alias("level"), bmff.colr(F.col("colour"))["matrix"].alias("matrix"), "auxiliary_type", "error")
 
 
 @query(
@@ -117,7 +121,7 @@ def bmff_cut_tables(spark, d):
     ipma = F.concat(raw(bytes(4)), u(1, 4), u(1, 2), raw(b"\x01\x81"))
     iinf = F.concat(raw(bytes(4)), u(1, 2), u(21, 4), raw(b"infe"), raw(b"\2\0\0\0\0\1\0\0av01\0"))
     cut = lambda c: parts.select("path", F.substring(c, F.lit(1), (F.col("k") % 14).cast("int")).alias("data"), "k")
-    count = lambda rows, kind, value: rows.groupBy("path").agg(F.max("error").alias("error"), F.count(value).alias("n")).select(_k, F.lit(kind).alias("type"), "error", "n")
+    count = lambda rows, kind, value: rows.groupBy("path").agg(F.max("error").alias("error"), F.count(value).alias("n")).select(_k(), F.lit(kind).alias("type"), "error", "n")
     return count(bmff.extents(cut(iloc)), "iloc", "item").unionByName(count(bmff.associations(cut(ipma).where("k % 14 < 11")), "ipma", "item")).unionByName(count(bmff.infe_boxes(cut(iinf)), "iinf", "data"))
 
 

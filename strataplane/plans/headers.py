@@ -53,10 +53,13 @@ def signed(e: str, n: int) -> tuple[str, int]:
 
 #: 511 x 299, order hints of 8 bits, super-resolution, constrained directional filter, restoration, warped motion and grain; 4:2:0 of 8 bits.
 SEQUENCE = "000" + "00" + "0" + "0" + "00000" + "0" * 12 + "00101" + "1011" * 2 + f"{510:012b}{298:012b}" + "0" + "000" + "0010" + "1" + "00" + "00" + "111" + "111" + "0" + "0" + "0" + "0" + "00" + "0" + "1"
-_GRAIN = (
-    ("1 + q % 2", 4), ("10 + q", 8), ("p % 256", 8), where("q % 2 = 1", ("100 + q", 8), ("s % 256", 8)), "0", "0001", ("50", 8), ("q", 8), "0001", ("60", 8), ("s % 200", 8), ("q % 4", 2), "00",
-    ("p % 256", 8), ("s % 256", 8), ("q % 4", 2), ("p % 4", 2), ("q * 3", 8), ("p % 256", 8), ("s % 512", 9), ("q * 2", 8), ("s % 256", 8), ("p % 512", 9), ("q % 2", 1), ("s % 2", 1),
-)
+
+
+def _grain_parts() -> tuple:
+    return (
+        ("1 + q % 2", 4), ("10 + q", 8), ("p % 256", 8), where("q % 2 = 1", ("100 + q", 8), ("s % 256", 8)), "0", "0001", ("50", 8), ("q", 8), "0001", ("60", 8), ("s % 200", 8), ("q % 4", 2), "00",
+        ("p % 256", 8), ("s % 256", 8), ("q % 4", 2), ("p % 4", 2), ("q * 3", 8), ("p % 256", 8), ("s % 512", 9), ("q * 2", 8), ("s % 256", 8), ("p % 512", 9), ("q % 2", 1), ("s % 2", 1),
+    )
 
 
 def frame_bits() -> Column:
@@ -81,7 +84,7 @@ def frame_bits() -> Column:
     restoration = bits(("ry", 2), ("ru", 2), "00", where("ry + ru > 0", ("ra", 1), where("ra = 1", ("rb", 1)), where("ru > 0", ("rc", 1))))
     modes = bits(("tx", 1), where("n > 1", ("cp", 1), where("cp = 1 and same = 0 and n > 2", ("p % 2", 1)), ("s % 2", 1)), ("if(q % 3 = 0, 1, 0)", 1))
     kind = F.when(F.expr("g = 0"), F.lit("0")).when(F.expr("g = 1"), bits("101", symbol("s"), symbol("q + p"))).otherwise(bits("11", symbol("q"), symbol("p"), symbol("s"), symbol("q + p")))
-    grain = bits(("ga", 1), where("ga = 1", ("seed", 16), where("n > 1", ("gu", 1)), where("gu = 0", (before, 3)), where("gu = 1", *_GRAIN)))
+    grain = bits(("ga", 1), where("ga = 1", ("seed", 16), where("n > 1", ("gu", 1)), where("gu = 0", (before, 3)), where("gu = 1", *_grain_parts())))
     return bits(F.when(F.expr("n = 1"), key).otherwise(inter), "0", tiling, quantiser, segments, deltas, edges, cdef, restoration, modes, where("n > 1", kind, "0" * 6), grain)
 
 
