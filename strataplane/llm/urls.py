@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from strataplane.llm.common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, MOST_ROUNDS, SETTLED = 0.85, 64, 1e-3
+#: SETTLED is the share of all seeds' score that a round may still move at the end.
+DAMPING, SETTLED = 0.85, 1e-5
 #: Rounds between two written tables and looks at the change.
 STRIDE = 8
 #: A host is blocked by the graph if its distrust reaches this and is above its trust.
@@ -101,30 +102,60 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame
     """(host, score): personalised PageRank from ``seeds`` (host, weight), each with weight 1 if there is no such column.
 
     Edges (src, dst, n) carry a host's score on in proportion to n; what
-    reaches a host without edges goes no further.  Every STRIDE rounds the
-    scores are written; it ends when none changed by more than SETTLED since
-    the last time (what is still to come is then at most 0.37 of that), or
-    after MOST_ROUNDS.
+    reaches a host without edges goes no further.  With x = Mx + b for the
+    scores, rounds are those of the Chebyshev semi-iteration over
+    [-DAMPING, DAMPING], where the spectrum lies if links are mutual, as ties
+    are: a round takes 0.56 of the error instead of 0.85.  A round is one join
+    and one aggregate; the round before travels along the rows of hosts to
+    themselves.  Every STRIDE rounds the state is written and what a plain
+    round would still change is summed.  Where that fell by less than plain
+    rounds are sure of (one-way links), plain rounds go on from the better
+    state.  It ends when the sum is at most SETTLED of all seeds' score; the
+    result is off by at most DAMPING / (1 - DAMPING) of that, over all hosts.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    share = scratch.save(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("out") * DAMPING).alias("w")))
     weight = F.max("weight") if "weight" in seeds.columns else F.lit(1.0)
-    start = scratch.save(seeds.groupBy("host").agg((weight * (1.0 - DAMPING)).alias("score")))
-
-    def stepped(now: DataFrame) -> DataFrame:
-        moved = now.join(share, now.host == share.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("score"))
-        return moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
-
-    now = start
-    for _ in range(MOST_ROUNDS // STRIDE):
-        last = now
+    start = seeds.groupBy("host").agg((weight * (1.0 - DAMPING)).alias("b"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("b"))
+    own = start.unionByName(ends).groupBy("host").agg(F.sum("b").alias("b"))
+    moves = edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("out") * DAMPING).alias("w"), F.lit(0.0).alias("b"), F.lit(False).alias("own"))
+    links = scratch.save(moves.unionByName(own.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("w"), "b", F.lit(True).alias("own"))))
+    zero = F.lit(0.0)
+    now = links.where("own").select(F.col("src").alias("host"), F.col("b").alias("score"), zero.alias("before"), zero.alias("older"))
+    mass = now.agg(F.sum("score")).first()[0]
+    if not mass:
+        return now.select("host", "score")
+
+    def stepped(state: DataFrame, omega: float) -> DataFrame:
+        held = F.when(F.col("own"), omega * F.col("b") + (1.0 - omega) * F.col("before")).otherwise(zero)
+        each = state.join(links, state.host == links.src).select(
+            F.col("dst").alias("host"),
+            (omega * F.col("score") * F.col("w") + held).alias("score"),
+            F.when(F.col("own"), F.col("score")).otherwise(zero).alias("before"),
+            F.when(F.col("own"), F.col("before")).otherwise(zero).alias("older"),
+        )
+        return each.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("score", "before", "older")])
+
+    def plain(state: DataFrame, omega: float) -> DataFrame:
+        """The state with the score that a plain round gives from ``before``."""
+        return state.withColumn("score", F.col("older") + (F.col("score") - F.col("older")) / omega)
+
+    omega, left, fast = 0.0, mass, True
+    while True:
+        last, was = now, omega
         for _ in range(STRIDE):
-            now = stepped(now)
+            omega = (1.0 if not omega else 1.0 / (1.0 - DAMPING**2 / (2.0 if omega == 1.0 else 4.0 / omega))) if fast else 1.0
+            now = stepped(now, omega)
         now = scratch.save(now)
-        change = now.join(last.select("host", F.col("score").alias("old")), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        if change is None or change <= SETTLED:
-            break
-    return now
+        change = plain(now, omega).agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0]
+        if change <= SETTLED * mass:
+            return plain(now, omega).select("host", F.greatest("score", zero).alias("score"))
+        if fast and change > left * DAMPING**STRIDE:
+            fast = False
+            now = plain(now, omega) if change < left else plain(last, was) if was else last
+            left = min(left, change)
+        else:
+            left = change
 
 
 def seed_weights(read: DataFrame, edges: DataFrame, rules: tuple[Rule, ...], blocked_names: str) -> DataFrame:
@@ -166,7 +197,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_names: str
     seeds = seeded.where("good > 0").select(plus("host").alias("host"), F.col("good").alias("weight")).unionByName(seeded.where("bad > 0").select(minus("host").alias("host"), F.col("bad").alias("weight")))
     score = propagate(walked, seeds, scratch)
     pick = lambda sign: F.sum(F.when(F.col("host").startswith(sign), F.col("score")))
-    scores = scratch.save(score.groupBy(F.substring("host", 2, 1 << 20).alias("h")).agg(pick("+").alias("trust"), pick("-").alias("distrust")).withColumnRenamed("h", "host"))
+    scores = scratch.save(score.groupBy(F.expr("substring(host, 2)").alias("h")).agg(pick("+").alias("trust"), pick("-").alias("distrust")).withColumnRenamed("h", "host"))
     placed = read.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     both = placed.withColumn("rule", ruled(F.col("host"), F.col("path"), rules)).join(scores, "host", "left")
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))

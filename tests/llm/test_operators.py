@@ -678,6 +678,34 @@ def test_page_rank(spark):
     assert all(abs(got[n] - score[n]) < 1e-3 for n in names)
 
 
+@pytest.mark.parametrize("kind", ("mutual", "ring", "chain", "mixed"))
+def test_page_rank_rounds(spark, kind):
+    """Mutual links, where rounds are accelerated, and one-way ones, where plain rounds take over, against plain loops to the end."""
+    from strataplane.llm.common import Scratch
+
+    rng, n = random.Random(5), 40
+    mutual = [(a, rng.randrange(a), 1 + a % 3) for a in range(1, n)]
+    both = mutual + [(b, a, k) for a, b, k in mutual]
+    ring = [(a, (a + 1) % 4 + 4 * (a // 4), 1) for a in range(n)]
+    edges = {"mutual": both, "ring": ring, "chain": [(a, a + 1, 1) for a in range(n - 1)], "mixed": both + ring}[kind]
+    edges = [(f"h{a:02}", f"h{b:02}", k) for (a, b), k in sum((Counter({(a, b): k}) for a, b, k in edges), Counter()).items()]
+    start = {"h00": 0.15, "h07": 0.075, "alone": 0.15}
+    out, score = Counter(), start
+    for s, _, k in edges:
+        out[s] += k
+    for _ in range(300):
+        new = Counter(start)
+        for s, d, k in edges:
+            new[d] += 0.85 * score.get(s, 0.0) * k / out[s]
+        score = new
+    seeds = spark.createDataFrame([("h00", 1.0), ("h07", 0.5), ("alone", 1.0)], "host string, weight double")
+    got = {r.host: r.score for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds, Scratch(spark, "t")).collect()}
+    assert got.keys() == {e for a, b, _ in edges for e in (a, b)} | {"alone", "h00", "h07"}
+    assert sum(abs(v - score.get(h, 0.0)) for h, v in got.items()) <= 0.375 * urls.SETTLED / 0.15 * 0.85
+    none = seeds.where("false")
+    assert not any(r.score for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), none, Scratch(spark, "t")).collect())
+
+
 # ----------------------------------------------------------------------- licences
 
 
