@@ -536,6 +536,27 @@ def test_html_keeps_article_blocks():
         assert html.main_text(page, tree) == text, page[:200]
 
 
+def test_html_text_decides():
+    """Pages without an article or under a name of boilerplate, labelled by hand: here words, links and neighbours decide."""
+    tree = html.train()
+    a, b = "The river rose by two metres in the night, and the lower road was closed to all traffic until noon.", "By the evening most of the water had gone. People came back to their houses and began to clean them."
+    pa, pb = f"<p>{a}</p>", f"<p>{b}</p>"
+    for page, text in (
+        (f"<body><div class='widget-content'><h1>High water</h1>{pa}{pb}{pa}</div><footer><p>About us</p></footer></body>", f"High water {a} {b} {a}"),
+        (f"<body><div class='sidebar'><article>{pa}{pb}</article></div></body>", f"{a} {b}"),
+        (f"<body><nav><a href=x>Home</a></nav><div class=promo>{pa}{pb}<div class=ad>Buy two boats.</div></div></body>", f"{a} {b}"),
+        (f"<body>{pa}<figure><img src=x><figcaption>The bridge on Monday</figcaption></figure>{pb}</body>", f"{a} The bridge on Monday {b}"),
+        (f"<body>{pa}<p>See <a href=x>the full report</a>.</p>{pb}</body>", f"{a} See the full report. {b}"),
+        (f"<body><p>We use cookies to improve your visit. <a href=x>Accept</a></p>{pa}{pb}</body>", f"{a} {b}"),
+        (f"<body>{pa}{pb}<p>Subscribe now to our letter</p><p>Copyright 2020 River Post. All rights reserved.</p></body>", f"{a} {b}"),
+        (f"<body>{pa}<p>{a} The baker sold cookies at half the price, as the newsletter of the town had said a week before.</p></body>", f"{a} {a} The baker sold cookies at half the price, as the newsletter of the town had said a week before."),
+        (f"<body><ul><li><a href=x>News.</a></li><li><a href=y>Sport.</a></li><li><a href=z>Weather.</a></li></ul>{pa}{pb}</body>", f"{a} {b}"),
+        (f"<body>{pa}{pb}<div class='comment-list'><p>{a}</p></div><div class='cookie-notice'><p>{b}</p></div></body>", f"{a} {b}"),
+        (f"<body><article>{pa}<p>Subscribe to all of it.</p>{pb}</article><div class=ad>Buy two boats.</div></body>", f"{a} Subscribe to all of it. {b}"),
+    ):
+        assert html.main_text(page, tree) == text, page
+
+
 def held_out(tree, ablated=()):
     wrong = blocks = 0
     for page in html.labelled_pages(seed=99, n=200):
