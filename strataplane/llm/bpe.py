@@ -204,12 +204,22 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    """One encoder a worker process, kept between tasks."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
+def _share(spark, vocabulary: str) -> tuple:
+    """The vocabulary (about 50,000 entries) as a broadcast, and a digest of it."""
+    ranks = load_ranks(vocabulary)
+    digest = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        digest.update(b"%d:%d:%b" % (rank, len(token), token))
+    return spark.sparkContext.broadcast(ranks), digest.hexdigest()
+
+
+def _encoder(shared: tuple, pattern: str) -> Encoder:
+    """One encoder a worker process, kept between tasks; another vocabulary or pattern takes its place."""
+    ranks, digest = shared
+    key = (digest, pattern)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(shared.value, pattern)
+        _encoders[key] = Encoder(ranks.value, pattern)
     return _encoders[key]
 
 
@@ -259,13 +269,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) of each row of ``docs``; a null or empty text has no ids.  Other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # the vocabulary: about 50,000 entries
+    shared = _share(docs.sparkSession, vocabulary)
     return _rows(docs).mapInArrow(_tokens(shared, pattern), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, content binary) of each row of (doc_id, ids); a null array has no bytes."""
-    shared = rows.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    shared = _share(rows.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared, pattern)
@@ -282,5 +292,5 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     A null or empty text has no ids.  Rows are independent, so repeated rows
     repeat.  Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    shared = _share(docs.sparkSession, vocabulary)
     return _rows(docs).mapInArrow(_round_trip(shared, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

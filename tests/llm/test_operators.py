@@ -217,6 +217,32 @@ def test_bpe(spark, texts, library):
     assert bpe.encode(frame(spark, []), v, p).count() == 0
 
 
+def test_encoders_by_vocabulary(tmp_path):
+    """A worker's encoder belongs to the vocabulary's content: the same address or path with another vocabulary is another one."""
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    one = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    two = {bytes([i]): i for i in range(256)} | {b"bc": 256}
+    got = []
+    for ranks, digest in ((one, "1"), (two, "2"), (dict(one), "1")):
+        got.append(np.frombuffer(bpe._encoder((Held(ranks), digest), r"\w+").encode(["abc"])[0], "<u4").tolist())
+    assert got == [[256, 99], [97, 256], [256, 99]]
+    path = tmp_path / "v"
+
+    class Spark:
+        sparkContext = type("C", (), {"broadcast": staticmethod(Held)})
+
+    digests = []
+    for ranks in (one, two, one):
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
+        digests.append(bpe._share(Spark, str(path))[1])
+    assert digests[0] == digests[2] != digests[1]
+
+
+
 def test_bpe_small_cache(library):
     coder = bpe.Encoder(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, most=50)
     for t in mixed(50, 2):
