@@ -40,8 +40,10 @@ def store(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contents = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            media = [webp.store_bytes(padded(b)) for b in contents]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in contents], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            sizes = pa.array([len(b) for b in contents], pa.int64())
+            contents = [padded(b) for b in contents]
+            media = webp.store_all(contents)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -53,7 +55,8 @@ def read(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = batch.column(2).to_pylist()
-            payload = [None if m is None else webp.load_bytes(m) for m in media]
+            read = iter(webp.load_all([m for m in media if m is not None]))
+            payload = [None if m is None else next(read) for m in media]
             features = [None if not b else feature(b) for b in payload]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary()), pa.array(features, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "feature"])
 

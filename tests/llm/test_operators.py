@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on odd rows: nulls, empty texts, ties, repeats, empty tables, clashing columns."""
 
 import base64
+import cProfile
 import hashlib
 import random
 import re
@@ -426,6 +427,75 @@ def test_images(transforms, cache, references):
         assert (webp.decode(webp.encode(image, transforms, cache_bits=cache, references=references)) == image).all()
 
 
+def test_images_in_step():
+    """Files that are read together are those read alone, whatever they use, and so are broken ones."""
+    files, want = [], []
+    for k, image in enumerate([*images()] * 12):
+        few = len(np.unique(image)) <= 256
+        transforms = [(), (0,), (1, 0), (3,) if few else (2,), (2, 0)][k % 5]
+        files.append(webp.encode(image, transforms, cache_bits=(0, 1, 4, 10)[k % 4], references=k % 3 > 0))
+        want.append(image)
+    # long repeats, and hits of a cache that a copy filled
+    rng = np.random.default_rng(5)
+    for k in range(80):
+        image = rng.integers(0, 30, (40, 16)).astype(np.uint32) * 0x10305
+        image[7:20] = image[6]
+        image[rng.integers(20, 40) :] = image[0, 0]
+        files.append(webp.encode(image, cache_bits=7, references=k % 2 > 0))
+        want.append(image)
+    assert len(files) > 2 * webp.LEAST_LANES
+    for got, image, file in zip(webp.decode_all(files), want, files, strict=True):
+        assert (got == image).all() and (webp.decode(file) == image).all()
+    data = webp.chunk(files[-1])
+    for broken in (webp.riff(data[:-40]), webp.riff(data[:60])):
+        with pytest.raises(ValueError):
+            webp.decode(broken)
+        with pytest.raises(ValueError):
+            webp.decode_all([*files, broken])
+
+
+def test_cache_slot_before_it_is_written():
+    """A slot that nothing was put in holds pixel 0, which then goes to slot 0."""
+    g = next(g for g in range(1, 256) if webp.CACHE_MULTIPLIER * (g << 8) >> 31 & 1 == 0)
+    sink = webp.BitSink()
+    for value, n in ((webp.SIGNATURE, 8), (2, 14), (0, 14), (1, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1)):
+        sink.put(value, n)
+    lengths = {g: 2, 280: 2, 281: 1}
+    webp.write_lengths(sink, lengths, 282)
+    for n in (256, 256, 256, webp.DISTANCE_CODES):
+        webp.write_lengths(sink, {0: 0}, n)
+    symbols, codes, sizes = webp.canonical(lengths)
+    code = dict(zip(symbols.tolist(), zip(codes.tolist(), sizes.tolist(), strict=True), strict=True))
+    for s in (g, 281, 280):
+        sink.put(*code[s])
+    file = webp.riff(sink.done())
+    assert webp.decode(file).tolist() == [[g << 8, 0, 0]]
+    assert all(x.tolist() == [[g << 8, 0, 0]] for x in webp.decode_all([file] * (webp.LEAST_LANES + 1)))
+
+
+def test_code_lengths():
+    """Lengths of rows in step: complete, within the limit, and of the least cost where the limit is not met."""
+    rng = np.random.default_rng(2)
+    counts = np.zeros((60, 300), np.int64)
+    for row, n in zip(counts, [1, 2, 3, *range(4, 280, 5)], strict=False):
+        row[rng.choice(300, n, replace=False)] = rng.integers(1, 50, n)
+    counts[59, :30] = np.cumsum(2 ** np.arange(30))
+    lengths = webp.code_lengths(counts)
+    assert lengths.max() <= webp.MOST_BITS and ((lengths > 0) <= (counts > 0)).all()
+    for row, n in zip(counts, lengths, strict=True):
+        used = row[row > 0].tolist()
+        if len(used) < 2:
+            assert not n.any()
+            continue
+        assert sum(2.0 ** -x for x in n[row > 0].tolist()) == 1
+        free, cost, heap = webp.code_lengths(row[None], 60)[0], 0, sorted(used)
+        while len(heap) > 1:
+            cost += heap[0] + heap[1]
+            heap = sorted([heap[0] + heap[1], *heap[2:]])
+        assert (free * row).sum() == cost
+        assert (n == free).all() or free.max() > webp.MOST_BITS
+
+
 def parts_of(file):
     """Which parts of the format a file uses, read off its head."""
     bits, out = webp.Bits(webp.chunk(file)), Counter(files=1)
@@ -486,6 +556,22 @@ def test_store_bytes():
     assert {k for k, n in used.items() if n} == {"files", "predictor", "cross", "palette", "references", "cache"} | ({"green"} if used["green"] else set())
 
 
+def test_store_together():
+    """Payloads that are stored and read together give the files and bytes of each alone, and most pixels take no call of their own."""
+    rng = np.random.default_rng(4)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 400)])
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(200, 400, 300).tolist()]
+    payloads = [media.padded(t.encode()) for t in texts]
+    with cProfile.Profile() as seen:
+        together = webp.store_all(payloads)
+        assert webp.load_all(together) == payloads
+    assert sum(f.callcount for f in seen.getstats()) < 1.5 * sum(map(len, payloads)) / 4  # one by one: 2.95
+    odd = [*payloads[:40], bytes(64), bytes(64 * 5000), *(media.padded(t[:n].encode()) for n, t in enumerate(texts[:80])), media.padded(" ".join(texts[:90]).encode())]
+    together = webp.store_all(odd)
+    assert [webp.store_bytes(p) for p in odd] == together and webp.load_all(together) == odd and webp.load_all([]) == webp.store_all([]) == []
+    assert all(b"".join(webp.decode(f).tobytes() for f in webp.files(s)) == p for s, p in zip(together, odd, strict=True))
+
+
 def test_media(spark, texts):
     rows = texts + [(9000, None), (9001, ""), (9002, "é" * 70_000), (9003, "ab" * 40_000)]
     got = {r.doc_id: r for r in media.read(media.store(clash(frame(spark, rows)))).collect()}
