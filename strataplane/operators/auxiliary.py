@@ -50,18 +50,19 @@ def resolve(items: DataFrame, links: DataFrame, cells: DataFrame, alpha: bool) -
     ``items``: (file, item, ITEM columns); ``links``: (file, aux, item) of the wanted kind, of which the smallest aux counts; ``cells``: (file, grid, place, item).
     source is item, grid or cells, null where there is no auxiliary image or it is wrong; cells has (place, aux) in order.  width and height are those
     of the image for alpha, else of the auxiliary item; a grid of cells has the grid's.  Auxiliary items are images as well, and have rows of their own.
+    No side is broadcast: all have a row a file at least, and what files are scanned from is far smaller than its rows.
     """
     facts = F.struct(*ITEM)
     known = items.select("file", "item", facts.alias("f"))
     first = links.groupBy("file", "item").agg(F.min("aux").alias("aux"))
-    named = first.join(known.select("file", F.col("item").alias("aux"), F.col("f").alias("a")), ["file", "aux"])
-    images = known.join(named, ["file", "item"], "left")
+    named = first.join(known.select("file", F.col("item").alias("aux"), F.col("f").alias("a")).hint("merge"), ["file", "aux"])
+    images = known.join(named.hint("merge"), ["file", "item"], "left")
     # cells with what they have; the first that lacks or breaks something decides
-    each = cells.select("file", "grid", "place", "item").join(images, ["file", "item"], "left")
+    each = cells.select("file", "grid", "place", "item").join(images.hint("merge"), ["file", "item"], "left")
     wrong = F.when(F.col("aux").isNotNull(), problems(F.col("f"), F.col("a"), alpha, "cell"))
     event = F.when(F.col("aux").isNull() | wrong.isNotNull(), F.struct("place", wrong.alias("error")))
     whole = each.groupBy("file", F.col("grid").alias("item")).agg(F.min(event).alias("event"), F.sort_array(F.collect_list(F.when(F.col("aux").isNotNull(), F.struct("place", "aux")))).alias("own"))
-    found = images.join(whole, ["file", "item"], "left")
+    found = images.join(whole.hint("merge"), ["file", "item"], "left")
     is_grid, direct = F.col("f.type") == GRID, F.col("aux").isNotNull()
     error = F.when(direct, F.when(is_grid, problems(F.col("f"), F.col("a"), alpha, "grid")).otherwise(problems(F.col("f"), F.col("a"), alpha, "item"))).when(is_grid, F.col("event.error"))
     by_cells = ~direct & is_grid & F.col("own").isNotNull() & F.col("event").isNull()

@@ -1,6 +1,9 @@
 """Auxiliary images of items, grids and cells."""
 
+import pytest
+
 from strataplane.operators import auxiliary
+from strataplane.plans import catalog
 
 ITEMS = "file long, item long, type string, width long, height long, configured boolean, usable boolean, is_cell boolean, transforms string"
 LINKS, CELLS = "file long, aux long, item long", "file long, grid long, place long, item long"
@@ -53,3 +56,12 @@ def test_grids(spark):
     assert got[2, 1].source is None and got[2, 1].error is None and got[3, 1].error == "the auxiliary item differs in size" and got[4, 1].source is None and got[4, 1].error is None
     assert got[5, 1].error == "the auxiliary item is a cell of another image" and (got[6, 1].source, got[6, 1].aux) == ("grid", 20) and got[7, 1].error == "the auxiliary item has no configuration"
     assert run(spark, [], [], []) == {}
+
+
+@pytest.mark.parametrize("name", ["auxiliary_alpha"])
+def test_no_side_is_broadcast(spark, name):
+    """Rows of a small table may be too many for the driver: however small the estimate, the joins are shuffles, also in the plan that ran."""
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
