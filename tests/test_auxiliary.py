@@ -58,7 +58,7 @@ def test_grids(spark):
     assert run(spark, [], [], []) == {}
 
 
-@pytest.mark.parametrize("name", ["auxiliary_alpha"])
+@pytest.mark.parametrize("name", ["auxiliary_alpha", "auxiliary_depth"])
 def test_no_side_is_broadcast(spark, name):
     """Rows of a small table may be too many for the driver: however small the estimate, the joins are shuffles, also in the plan that ran."""
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
