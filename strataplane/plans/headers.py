@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strataplane.functions.integers import let
 from strataplane.operators import conformance
+from strataplane.plans import header_writer
 from strataplane.plans.base import query, table
 from strataplane.sources import headers
 
@@ -55,55 +56,31 @@ def signed(e: str, n: int) -> tuple[str, int]:
 SEQUENCE = "000" + "00" + "0" + "0" + "00000" + "0" * 12 + "00101" + "1011" * 2 + f"{510:012b}{298:012b}" + "0" + "000" + "0010" + "1" + "00" + "00" + "111" + "111" + "0" + "0" + "0" + "0" + "00" + "0" + "1"
 
 
-def _grain_parts() -> tuple:
-    return (
-        ("1 + q % 2", 4), ("10 + q", 8), ("p % 256", 8), where("q % 2 = 1", ("100 + q", 8), ("s % 256", 8)), "0", "0001", ("50", 8), ("q", 8), "0001", ("60", 8), ("s % 200", 8), ("q % 4", 2), "00",
-        ("p % 256", 8), ("s % 256", 8), ("q % 4", 2), ("p % 4", 2), ("q * 3", 8), ("p % 256", 8), ("s % 512", 9), ("q * 2", 8), ("s % 256", 8), ("p % 512", 9), ("q % 2", 1), ("s % 2", 1),
-    )
-
-
-def frame_bits() -> Column:
-    """The header of a frame with columns FIELDS."""
-    before, symbol = "1 + (n - 1) % 7", lambda e: ("(" + e + ") % 8", 4)
-    scaling = bits(("sr", 1), where("sr = 1", ("den", 3)))
-    explicit = bits(where("ov = 1", ("w - 1", 12), ("ht - 1", 12)), scaling, "0")
-    key = bits("0001", "0", ("ov", 1), ("hint", 8), explicit)
-    refs = bits((before, 3), *[(f"if(same = 1, {before}, 0)", 3)] * 6)
-    found = F.when(F.expr("mode = 1"), bits("1", scaling)).when(F.expr("mode = 2"), bits("01", scaling)).otherwise(bits("0" * 7, explicit))
-    inter = bits("0011", "0", "0", ("ov", 1), ("hint", 8), ("if(pr = 1, 0, 7)", 3), ("shiftleft(1, int(1 + n % 7))", 8), "0", refs, F.when(F.expr("ov = 1"), found).otherwise(explicit), ("hp", 1), "1", "0")
-    tiling = bits("1", where("tc = 1", "10"), where("tc = 0", "0"), where("tr = 1", "10"), where("tr = 0", "0"), where("tc + tr = 1", "0"), where("tc + tr = 2", "01"), where("tc + tr > 0", ("q % 4", 2)))
-    delta = lambda c: bits(where(f"{c} <> 0", "1", signed(c, 7)), where(f"{c} = 0", "0"))
-    quantiser = bits(("base", 8), delta("yd"), delta("ud"), "0", ("qm", 1), where("qm = 1", ("p % 16", 4), ("s % 16", 4)))
-    features = bits("0" * 16, "1", signed("q - 25", 9), "0000", "1", ("p % 8", 3), ("(q + 1) % 2", 1), "0", "0" * 40)
-    segments = bits(("se", 1), where("se = 1", where("pr = 1", ("um", 1), where("um = 1", ("q % 2", 1)), ("sd", 1)), where("sd = 1", features)))
-    deltas = bits(("p % 2", 1), where("p % 2 = 1", ("q % 4", 2), ("s % 2", 1), where("s % 2 = 1", ("p % 4", 2), ("q % 2", 1))))
-    changes = bits("01", signed("q - 20", 7), "0" * 6, where("s % 2 = 0", "1", signed("p % 10 - 5", 7)), where("s % 2 = 1", "0"), "0")
-    edges = bits(("l0", 6), ("l1", 6), where("l0 + l1 > 0", ("s % 64", 6), ("q % 32", 6)), ("p % 8", 3), ("de", 1), where("de = 1", ("du", 1), where("du = 1", changes)))
-    strengths = lambda i: bits((f"(p + {i}) % 16", 4), (f"(q + {i}) % 4", 2), (f"(s + {i}) % 16", 4), (f"(p + {i}) % 4", 2))
-    cdef = bits(("q % 4", 2), ("cb", 2), strengths(0), where("cb = 1", strengths(1)))
-    restoration = bits(("ry", 2), ("ru", 2), "00", where("ry + ru > 0", ("ra", 1), where("ra = 1", ("rb", 1)), where("ru > 0", ("rc", 1))))
-    modes = bits(("tx", 1), where("n > 1", ("cp", 1), where("cp = 1 and same = 0 and n > 2", ("p % 2", 1)), ("s % 2", 1)), ("if(q % 3 = 0, 1, 0)", 1))
-    kind = F.when(F.expr("g = 0"), F.lit("0")).when(F.expr("g = 1"), bits("101", symbol("s"), symbol("q + p"))).otherwise(bits("11", symbol("q"), symbol("p"), symbol("s"), symbol("q + p")))
-    grain = bits(("ga", 1), where("ga = 1", ("seed", 16), where("n > 1", ("gu", 1)), where("gu = 0", (before, 3)), where("gu = 1", *_grain_parts())))
-    return bits(F.when(F.expr("n = 1"), key).otherwise(inter), "0", tiling, quantiser, segments, deltas, edges, cdef, restoration, modes, where("n > 1", kind, "0" * 6), grain)
-
-
 def records(spark, d, cut: str = "false") -> DataFrame:
     """Record rows of all streams; where ``cut`` holds, only three bytes of a header are there."""
     lines = F.expr(f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER})").cast("bigint")
     own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), lines.alias("n"), F.expr("CAST(l_quantity AS BIGINT)").alias("q"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
-    own = own.withColumns({c: F.expr(e).cast("bigint") for c, e in FIELDS.items()})
-    layers = [F.lit(0).alias("temporal_id"), F.lit(0).alias("spatial_id")]
-    data = packed(frame_bits())
-    frames = own.select(F.col("k").cast("string").alias("stream_id"), F.col("n").alias("obu_index"), (F.col("n") - 1).alias("unit"), F.lit(3).alias("type"), *layers, F.when(F.expr(cut), F.substring(data, 1, 3)).otherwise(data).alias("payload"))
-    begins = own.where("n = 1").select(F.col("k").cast("string").alias("stream_id"), F.lit(0).cast("long").alias("obu_index"), F.lit(0).cast("long").alias("unit"), F.lit(1).alias("type"), *layers, packed(F.lit(SEQUENCE)).alias("payload"))
-    return frames.unionByName(begins)
+    return own.mapInArrow(header_writer.records(FIELDS, SEQUENCE, cut), header_writer.RECORDS)
+
+
+#: Hashed orders that are counted together.
+BUCKETS = 1 << 16
+
+
+def most_lines(spark, d) -> int:
+    """A number of lines that no order exceeds: those of the fullest of BUCKETS buckets of orders."""
+    each = table(spark, d, "lineitem").groupBy(F.pmod(F.hash("l_orderkey"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def read_headers(spark, d, fields: tuple[str, ...], cut: str = "false", active: bool = False) -> DataFrame:
+    # a stream has its lines and a sequence header
+    return headers.headers(records(spark, d, cut), fields, active, most_lines(spark, d) + 1).where("type = 3")
 
 
 def frames(spark, d, *columns: str, cut: str = "false") -> DataFrame:
     named = tuple(dict.fromkeys(f for c in columns for f in re.findall(r"header\.(\w+)", c))) or ("refresh",)
-    h = headers.headers(records(spark, d, cut), named).where("type = 3")
-    return h.select(F.col("stream_id").cast("bigint").alias("k"), F.col("obu_index").alias("n"), *map(F.expr, columns))
+    return read_headers(spark, d, named, cut).select(F.col("stream_id").cast("bigint").alias("k"), F.col("obu_index").alias("n"), *map(F.expr, columns))
 
 
 _I = lambda e: f"CAST({e} AS INTEGER)"
@@ -272,5 +249,5 @@ _SIZED = (
 )
 def header_violations(spark, d):
     """Rules that the frames of all streams break."""
-    h = headers.headers(records(spark, d), conformance.FIELDS, active=True)
-    return conformance.violations(h.where("type = 3"), conformance.rules()).select(F.col("stream_id").cast("bigint").alias("k"), F.col("obu_index").alias("n"), "rule")
+    h = read_headers(spark, d, conformance.FIELDS, active=True)
+    return conformance.violations(h, conformance.rules()).select(F.col("stream_id").cast("bigint").alias("k"), F.col("obu_index").alias("n"), "rule")

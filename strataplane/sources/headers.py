@@ -5,13 +5,14 @@ follows the published specification of the format (its clauses on sequence and u
 needed, so the coded samples behind a header are cut off before anything is shuffled.
 
 A stream is cut where a unit holds a sequence header and a shown key frame, which replaces all slots; the segments between such units don't depend on each other.
-Each task walks its segments in order and holds the slots of one segment at a time.
+Each task reads the short segments that it holds in step (``header_batches``), and walks the others in order with the slots of one segment at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from strataplane.operators.container import sum_before
+from strataplane.sources import header_batches as batches
 
 #: A frame header has at most some 1200 bytes: 8 x 8 segment features, 128 tile sizes, 7 motions of 6 values and 34 grain points take under 600.
 HEAD = 2048
@@ -583,58 +585,235 @@ def _grain(b: Bits, q: dict, h: dict, slots: list[dict | None]) -> dict:
     return g | {"overlap": b.flag(), "clip": b.flag()}
 
 
-def _walker(schema: pa.Schema, active: bool):
-    """Rows in order of (stream, segment, record): the state belongs to one segment and is carried over batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sequence, slots, broken = None, None, [None] * 8, False
-        for batch in batches:
-            rows = []
-            for stream, segment, index, unit, kind, temporal, spatial, data in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if own != (stream, segment):
-                    own, sequence, slots, broken = (stream, segment), None, [None] * 8, False
-                row = {"stream_id": stream, "obu_index": index, "unit": unit, "type": kind, "sequence": None, "header": None, "error": None}
-                try:
-                    if broken:
-                        raise ValueError("an earlier header of the segment is broken")
-                    if kind == SEQUENCE:
-                        sequence = row["sequence"] = sequence_header(data)
-                    else:
-                        if sequence is None:
-                            raise ValueError("no sequence header")
-                        h = row["header"] = frame_header(data, sequence, slots, temporal or 0, spatial or 0)
-                        if active:
-                            row["sequence"] = sequence
-                        if h["show_existing"] and kind == FRAME:
-                            row["header"] = None
-                            raise ValueError("a frame with its samples shows an old one")
-                        slots = [h if h["refresh"] >> i & 1 else s for i, s in enumerate(slots)]
-                except ValueError as e:
-                    row["error"], broken = str(e), True
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+#: Rows and bytes that a task reads at a time; segments of up to STEPS records are read in step, longer ones one record after another.
+ROWS, BYTES, STEPS = 1 << 15, 1 << 24, 64
+#: Streams of fewer records go to a task as a whole.
+SPAN = 1 << 16
+
+
+class _Walk:
+    """Records in order of (stream, segment, record), one by one: the state belongs to one segment."""
+
+    def __init__(self, active: bool):
+        self.active, self.own = active, None
+
+    def row(self, stream, segment, index, unit, kind, temporal, spatial, data) -> dict:
+        if self.own != (stream, segment):
+            self.own, self.sequence, self.slots, self.broken = (stream, segment), None, [None] * 8, False
+        row = {"stream_id": stream, "obu_index": index, "unit": unit, "type": kind, "sequence": None, "header": None, "error": None}
+        try:
+            if self.broken:
+                raise ValueError("an earlier header of the segment is broken")
+            if kind == SEQUENCE:
+                self.sequence = row["sequence"] = sequence_header(data)
+            else:
+                if self.sequence is None:
+                    raise ValueError("no sequence header")
+                h = row["header"] = frame_header(data, self.sequence, self.slots, temporal or 0, spatial or 0)
+                if self.active:
+                    row["sequence"] = self.sequence
+                if h["show_existing"] and kind == FRAME:
+                    row["header"] = None
+                    raise ValueError("a frame with its samples shows an old one")
+                self.slots = [h if h["refresh"] >> i & 1 else s for i, s in enumerate(self.slots)]
+        except ValueError as e:
+            row["error"], self.broken = str(e), True
+        return row
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Integers, nulls as the least one."""
+    return column.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in any column; true for the first."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _bytes(heads: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a binary column with eight more behind, and where each value begins and how many it has."""
+    heads = heads.cast(pa.binary())
+    ends = np.frombuffer(heads.buffers()[1], np.int32, len(heads) + 1, heads.offset * 4).astype(np.int64) if len(heads) else np.zeros(1, np.int64)
+    held = np.frombuffer(heads.buffers()[2], np.uint8) if len(heads) and heads.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return np.concatenate([held[ends[0] : ends[-1]], np.zeros(8, np.uint8)]), ends[:-1] - ends[0], np.diff(ends)
+
+
+def _in_step(kind: np.ndarray, heads: pa.Array, order: np.ndarray, first: np.ndarray, size: np.ndarray, chosen: pa.StructType, sequences: pa.StructType, active: bool):
+    """The segments that begin at ``first`` of ``order`` and have ``size`` records, read in step.
+
+    (left, rows, sequence, header, error): which segments are not read here, the row numbers of the others, and their columns.
+    """
+    n = len(kind)
+    h, error, held, shown = batches.columns(n), np.zeros(n, np.int16), np.zeros(n, bool), np.full(n, -1)
+    data, start, length = _bytes(heads)
+    texts, code = list(batches.ERRORS), np.full(n, -1)
+    known: list = []
+    at = np.flatnonzero(kind == SEQUENCE)
+    if len(at):
+        found = heads.take(pa.array(at)).dictionary_encode()
+        code[at] = found.indices.to_numpy()
+        for value in found.dictionary.to_pylist():
+            try:
+                known.append(sequence_header(value))
+            except ValueError as e:
+                known.append(batches.CODES[str(e)])
+    left, broken, current, slots = np.zeros(len(first), bool), np.zeros(len(first), bool), np.full(len(first), -1), np.full((len(first), 8), -1)
+    by_size = np.argsort(-size, kind="stable")
+    for t in range(int(size.max(initial=0))):
+        segments = by_size[: int(np.searchsorted(-size[by_size], -t, "left"))]
+        rows = order[first[segments] + t]
+        error[rows[broken[segments]]] = batches.CODES["an earlier header of the segment is broken"]
+        alive = ~broken[segments] & ~left[segments]
+        segments, rows = segments[alive], rows[alive]
+        heading = kind[rows] == SEQUENCE
+        for s, r in zip(segments[heading], rows[heading], strict=True) if len(known) > 1 else ():
+            if isinstance(known[code[r]], int):
+                error[r], broken[s] = known[code[r]], True
+            else:
+                current[s], shown[r] = code[r], code[r]
+        if len(known) == 1 and heading.any():
+            if isinstance(known[0], int):
+                error[rows[heading]], broken[segments[heading]] = known[0], True
+            else:
+                current[segments[heading]], shown[rows[heading]] = 0, 0
+        segments, rows = segments[~heading], rows[~heading]
+        lacks = current[segments] < 0
+        error[rows[lacks]], broken[segments[lacks]] = batches.CODES["no sequence header"], True
+        segments, rows = segments[~lacks], rows[~lacks]
+        for u in np.unique(current[segments]):
+            q, under = known[u], current[segments] == u
+            own, to = segments[under], rows[under]
+            if not batches.suits(q):
+                left[own] = True
+                continue
+            again = (length[to] > 0) & (data[start[to]] >> 7 == 1)
+            for some, read in ((again, False), (~again, True)):
+                if not some.any():
+                    continue
+                s, r = own[some], to[some]
+                b = batches.Lanes(data, start[r], length[r])
+                if read:
+                    batches.read(b, q, slots[s], h, r)
+                else:
+                    batches.show(b, slots[s], h, r)
+                    b.error[(b.error == 0) & (kind[r] == FRAME)] = batches.CODES["a frame with its samples shows an old one"]
+                left[s] |= b.left
+                error[r], broken[s] = b.error, b.error > 0
+                good = b.error == 0
+                held[r[good]] = True
+                # a record that shows a stored frame under its samples has the sequence header, but no header
+                if active:
+                    shown[r[good | (b.error == batches.CODES["a frame with its samples shows an old one"])]] = u
+                fresh = (h["refresh"][r][:, None] >> np.arange(8) & 1 > 0) & good[:, None]
+                slots[s] = np.where(fresh, r[:, None], slots[s])
+    taken = np.zeros(n + 1, np.int64)
+    stays = ~left
+    np.add.at(taken, first[stays], 1)
+    np.add.at(taken, (first + size)[stays], -1)
+    rows = np.sort(order[np.cumsum(taken[:n]) > 0])
+    structs = pa.array([None if isinstance(q, int) else q for q in known], sequences)
+    sequence = structs.take(pa.array(shown[rows], mask=shown[rows] < 0)) if len(known) else pa.nulls(len(rows), sequences)
+    return left, rows, sequence, batches.arrow(h, chosen, rows, held[rows]), pa.array(texts, pa.string()).take(pa.array(error[rows]))
+
+
+def _walker(schema: pa.Schema, active: bool, whole: bool):
+    """Rows in order of (stream, segment, record); with ``whole``, in order of (stream, unit, record), and segments are found here."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, held, rows, size = _Walk(active), [], 0, 0
+        for batch in stream:
+            held.append(batch)
+            rows, size = rows + len(batch), size + batch.nbytes
+            if rows >= ROWS or size >= BYTES:
+                done, rest = part(walk, pa.Table.from_batches(held), False)
+                yield from done
+                held, rows, size = rest.to_batches(), len(rest), 0
+        if rows:
+            yield from part(walk, pa.Table.from_batches(held), True)[0]
+
+    def part(walk: _Walk, table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+        """What can be read of the rows, and the rows that wait for more of their segment (of their stream, with ``whole``)."""
+        stream = _numbers(table.column(0).combine_chunks().dictionary_encode().indices)
+        streams = _changes(stream) if whole else _changes(stream, _numbers(table.column(1).combine_chunks()))
+        n = len(table) if last else int(np.flatnonzero(streams)[-1])
+        if not whole and len(table) - n > STEPS:
+            n = len(table)  # the rest of a long segment is read as it comes
+        if not n:
+            return [], table
+        rest, table, stream, streams = table.slice(n), table.slice(0, n).combine_chunks(), stream[:n], streams[:n]
+        column = [c.combine_chunks() for c in table.columns]
+        kind, heads = _numbers(column[4]), column[7]
+        order, starts = np.arange(n), streams
+        if whole:
+            unit, data_at = _numbers(column[3]), _bytes(heads)
+            data, at, length = data_at
+            units = streams | _changes(unit)
+            key = (kind != SEQUENCE) & (length > 0) & (data[at] >> 4 == 1)
+            begin = np.flatnonzero(units)
+            begins = np.maximum.reduceat(kind == SEQUENCE, begin) & np.maximum.reduceat(key, begin)
+            starts = streams.copy()
+            starts[begin[begins]] = True
+            order = np.lexsort((_numbers(column[2]), np.cumsum(starts)))
+        first = np.flatnonzero(starts)
+        size = np.diff(np.append(first, n))
+        short = size <= STEPS
+        if not whole and walk.own == (column[0][0].as_py(), column[1][0].as_py()):
+            short[0] = False  # goes on from rows before
+        if not whole and len(rest) == 0 and not last:
+            short[-1] = False
+        header, sequences = schema.field("header").type, schema.field("sequence").type
+        left, rows, sequence, found, error = _in_step(kind, heads, order, first[short], size[short], header, sequences, active)
+        at = pa.array(rows)
+        out = [pa.RecordBatch.from_arrays([*(c.take(at).cast(schema.field(f).type) for c, f in zip((column[0], column[2], column[3], column[4]), ("stream_id", "obu_index", "unit", "type"), strict=True)), sequence, found, error], schema=schema)] if len(rows) else []
+        slow = ~short
+        slow[np.flatnonzero(short)[left]] = True
+        walked = []
+        for i in np.flatnonzero(slow):
+            own = order[first[i] : first[i] + size[i]]
+            values = [c.take(pa.array(own)).to_pylist() for c in column]
+            if whole:
+                values[1] = [int(first[i])] * len(own)
+                walk.own = None
+            walked += [walk.row(*r) for r in zip(*values, strict=True)]
+            if len(walked) >= ROWS:
+                out.append(pa.RecordBatch.from_pylist(walked, schema))
+                walked = []
+        if walked:
+            out.append(pa.RecordBatch.from_pylist(walked, schema))
+        return out, rest
 
     return run
 
 
-def headers(records: DataFrame, fields: tuple[str, ...] | None = None, active: bool = False) -> DataFrame:
+def headers(records: DataFrame, fields: tuple[str, ...] | None = None, active: bool = False, most: int | None = None) -> DataFrame:
     """(stream_id, obu_index, unit, type, sequence, header, error) of the sequence and frame headers among ``records`` (stream_id, obu_index, unit, type, temporal_id, spatial_id, payload).
 
     ``sequence`` has SEQUENCE_FIELDS, ``header`` FRAME_FIELDS or those of them that ``fields`` names; with ``active``, a frame's row has the sequence header in force, too.  A row has its sequence or its header struct, or an error: a header that ends early, or needs a slot or a sequence header
     that isn't there.  Headers after a broken one have an error too, until the next unit with a sequence header and a shown key frame.  A header shown
     again has the stored fields.  Other record types give no row; a null payload ends early.
+
+    ``most``: a number of records that no stream exceeds, if it is known; up to SPAN, streams are shuffled once, as a whole, and cut into segments by their task.
     """
     kinds = (SEQUENCE, FRAME_HEADER, FRAME)
     heads = records.where(F.col("type").isin(*kinds)).select("stream_id", "obu_index", F.coalesce("unit", F.lit(0).cast("long")).alias("unit"), "type", "temporal_id", "spatial_id", F.coalesce(F.substring("payload", 1, HEAD), F.lit(b"")).alias("head"))
+    whole = StructType.fromDDL(FRAME_FIELDS)
+    chosen = whole if fields is None else StructType([whole[f] for f in fields])
+    out = StructType.fromDDL(f"stream_id string, obu_index long, unit long, type int, sequence struct<{SEQUENCE_FIELDS}>").add("header", chosen).add("error", "string")
+    # a number of parts of its own: headers are few bytes and much work
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if most is not None and most <= SPAN:
+        # records without a stream have no rows here either
+        dealt = heads.where("stream_id is not null").select("stream_id", F.lit(None).cast("long").alias("segment"), "obu_index", "unit", "type", "temporal_id", "spatial_id", "head").repartition(parts, "stream_id")
+        return dealt.sortWithinPartitions("stream_id", "unit", "obu_index").mapInArrow(_walker(to_arrow_schema(out), active, True), out)
     # a shown key frame begins with bits 0 00 1, or has no such bits under a reduced sequence header
     first = F.conv(F.hex(F.substring("head", 1, 1)), 16, 10).cast("int")
     sequence, key = (F.col("type") == SEQUENCE), (F.col("type") != SEQUENCE) & F.coalesce(F.shiftright(first, 4) == 1, F.lit(False))
     units = heads.groupBy("stream_id", "unit").agg((F.max(sequence) & F.max(key)).cast("int").alias("begins"))
     numbered = sum_before(units, "stream_id", "unit", "begins", "segment").select("stream_id", "unit", (F.col("segment") + F.col("begins")).alias("segment"))
     joined = heads.join(numbered, ["stream_id", "unit"]).select("stream_id", "segment", "obu_index", "unit", "type", "temporal_id", "spatial_id", "head")
-    whole = StructType.fromDDL(FRAME_FIELDS)
-    chosen = whole if fields is None else StructType([whole[f] for f in fields])
-    out = StructType.fromDDL(f"stream_id string, obu_index long, unit long, type int, sequence struct<{SEQUENCE_FIELDS}>").add("header", chosen).add("error", "string")
-    # a number of parts of its own: headers are few bytes and much work
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(parts, "stream_id", "segment").sortWithinPartitions("stream_id", "segment", "obu_index").mapInArrow(_walker(to_arrow_schema(out), active), out)
+    return joined.repartition(parts, "stream_id", "segment").sortWithinPartitions("stream_id", "segment", "obu_index").mapInArrow(_walker(to_arrow_schema(out), active, False), out)
